@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, exact_dedup, token_store
+from weftline.llm import bpe, exact_dedup, mixing, quality_rules, token_store
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_mixing": mixing.query,
     "op4_byte_bpe": bpe.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_token_parquet": token_store.query,
