@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, exact_dedup, mixing, quality_rules, token_store
+from weftline.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_mixing": mixing.query,
     "op4_byte_bpe": bpe.query,
+    "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_token_parquet": token_store.query,
 }
 
 ORACLE_SQL = {
+    "op7_chat_format": chat_format.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
