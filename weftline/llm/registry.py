@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, chat_format, exact_dedup, jaccard_join, mixing, nb_svm, quality_rules, token_store
+from weftline.llm import bpe, chat_format, exact_dedup, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_mixing": mixing.query,
+    "op3_line_chunks": line_chunks.query,
     "op4_byte_bpe": bpe.query,
     "op5_jaccard_join": jaccard_join.query,
     "op6_nb_svm": nb_svm.query,
