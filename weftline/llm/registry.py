@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, chat_format, exact_dedup, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store
+from weftline.llm import bpe, chat_format, exact_dedup, gru_lm, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_format": chat_format.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_token_parquet": token_store.query,
+    "op10_gru_lm": gru_lm.query,
 }
 
 ORACLE_SQL = {
