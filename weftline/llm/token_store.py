@@ -26,8 +26,8 @@ from weftline.llm.common import new_path, partitions, table
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 256
-#: Entries of the cache of encoded words that each Python worker keeps; when full it is emptied.
-CACHE_WORDS = 400_000
+#: Entries in each of the two generations of the cache of encoded words that a Python worker keeps: when the young one is full it replaces the old one, and words still in use move over.
+CACHE_WORDS = 700_000
 
 _WORKER: dict = {}
 
@@ -41,7 +41,7 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _WORKER[path] = t, {}
+        _WORKER[path] = t, {}, {}
     return _WORKER[path]
 
 
@@ -53,13 +53,16 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
     piece encoded once. Texts with a run of spaces, or with white space at a
     cut, are encoded whole.
     """
-    tokenizer, cache = _tokenizer(tokenizer_path)
+    tokenizer, cache, old = _tokenizer(tokenizer_path)
     if len(cache) > CACHE_WORDS:
-        cache.clear()
+        cache, old = {}, cache
+        _WORKER[tokenizer_path] = tokenizer, cache, old
     split = [None if ("  " in x or x[:1] == " " or x[-1:] == " ") else x.split(" ") for x in texts]
     # the first piece has no space before it: it is kept under another key
     firsts = [p and p[0] for p in split]
     unknown = {w for p in split if p for w in p[1:] if w not in cache}
+    cache.update((w, old[w]) for w in unknown if w in old)
+    unknown = [w for w in unknown if w not in old]
     todo = [" " + w for w in unknown]
     lone = [f for f in dict.fromkeys(firsts) if f and (0, f) not in cache]
     whole = [x for x, p in zip(texts, split, strict=True) if p is None]
