@@ -57,7 +57,8 @@ def by_lines(ali: DataFrame, reco: DataFrame, lines: DataFrame, gap: float = 2.0
     their words to the left-over segments.
     """
     before = F.coalesce(F.sum(F.size("words")).over(Window.partitionBy("rec").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = lines.select("rec", "line", before.alias("b"), F.posexplode("normoff").alias("i", "o")).select("rec", (F.col("b") + F.col("i")).alias("norm_pos"), "line", F.col("o.s").alias("char_s"), F.col("o.e").alias("char_e"))
+    # the sum must be over lines: a window beside a generator would see its rows
+    places = lines.select("rec", "line", before.alias("b"), "normoff").select("rec", "line", "b", F.posexplode("normoff").alias("i", "o")).select("rec", (F.col("b") + F.col("i")).alias("norm_pos"), "line", F.col("o.s").alias("char_s"), F.col("o.e").alias("char_e"))
     placed = ali.join(places, ["rec", "norm_pos"]).groupBy("rec", "line").agg(F.sort_array(F.collect_list(F.struct("start", "norm_pos", "end", "word", "char_s", "char_e"))).alias("w"))
     words = F.transform("w", lambda x: F.struct(F.round(x["start"], 3).alias("time_s"), F.round(x["end"], 3).alias("time_e"), x["char_s"].alias("char_s"), x["char_e"].alias("char_e")))
     timed = placed.select("rec", "line", F.transform("w", lambda x: x["word"]).alias("norm_w"), words.alias("words_t")).withColumn("seg_start", F.col("words_t")[0]["time_s"]).withColumn("seg_end", F.element_at("words_t", -1)["time_e"])
