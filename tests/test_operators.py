@@ -220,3 +220,20 @@ def test_lines_and_statistics(spark):
 def test_ordered_ids(spark):
     df = spark.createDataFrame([(w,) for w in "zebra apple mango kiwi".split()], "w string")
     assert rows(sequence.ordered_ids(df, F.col("w")), "id") == [("apple", 1), ("kiwi", 2), ("mango", 3), ("zebra", 4)]
+
+
+def test_small_helpers(spark):
+    one = spark.range(1).select(tx.highlighted(F.lit("abcd"), F.lit(1), F.lit(3)).alias("h"), tx.frame_of(F.lit(1.99), 50.0).alias("f"), tx.first_beam(F.array().cast("array<string>")).alias("b")).first()
+    assert one["h"] == "a<b>bc</b>d" and one["f"] == 99 and one["b"] is None
+    arrays = spark.createDataFrame([(1, list(range(30)))], "rec int, x array<int>")
+    cut = sequence.context_chunks(arrays, "x", 10, 3, 2)
+    frames = cut.select("rec", "chunk", "beg", "own_beg", "own_end", F.posexplode(F.slice("x", F.col("beg") + 1, F.col("end") - F.col("beg"))).alias("i", "v"))
+    merged = sequence.merged_chunks(frames, "rec", "chunk", "i", "own_beg", "own_end")
+    assert rows(merged.select("t", "v"), "t") == [(i, i) for i in range(30)]
+    words = spark.createDataFrame([(["b", "a", "b"],)], "w array<string>")
+    vocab = stats.unigram_list(words, "w")
+    assert rows(vocab, "id") == [("a", 1), ("b", 2)]
+    back = stats.decoded(stats.encoded(spark.createDataFrame([("b",), ("z",)], "word string"), vocab).select("id"), vocab)
+    assert sorted(r["word"] for r in back.collect()) == ["<unk>", "b"]
+    with pytest.raises(Exception, match="words without times"):
+        words.select(tx.same_length(F.col("w"), F.array(F.lit(1)))).collect()

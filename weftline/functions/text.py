@@ -93,3 +93,28 @@ def decibels(samples: Column) -> Column:
     """20 log10 of the root mean square; minus infinity for silence, null without samples."""
     square = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(samples)
     return F.when(F.size(samples) <= 0, F.lit(None).cast("double")).when(square == 0, F.lit(float("-inf"))).otherwise(20 * F.log10(F.sqrt(square)))
+
+
+def highlighted(text: Column, beg: Column, end: Column, before: str = "<b>", after: str = "</b>") -> Column:
+    """The text with a range of its characters marked."""
+    rest = F.substring(text, end + 1, F.length(text))
+    return F.concat(F.substring(text, F.lit(1), beg), F.lit(before), F.substring(text, beg + 1, end - beg), F.lit(after), rest)
+
+
+def frame_of(seconds: Column, rate: float) -> Column:
+    """Frame or sample number of a time, cut off towards 0."""
+    return (seconds * F.lit(rate)).cast("int")
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    return (start + end) / 2
+
+
+def first_beam(beams: Column) -> Column:
+    """The best of a decoder's readings, which come best first; null without any."""
+    return F.get(beams, F.lit(0))
+
+
+def same_length(words: Column, times: Column) -> Column:
+    """``words``, or an error where they are not as many as their times."""
+    return F.when(F.size(words) == F.size(times), words).otherwise(F.raise_error(F.concat(F.lit("words without times: "), F.size(words).cast("string"), F.lit(" and "), F.size(times).cast("string"))))

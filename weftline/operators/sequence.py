@@ -158,10 +158,10 @@ def overlaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def context_chunks(df: DataFrame, array: str, length: int, left: int, right: int) -> DataFrame:
-    """A row for each chunk of ``length`` elements, with the elements that are its own: neighbours overlap by ``left + right``, of which each keeps its side."""
+    """A row for each chunk of ``length`` elements, with the elements that are its own: neighbours overlap by ``left + right``, of which each keeps its side. The chunk that reaches the end is the last."""
     step = length - left - right
     n = F.size(array)
-    numbered = df.select(*df.columns, F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("chunk", "beg")).filter((F.col("chunk") == 0) | (F.col("beg") + left < n))
+    numbered = df.select(*df.columns, F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("chunk", "beg")).filter((F.col("chunk") == 0) | (F.col("beg") - step + length < n))
     end = F.least(F.col("beg") + length, n)
     own_beg = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.col("beg") + left)
     own_end = F.when(end == n, n).otherwise(end - right)
@@ -176,3 +176,14 @@ def ordered_ids(df: DataFrame, by: Column, name: str = "id", first: int = 1) ->
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(by))
     # one row for each partition
     return spread.withColumn("__i", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("before") + F.col("__i") - 1 + first).drop("__p", "__i", "before")
+
+
+def merged_chunks(frames: DataFrame, key: str, chunk: str, at: str, own_beg: str, own_end: str) -> DataFrame:
+    """Frames of overlapping chunks put together: of each chunk (rows numbered ``at`` from its begin ``beg``) those that are its own, with their number in the whole as ``t``."""
+    t = F.col("beg") + F.col(at)
+    return frames.withColumn("t", t).filter((F.col("t") >= F.col(own_beg)) & (F.col("t") < F.col(own_end))).drop(chunk, at, "beg", own_beg, own_end)
+
+
+def timed_only(segments: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Segments that take time."""
+    return segments.filter(F.col(end) > F.col(start))

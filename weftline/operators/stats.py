@@ -42,3 +42,27 @@ def coverage(ranges: DataFrame, totals: DataFrame, key: str, beg: str, end: str,
     """(key, covered): the share of ``total`` that the ranges add up to."""
     sums = ranges.groupBy(key).agg(F.sum(F.col(end) - F.col(beg)).alias("__c"))
     return totals.join(sums, key, "left").select(key, (F.coalesce("__c", F.lit(0)) / F.col(total)).alias("covered"))
+
+
+def ngram_counts(texts: DataFrame, tokens: str, n: int = 3) -> DataFrame:
+    """(gram, n): the counts that a language model is estimated from."""
+    from weftline.functions.text import ngrams
+
+    return texts.select(F.explode(ngrams(F.col(tokens), n, keep_last=True)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def unigram_list(texts: DataFrame, tokens: str) -> DataFrame:
+    """(word, id): distinct words in order, numbered from 1; 0 is left for unknown ones."""
+    from weftline.operators.sequence import ordered_ids
+
+    return ordered_ids(texts.select(F.explode(tokens).alias("word")).distinct(), F.col("word"))
+
+
+def encoded(words: DataFrame, vocabulary: DataFrame, unknown: int = 0) -> DataFrame:
+    """``words`` (with a column word) with the id of each word, or ``unknown``."""
+    return words.join(vocabulary, "word", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+
+
+def decoded(ids: DataFrame, vocabulary: DataFrame, unknown: str = "<unk>") -> DataFrame:
+    """``ids`` (with a column id) with the word of each id, or ``unknown``."""
+    return ids.join(vocabulary, "id", "left").withColumn("word", F.coalesce("word", F.lit(unknown)))

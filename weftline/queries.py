@@ -373,7 +373,7 @@ ORACLE_SQL = {
     "cer_pairs": "WITH p AS (SELECT a.p_partkey, levenshtein(a.p_name, b.p_name) AS distance, levenshtein(a.p_name, b.p_name) / length(a.p_name) AS c FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1) SELECT p_partkey, distance, round(c, 9) AS cer, CASE WHEN c < 0.01 THEN 'perfect' WHEN c < 0.1 THEN 'good' WHEN c < 0.5 THEN 'mediocre' WHEN c < 1 THEN 'bad' ELSE 'terrible' END AS bucket FROM p",
     "rms_db": "SELECT vec_id, round(20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding))), 6) AS db FROM embeddings",
     "energy_filter": "SELECT vec_id FROM embeddings WHERE 20 * log10(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding))) >= -18.1",
-    "context_chunks": "WITH c AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, CAST(ceil(len(embedding) / 14) AS BIGINT))) AS chunk FROM embeddings), k AS (SELECT *, chunk * 14 AS beg, least(chunk * 14 + 20, n) AS \"end\" FROM c), o AS (SELECT *, CASE WHEN chunk = 0 THEN 0 ELSE beg + 4 END AS own_beg, CASE WHEN \"end\" = n THEN n ELSE \"end\" - 2 END AS own_end FROM k) SELECT vec_id, chunk, beg, \"end\", own_beg, own_end FROM o WHERE own_end > own_beg AND (chunk = 0 OR beg + 4 < n)",
+    "context_chunks": "WITH c AS (SELECT vec_id, len(embedding) AS n, unnest(range(0, CAST(ceil(len(embedding) / 14) AS BIGINT))) AS chunk FROM embeddings), k AS (SELECT *, chunk * 14 AS beg, least(chunk * 14 + 20, n) AS \"end\" FROM c), o AS (SELECT *, CASE WHEN chunk = 0 THEN 0 ELSE beg + 4 END AS own_beg, CASE WHEN \"end\" = n THEN n ELSE \"end\" - 2 END AS own_end FROM k) SELECT vec_id, chunk, beg, \"end\", own_beg, own_end FROM o WHERE own_end > own_beg AND (chunk = 0 OR beg - 14 + 20 < n)",
     "label_runs": "WITH f AS (SELECT vec_id // 50 AS rec, vec_id % 50 AS t, list_position(embedding[1:6], list_max(embedding[1:6])) - 1 AS label FROM embeddings), n AS (SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY rec ORDER BY t) THEN 0 ELSE 1 END AS new FROM f), r AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n) SELECT rec, run, any_value(label)::BIGINT AS label, min(t) AS beg, max(t) + 1 AS \"end\" FROM r GROUP BY rec, run",
     "greedy_labels": "WITH f AS (SELECT vec_id // 50 AS rec, vec_id % 50 AS t, list_position(embedding[1:6], list_max(embedding[1:6])) - 1 AS label FROM embeddings), n AS (SELECT *, label IS DISTINCT FROM lag(label) OVER (PARTITION BY rec ORDER BY t) AS new FROM f) SELECT rec, string_agg(label::VARCHAR, ' ' ORDER BY t) AS labels FROM n WHERE new AND label <> 0 GROUP BY rec",
     "duration_stats": f"WITH {EVENTS} SELECT rec, count(*) AS n, round(avg(e - s), 3) AS mean, min(e - s) AS shortest, max(e - s) AS longest FROM ev GROUP BY rec",
