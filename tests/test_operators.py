@@ -237,3 +237,28 @@ def test_small_helpers(spark):
     assert sorted(r["word"] for r in back.collect()) == ["<unk>", "b"]
     with pytest.raises(Exception, match="words without times"):
         words.select(tx.same_length(F.col("w"), F.array(F.lit(1)))).collect()
+
+
+def test_aligned_words_and_segments(spark):
+    from weftline.plans import pipeline
+
+    vocab = {"a": 1, "b": 2}
+    # two voiced stretches, 0.5 to 1.0 s and 3.0 to 3.5 s; labels enter at fixed frames
+    matches = spark.createDataFrame([(1, 0, 10, "ab ba", [(0.5, 1.0), (3.0, 3.5)])], "rec int, reco_beg int, norm_beg int, ref_text string, audio_offsets array<struct<start:double,end:double>>")
+    entered = {30: 1, 35: 2, 40: 4, 150: 2, 155: 1, 160: 4}
+    rows_ = [(1, t, [0.0 if k == 0 else (5.0 if entered.get(t) == k else -50.0) for k in range(5)]) for t in range(220)]
+    frames = spark.createDataFrame(rows_, "rec int, t int, scores array<double>")
+    ali = pipeline.aligned_words(matches, frames, vocab).orderBy("start").collect()
+
+    # the same by hand, in frames
+    mask = np.zeros(220, bool)
+    for s, e in ((0.5, 1.0), (3.0, 3.5)):
+        mask[int((s - 0.25) * 50) : int((e + 0.25) * 50)] = True
+    labels = np.array([4, 1, 2, 4, 2, 1, 4])
+    spans = viterbi.word_spans(viterbi.best_path(np.array([r[2] for r in rows_])[mask], labels), labels, 4)
+    total = np.cumsum(mask) / 50
+    want = [(10 + i, w, f := np.searchsorted(total, b / 50) / 50, f + (e - b) / 50) for i, ((b, e), w) in enumerate(zip(spans, ["ab", "ba"], strict=False))]
+    assert [(r["norm_pos"], r["word"]) for r in ali] == [x[:2] for x in want]
+    assert [(r["start"], r["end"]) for r in ali] == [pytest.approx(x[2:], abs=1e-6) for x in want]
+    reco = spark.createDataFrame([(1, 0, "ab", 0.6, 0.8)], "rec int, pos int, word string, start double, end double")
+    assert pipeline.segments(pipeline.aligned_words(matches, frames, vocab).withColumnRenamed("norm_pos", "pos"), reco).count() >= 1
