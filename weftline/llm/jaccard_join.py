@@ -9,16 +9,17 @@ at least num/den. Equal sets form one class first. For the rest:
   parts shares a filled one with every partner; sets with more also give
   the keys of their prefix in hash order. So every linked pair shares a key, and a passage that
   many documents hold is spread over parts that it shares with their own words.
-* Trees. In each block a tree is built whose nodes hold OR-combined bitmaps and
+* Trees. For a group of sets a tree is built whose nodes hold OR-combined bitmaps and
   size ranges. A traversal of node pairs drops those whose sizes do not match,
   whose bitmaps bound the overlap too low, or whose documents are
   already in one component; what is left is compared shingle by shingle. So a
   group of n near copies costs about n comparisons, not n * n.
-* Rounds. Each class first meets its largest block (large ones cut into
-  fragments); then one member of each component meets those of the others in
-  each block; then all blocks that still hold several components are compared in full,
-  fragment pair by fragment pair. Nothing is sampled: after the last round each linked pair
-  has been compared or was connected before.
+* Families. Blocks that share documents form a family, and one tree over the family does the work of
+  all its blocks, so a text is read once, not once for each of its keys. A family too large for one tree goes
+  block by block: each class meets its largest block (cut into fragments); then one member of each
+  component meets those of the others in each block; then all blocks that still hold several
+  components are compared in full, fragment pair by fragment pair. Nothing is
+  sampled: in the end each linked pair has been compared or was connected before.
 
 Cases: null or empty texts have no shingles and link with nothing; with fewer
 words than a shingle the whole sequence is one; null ids link with nothing;
@@ -320,13 +321,34 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     # one document stands for all with its set
     reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.explode("r.keys").alias("block"))
     by_block = Window.partitionBy("block")
-    met = materialize(reps.withColumn("m", F.count("*").over(by_block)).filter("m > 1"), "jaccard-blocks")
+    met = materialize(reps.withColumn("m", F.count("*").over(by_block)).filter("m > 1").withColumn("low", F.min("rep").over(by_block)), "jaccard-blocks")
+    # a family is what blocks connect; linked sets are in one family
+    edges = materialize(met.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "jaccard-edges")
+    families = components(edges).select(F.col("node").alias("member"), F.col("label").alias("family"))
+    sized = families.join(met.select(F.col("rep").alias("member"), "n").distinct(), "member")
+    large = sized.groupBy("family").agg(F.count("*").alias("m"), F.max("n").alias("most")).filter(_fragments(F.col("most"), F.col("m")) > 1).select(F.col("family").alias("split"))
+    families = materialize(families.join(F.broadcast(large) if large.count() <= 100_000 else large, F.col("family") == F.col("split"), "left"), "jaccard-families")
+    whole = families.filter("split is null").select(F.col("family").alias("block"), F.lit(0).cast("long").alias("part"), F.col("member").alias("rep"), F.col("member").alias("label"))
+    links = _round(whole, docs, size, num, den, "jaccard-family")
+    split = families.filter("split is not null").select("member")
+    if not split.isEmpty():
+        rest = materialize(met.join(sized_broadcast(split), F.col("rep") == F.col("member"), "left_semi").select("block", "rep", "n", "m"), "jaccard-split")
+        links = links.unionByName(_by_blocks(rest, docs, size, num, den))
+    sets = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
+    sets = materialize(sets, "jaccard-classes")
+    known = profiles.select("doc_id", "n", "digest").join(sized_broadcast(sets), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    return known.join(sized_broadcast(links).withColumnRenamed("a", "rep").withColumnRenamed("b", "component"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _fragments(n, m):
+    """How many fragments a block of m sets of about n shingles has."""
+    return F.ceil(m / F.greatest(F.lit(FRAGMENT_LEAST), F.floor(F.lit(FRAGMENT_SHINGLES) / n))).cast("long")
 
-    def fragments(n, m):
-        """How many fragments a block of m sets of about n shingles has."""
-        return F.ceil(m / F.greatest(F.lit(FRAGMENT_LEAST), F.floor(F.lit(FRAGMENT_SHINGLES) / n))).cast("long")
 
-    home = met.groupBy("rep").agg(F.max(F.struct("m", "block", "n")).alias("h")).select(F.col("h.block").alias("block"), F.pmod(F.xxhash64("rep"), fragments(F.col("h.n"), F.col("h.m"))).alias("part"), "rep", F.col("rep").alias("label"))
+def _by_blocks(met: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within families too large for one tree, by their blocks (block, rep, n, m)."""
+
+    home = met.groupBy("rep").agg(F.max(F.struct("m", "block", "n")).alias("h")).select(F.col("h.block").alias("block"), F.pmod(F.xxhash64("rep"), _fragments(F.col("h.n"), F.col("h.m"))).alias("part"), "rep", F.col("rep").alias("label"))
     links = _round(home, docs, size, num, den, "jaccard-home")
     # each class is in one block, and so in one link at most
     labelled = met.join(sized_broadcast(links), met["rep"] == links["a"], "left").select("block", "rep", "n", F.coalesce("b", "rep").alias("label"))
@@ -341,23 +363,20 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     if not left.isEmpty():
         one = labelled.join(sized_broadcast(left), "block").groupBy("block", "label").agg(F.min("rep").alias("rep")).select("block", F.lit(0).cast("long").alias("part"), "rep", "label")
         sizes = one.groupBy("block").agg(F.count("*").alias("k"))
-        one = one.join(sizes, "block").join(left.select("block", "most"), "block").select("block", F.pmod(F.xxhash64("rep"), fragments(F.col("most"), F.col("k"))).alias("part"), "rep", "label")
+        one = one.join(sizes, "block").join(left.select("block", "most"), "block").select("block", F.pmod(F.xxhash64("rep"), _fragments(F.col("most"), F.col("k"))).alias("part"), "rep", "label")
         found = _round(one, docs, size, num, den, "jaccard-heads")
         labelled = materialize(_relabel(labelled, found), "jaccard-labels")
         links = _chained(links, found)
         left = open_blocks(labelled)
     if not left.isEmpty():
-        rows = labelled.join(sized_broadcast(left), "block").withColumn("f", fragments(F.col("most"), F.col("m")))
+        rows = labelled.join(sized_broadcast(left), "block").withColumn("f", _fragments(F.col("most"), F.col("m")))
         mine = F.pmod(F.xxhash64("rep"), F.col("f"))
         # fragment g meets each fragment h: pair number min * f + max
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("f") - 1), lambda h: F.least(mine, h) * F.col("f") + F.greatest(mine, h))
         rows = rows.select("block", F.explode(pairs).alias("part"), "rep", "label")
         found = _round(rows, docs, size, num, den, "jaccard-rest")
         links = _chained(links, found)
-    sets = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
-    sets = materialize(sets, "jaccard-classes")
-    known = profiles.select("doc_id", "n", "digest").join(sized_broadcast(sets), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    return known.join(sized_broadcast(links).withColumnRenamed("a", "rep").withColumnRenamed("b", "component"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
+    return links
 
 
 def _chained(links: DataFrame, more: DataFrame) -> DataFrame:
