@@ -323,7 +323,10 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     by_block = Window.partitionBy("block")
     met = materialize(reps.withColumn("m", F.count("*").over(by_block)).filter("m > 1").withColumn("low", F.min("rep").over(by_block)), "jaccard-blocks")
     # a family is what blocks connect; linked sets are in one family
-    edges = materialize(met.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "jaccard-edges")
+    # each document is tied to the lowest document it meets, and the lowest of its other blocks to that one: blocks share these, so few edges are left
+    lowest = met.withColumn("lowest", F.min("low").over(Window.partitionBy("rep")))
+    ends = F.array(F.struct(F.col("rep").alias("a"), F.col("lowest").alias("b")), F.struct(F.col("low").alias("a"), F.col("lowest").alias("b")))
+    edges = materialize(lowest.select("rep", "low", "lowest").distinct().select(F.explode(ends).alias("e")).select("e.*").filter("a <> b").distinct(), "jaccard-edges")
     families = components(edges).select(F.col("node").alias("member"), F.col("label").alias("family"))
     sized = families.join(met.select(F.col("rep").alias("member"), "n").distinct(), "member")
     large = sized.groupBy("family").agg(F.count("*").alias("m"), F.max("n").alias("most")).filter(_fragments(F.col("most"), F.col("m")) > 1).select(F.col("family").alias("split"))
