@@ -3,12 +3,13 @@
 Two documents link if the Jaccard similarity of their sets of word shingles is
 at least num/den. Equal sets form one class first. For the rest:
 
-* Blocks. Sets of a pair of link size range l..u differ in at most D = 2u(den - num)/(den + num)
+* Blocks. Linked sets of the sizes l..u differ in at most D = 2u(den - num)/(den + num)
   shingles. Shingles are dealt by hash into D + 1 + t parts, so at least 1 + t parts of
-  a linked pair are equal; each part's content is a key. A set with at most t empty
-  parts shares a filled one with every partner; sets with more also give
-  the keys of their prefix in hash order. So every linked pair shares a key, and a passage that
-  many documents hold is spread over parts that it shares with their own words.
+  a linked pair are equal; the content of a part with two shingles or more is a key. A set with at most t
+  thinner parts shares such a key with every partner; sets with more also give their parts of
+  one shingle, and with more than t empty ones the keys of their prefix in hash order. So every linked pair shares a
+  key, single common shingles seldom are one, and a passage that many documents hold is spread over
+  parts that it shares with their own words.
 * Trees. For a group of sets a tree is built whose nodes hold OR-combined bitmaps and
   size ranges. A traversal of node pairs drops those whose sizes do not match,
   whose bitmaps bound the overlap too low, or whose documents are
@@ -84,8 +85,9 @@ class SizeClasses:
         most = 2 * hi * (self.den - self.num) // (self.den + self.num)
         spare = 0
         while spare < most + 1:
-            empty = (most + 1 + spare) * math.exp(-lo / (most + 1 + spare))
-            if spare >= empty + 6 * math.sqrt(empty):
+            mean = lo / (most + 1 + spare)
+            thin = (most + 1 + spare) * math.exp(-mean) * (1 + mean)  # parts of no or one shingle, as a set of this size has on average
+            if spare >= thin + 2 * math.sqrt(thin):
                 break
             spare += 1
         self.plan.append((most, most + 1 + spare, spare))
@@ -120,7 +122,9 @@ def block_keys(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
         part = part[order]
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         content = np.add.reduceat(spread[order], first)
-        keys.append(_mixed(content * _M1 + part[first] * _M2 + np.uint64(c + 1)))
+        found = _mixed(content * _M1 + part[first] * _M2 + np.uint64(c + 1))
+        thick = np.diff(np.append(first, n)) > 1
+        keys.append(found if k - int(thick.sum()) > spare else found[thick])
         prefix |= k - len(first) > spare
     if prefix:
         ordered = np.sort(spread)[: n - -(-classes.num * n // classes.den) + 1]
