@@ -57,22 +57,44 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
     if len(cache) > CACHE_WORDS:
         cache, old = {}, cache
         _WORKER[tokenizer_path] = tokenizer, cache, old
-    split = [None if ("  " in x or x[:1] == " " or x[-1:] == " ") else x.split(" ") for x in texts]
-    # the first piece has no space before it: it is kept under another key
-    firsts = [p and p[0] for p in split]
-    unknown = {w for p in split if p for w in p[1:] if w not in cache}
-    cache.update((w, old[w]) for w in unknown if w in old)
-    unknown = [w for w in unknown if w not in old]
-    todo = [" " + w for w in unknown]
-    lone = [f for f in dict.fromkeys(firsts) if f and (0, f) not in cache]
+    split, values, gaps, unknown = [], [], [], set()
+    for x in texts:
+        if "  " in x or x[:1] == " " or x[-1:] == " ":
+            p = v = None
+            gap = ()
+        else:
+            p = x.split(" ")
+            v = list(map(cache.get, p))
+            v[0] = b""  # the first piece has no space before it
+            gap = [i for i, y in enumerate(v) if y is None] if None in v else ()
+            unknown.update(p[i] for i in gap)
+        split.append(p)
+        values.append(v)
+        gaps.append(gap)
+    for w in [w for w in unknown if w in old]:
+        cache[w] = old[w]
+        unknown.discard(w)
+    # a full stop or comma after letters is a pre-token of its own, so the word before it is enough
+    marked = {w for w in unknown if w[-1:] in (".", ",") and w[:-1].isalpha()}
+    stems = {w[:-1] for w in marked if w[:-1] not in cache}
+    todo = list((unknown - marked) | stems)
+    firsts = list(dict.fromkeys([p[0] for p in split if p and p[0]] + [".", ","]))
     whole = [x for x, p in zip(texts, split, strict=True) if p is None]
-    done = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(todo + lone + whole, add_special_tokens=False)]
-    cache.update(zip(unknown, done, strict=False))
-    cache.update(zip(((0, f) for f in lone), done[len(todo) :], strict=False))
-    cache[0, ""] = b""
-    rest = iter(done[len(todo) + len(lone) :])
-    end = int(end_id).to_bytes(4, "little")
-    return [(next(rest) if p is None else b"".join([cache[0, f], *map(cache.__getitem__, p[1:])])) + end for p, f in zip(split, firsts, strict=True)]
+    done = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([" " + w for w in todo] + firsts + whole, add_special_tokens=False)]
+    cache.update(zip(todo, done, strict=False))
+    first = dict(zip(firsts, done[len(todo) :], strict=False)) | {"": b""}
+    cache.update((w, cache[w[:-1]] + first[w[-1]]) for w in marked)
+    rest, end, out = iter(done[len(todo) + len(firsts) :]), int(end_id).to_bytes(4, "little"), []
+    for p, v, gap in zip(split, values, gaps, strict=True):
+        if p is None:
+            out.append(next(rest) + end)
+            continue
+        v[0] = first[p[0]]
+        for i in gap:
+            v[i] = cache[p[i]]
+        v.append(end)
+        out.append(b"".join(v))
+    return out
 
 
 def _encoded(batches, tokenizer_path: str, end_id: int):
@@ -96,7 +118,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
     rows = ordered.mapInArrow(lambda batches: _encoded(batches, tokenizer_path, end_id), f"shard int, pos long, doc_id {key}, n_tokens long, ids array<int>")
     (
-        rows.write.option("compression", "zstd")
+        rows.write.option("compression", "snappy")
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.page.row.count.limit", page_rows)
