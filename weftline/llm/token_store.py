@@ -27,7 +27,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 256
 #: Entries in each of the two generations of the cache of encoded words that a Python worker keeps: when the young one is full it replaces the old one, and words still in use move over.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 550_000
 
 _WORKER: dict = {}
 
