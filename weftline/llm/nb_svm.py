@@ -153,9 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cost: float =
     kind = {c: labelled.schema[c].dataType.simpleString() for c in ("doc_id", "quality")}
     # two samples of at most `sample` ids each
     picked = labelled.join(F.broadcast(materialize(chosen[0].union(chosen[1]), "nbsvm-sample")), F.col("doc_id") == F.col("id")).select("doc_id", "quality", "text")
-    found = sorted(picked.mapInArrow(run, f"doc_id {kind['doc_id']}, quality {kind['quality']}, at array<int>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], len(r["at"]), r["at"]))
-    rows = [vector(np.array(r["at"], np.int64), ratios) for r in found]
-    y = np.array([1.0 if r["quality"] > 0 else -1.0 for r in found])
+    found = picked.mapInArrow(run, f"doc_id {kind['doc_id']}, quality {kind['quality']}, at array<int>").toArrow()
+    lists = found.column("at").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    ids, quality = found.column("doc_id").to_pylist(), found.column("quality").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], ends[i + 1] - ends[i], values[ends[i] : ends[i + 1]].tobytes()))
+    rows = [vector(values[ends[i] : ends[i + 1]], ratios) for i in order]
+    y = np.array([1.0 if quality[i] > 0 else -1.0 for i in order])
     # classes weigh as they do among all labelled documents
     part = {1.0: one / max(1, (y > 0).sum()), -1.0: zero / max(1, (y < 0).sum())}
     weigh = np.array([part[v] for v in y])
