@@ -60,21 +60,26 @@ def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
     nodes = materialize(tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-nodes")
     known = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"))
     up = nodes.join(known, nodes["conv_id"].eqNullSafe(known["c"]) & (nodes["parent"] == known["n"]), "left").select("conv_id", "node", F.col("n").alias("up"), "score", F.col("n").isNotNull().cast("long").alias("depth"))
-    steps = [materialize(up, "chat-up")]
-    while len(steps) <= MOST_STEPS and not steps[-1].filter("up is not null").isEmpty():
-        near, far = steps[-1], steps[-1].select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("far_up"), F.col("score").alias("far_score"), F.col("depth").alias("far_depth"))
+    up = materialize(up, "chat-up")
+    # a message that has reached its root is done; only the others are joined further
+    steps, ends = [up.filter("up is not null")], up.filter("up is null")
+    while len(steps) <= MOST_STEPS and not steps[-1].isEmpty():
+        near = steps[-1]
+        far = near.unionByName(ends).select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("far_up"), F.col("score").alias("far_score"), F.col("depth").alias("far_depth"))
         joined = near.join(far, near["conv_id"].eqNullSafe(far["c"]) & (near["up"] == far["n"]), "left")
         further = joined.select("conv_id", "node", F.col("far_up").alias("up"), (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("far_depth", F.lit(0))).alias("depth"))
-        steps.append(materialize(further, "chat-up"))
-        if len(steps) > 2 and steps[-1].filter("up is not null").count() == steps[-2].filter("up is not null").count():
+        further = materialize(further, "chat-up")
+        reached = further.filter("up is null")
+        if reached.isEmpty():
             break  # only cycles are left
-    ends = steps[-1].filter("up is null")
+        steps.append(further.filter("up is not null"))
+        ends = ends.unionByName(reached)
     parents = nodes.select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).filter("p is not null").distinct()
     leaves = ends.join(parents, ends["conv_id"].eqNullSafe(parents["c"]) & (ends["node"] == parents["p"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("depth"), "node"))
     path = leaves.select("conv_id", F.col("node").alias("leaf"), rank.alias("rank"), "node").filter(F.col("rank") <= best)
-    for step in steps[:-1]:
-        jump = step.filter("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+    for step in steps:
+        jump = step.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
         above = path.join(jump, path["conv_id"].eqNullSafe(jump["c"]) & (path["node"] == jump["n"])).select("conv_id", "leaf", "rank", F.col("up").alias("node"))
         path = materialize(path.unionByName(above), "chat-paths")
     depth = ends.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "depth")
