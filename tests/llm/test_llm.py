@@ -479,3 +479,18 @@ def test_gradients_and_carried_state():
     states, _ = gru_lm.recur(w32, np.append(vocab.start, fed[:69])[:, None], np.zeros((1, gru_lm.HIDDEN), np.float32), False)
     once = gru_lm.log_likelihood(w32, states[:, 0], fed[:70], cls[:70])[0].sum() + share[:70].sum()
     assert together[0] == pytest.approx(alone[0]) and together[0] == pytest.approx(once, rel=1e-5)
+
+
+def test_training_reads_every_document_at_any_size(spark):
+    """The pass over the documents neither leaves any out nor repeats for the size of the corpus."""
+    names = [f"w{i}" for i in range(8)]
+    h = gru_lm.hashes(names)[0][::2]
+    c = np.full(8, 100, np.int64)
+    docs = spark.createDataFrame([(i, " ".join([w] * 40)) for i, w in enumerate(names)], "doc_id long, text string").coalesce(1)
+    order, found = np.argsort(h), []
+    for total in (800, 64_000_000):
+        vocab = gru_lm.Vocabulary(h, c, np.zeros((2, gru_lm.BINS)), total, 8)
+        w = gru_lm.initial_weights(vocab)
+        found.append(gru_lm.train(docs, gru_lm.Shared(h[order], c[order], vocab, w)))
+        assert (np.abs(found[-1]["x"][:8] - w["x"][:8]).max(axis=1) > 0).all(), total
+    assert all(np.array_equal(found[0][k], found[1][k]) for k in found[0])
