@@ -173,6 +173,27 @@ def test_line_chunks(spark, empty):
     assert line_chunks.clean(empty).count() == 0
 
 
+def test_line_runs_are_all_found(spark, tmp_path):
+    """Recall on planted passages of 2 to 8 lines is 1: of every later copy no line stays, and no other line goes."""
+    rng = random.Random(5)
+    own = lambda n: [f"own {rng.random()}" for _ in range(n)]
+    data, removed, k = [], {}, 0
+    for n in range(2, 9):
+        for _ in range(5):
+            passage = own(n)
+            before, after = own(rng.randrange(1, 6)), own(rng.randrange(0, 6))
+            data += [(k, "\n".join(own(3) + passage + own(2))), (k + 1, "\n".join(before + passage + after))]
+            removed[k + 1] = (n, "\n".join(before + after))
+            k += 2
+    data += [(500, "a b\na b\na b\na b\nz"), (501, "c\nd\nc\nd\nc\nd"), (502, "e\ne\ne"), (503, "\n\n\n\n"), (504, "\n\n\n\n"), (505, None), (506, "single"), (507, "single")]
+    removed |= {500: (2, "a b\na b\nz"), 501: (4, "c\nd")}
+    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = table(line_chunks.query(spark, str(tmp_path)))
+    for i, t in data:
+        n, text = removed.get(i, (0, t or ""))
+        assert (got[i]["n_removed_lines"], got[i]["cleaned_sha256"]) == (n, hashlib.sha256(text.encode()).hexdigest()), i
+
+
 def tiktoken_encoder():
     return bpe.Codec.of(*bpe.default_vocabulary()).encoder
 

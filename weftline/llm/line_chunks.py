@@ -1,17 +1,26 @@
-"""Line dedup by content-defined chunks.
-
-A rolling hash over the hashes of ``ROLL`` neighbouring lines ends a chunk where it
+"""Line dedup by content-defined pieces of lines.
+
+``query`` removes every run of at least ``LEAST`` lines that holds a word and stands at an
+earlier place (smallest doc_id, then position). Its pieces are the windows of ``LEAST``
+neighbouring lines (``windows``): a boundary at every line, so none can fall badly inside a
+passage, and a shared run, grown line by line to its full length, is the union of the
+windows in it. All places of a window but the first lose their lines; a window that
+overlaps its own first place stays, so the earliest copy of every line is kept.
+Windows of blank lines alone hold no word and are no evidence.
+
+``clean`` without ``cut=windows`` takes disjoint, larger chunks, for which a passage must hold two boundaries:
+a rolling hash over the hashes of ``ROLL`` neighbouring lines ends a chunk where it
 is divisible by ``DIVISOR``, so chunk boundaries depend on nearby lines only and
 come back into step after lines are inserted or removed. Chunks of at least ``LEAST`` lines that hold a word
-and stand in several places are removed everywhere but at their first place
-(smallest doc_id, then position). A hash only selects the candidates: places
-count as the same chunk if all their bytes agree.
+and stand in several places are removed everywhere but at their first place.
+In both, a hash only selects the candidates: places
+count as the same if all their bytes agree.
 
-Chunks are counted by hash first, summed before they are shuffled, so that a
-chunk in a third of all documents is one row of each task; the bytes of
+Pieces are counted by hash first, summed before they are shuffled, so that a
+piece in a third of all documents is one row of each task; the bytes of
 repeated hashes alone are read again and grouped.
 
-Cases: null counts as empty and stays as it is; empty texts and blank chunks are left alone;
+Cases: null counts as empty and stays as it is; empty texts and blank pieces are left alone;
 rows that repeat an id share its places, so they neither count as repeats nor
 lose their first place; null ids come first and count as one document; an empty table gives an empty
 result; all columns of the input pass through ``clean``.
@@ -55,7 +64,13 @@ def chunks(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
     return lines, out
 
 
-def _places(batches, with_bytes: bool):
+def windows(text: str | None) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Lines of a whole text, and the [first, last) lines of all runs of ``LEAST`` of them."""
+    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+    return lines, [(a, a + LEAST) for a in range(len(lines) - LEAST + 1)]
+
+
+def _places(batches, with_bytes: bool, cut):
     import xxhash
 
     for whole in batches:
@@ -63,7 +78,7 @@ def _places(batches, with_bytes: bool):
             batch = whole.slice(at, 1024)
             row, number, digest, raw = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                lines, spans = chunks(text)
+                lines, spans = cut(text)
                 for n, (a, b) in enumerate(spans):
                     if b - a >= LEAST:
                         chunk = b"\n".join(lines[a:b])
@@ -77,33 +92,40 @@ def _places(batches, with_bytes: bool):
             yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_bytes, names=["doc_id", "number", "digest", "chunk"][: 3 + with_bytes])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, numbers): the chunks of each document that are to be removed."""
+def repeats(docs: DataFrame, cut=chunks) -> DataFrame:
+    """(doc_id, numbers): the pieces of each document that are to be removed."""
     docs = docs.select("doc_id", "text")
     key = docs.schema["doc_id"].dataType.simpleString()
     place = F.struct("doc_id", "number")
-    slim = docs.mapInArrow(lambda batches: _places(batches, False), f"doc_id {key}, number int, digest long")
+    slim = docs.mapInArrow(lambda batches: _places(batches, False, cut), f"doc_id {key}, number int, digest long")
     twice = slim.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("digest")
     twice = materialize(twice, "lines-repeated")
-    whole = docs.mapInArrow(lambda batches: _places(batches, True), f"doc_id {key}, number int, digest long, chunk binary")
+    whole = docs.mapInArrow(lambda batches: _places(batches, True, cut), f"doc_id {key}, number int, digest long, chunk binary")
     found = materialize(whole.join(sized_broadcast(twice), "digest", "left_semi").select("doc_id", "number", "digest", "chunk"), "lines-places")
-    owners = materialize(found.groupBy("digest", "chunk").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("digest", "chunk", F.col("lo").alias("first")), "lines-owners")
-    gone = found.join(sized_broadcast(owners, 50_000), ["digest", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
+    kinds = materialize(found.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")), "lines-kinds")
+    # a digest of one kind of bytes tells its places by itself; bytes are shuffled once more only where several kinds share a digest
+    several = sized_broadcast(materialize(kinds.groupBy("digest").count().filter("count > 1").select("digest"), "lines-several"))
+    owners = kinds.filter("first <> last").drop("last")
+    parts = [(found.drop("chunk"), owners.drop("chunk"), ["digest"], "left_anti"), (found, owners, ["digest", "chunk"], "left_semi")]
+    owned = [x.join(several, "digest", how).join(sized_broadcast(y.join(several, "digest", how), 50_000), on).select("doc_id", "number", "first") for x, y, on, how in parts]
+    # windows overlap, so those that begin inside the first place are part of it
+    within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("number") < F.col("first.number") + (LEAST if cut is windows else 1))
+    gone = owned[0].unionByName(owned[1]).filter(~within)
     return materialize(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "lines-gone")
 
 
-def _without(batches, text_at: int):
+def _without(batches, text_at: int, cut):
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
             texts, n_lines, dropped = [], [], []
             for text, numbers in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                lines, spans = chunks(text)
+                lines, spans = cut(text)
                 n_lines.append(len(lines) if text else 0)
                 if numbers:
-                    drop = set(numbers)
-                    dropped.append(sum(b - a for n, (a, b) in enumerate(spans) if n in drop))
-                    text = b"\n".join(x for n, (a, b) in enumerate(spans) if n not in drop for x in lines[a:b]).decode("utf-8", "surrogatepass")
+                    drop = {k for n in numbers if n < len(spans) for k in range(*spans[n])}
+                    dropped.append(len(drop))
+                    text = b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode("utf-8", "surrogatepass")
                 else:
                     dropped.append(0)
                 texts.append(text)
@@ -112,16 +134,16 @@ def _without(batches, text_at: int):
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], f"{DROP}_lines", f"{DROP}_removed"])
 
 
-def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with repeated chunks removed from the text; two columns whose names begin with ``DROP`` count lines before and lines removed."""
-    gone = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumnsRenamed({"doc_id": f"{DROP}_id", "numbers": f"{DROP}_numbers"})
+def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cut=chunks) -> DataFrame:
+    """``docs`` with repeated pieces (by ``cut``: ``chunks`` or ``windows``) removed from the text; two columns whose names begin with ``DROP`` count lines before and lines removed."""
+    gone = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), cut).withColumnsRenamed({"doc_id": f"{DROP}_id", "numbers": f"{DROP}_numbers"})
     joined = docs.join(sized_broadcast(gone), docs[id_col].eqNullSafe(F.col(f"{DROP}_id")), "left").drop(f"{DROP}_id")
     schema = StructType([*docs.schema.fields]).add(f"{DROP}_lines", LongType()).add(f"{DROP}_removed", LongType())
     text_at = docs.columns.index(text_col)
     assert isinstance(joined.schema[-1].dataType, ArrayType) and isinstance(joined.schema[-1].dataType.elementType, IntegerType)
-    return joined.mapInArrow(lambda batches: _without(batches, text_at), schema)
+    return joined.mapInArrow(lambda batches: _without(batches, text_at, cut), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = clean(table(spark, sf_dir, "documents").select("doc_id", "text"), cut=windows)
     return cleaned.select("doc_id", F.col(f"{DROP}_lines").alias("n_lines"), F.col(f"{DROP}_removed").alias("n_removed_lines"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("cleaned_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("cleaned_sha256"))
