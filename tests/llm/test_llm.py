@@ -137,6 +137,14 @@ def test_pareto_inclusion(spark):
     assert sorted(tuple(r) for r in out) == [("s", 3000), ("t", 3000)]
 
 
+def test_mix_takes_preferred_documents_more_often(spark):
+    rows = [(i, " ".join(["w"] * 10), "s", 1.6 if i % 2 else 0.4) for i in range(400)]
+    df = spark.createDataFrame(rows, f"{DOCS}, liked double")
+    got = Counter(r["doc_id"] % 2 for r in mixing.mix(df, share=0.5, ranges=32, preference="liked").select("doc_id").collect())
+    # 200 copies: 0.8 and 0.2 expected of each document
+    assert sum(got.values()) == 200 and 140 <= got[1] <= 180
+
+
 def plain_chunks(data):
     return {i: line_chunks.chunks(t) for i, t in data}
 

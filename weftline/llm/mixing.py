@@ -113,12 +113,13 @@ def _with_copies(docs: DataFrame, targets: DataFrame, cuts: DataFrame, ranges: i
     return decided.withColumn("copies", (F.col("whole") + F.col("extra") + closes.cast("int")).cast("int"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, ranges: int = RANGES) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, ranges: int = RANGES, preference: str | None = None) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; ``preference`` names a column of expected copies relative to the source's mean."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    slim = docs.select(F.struct(*own).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets, cuts = plan_copies(materialize(slim.drop("row"), "mix-sizes"), weights, share, most, ranges)
-    taken = _with_copies(slim, targets, cuts, ranges, None).filter("copies > 0")
+    slim = docs.select(F.struct(*own).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), *([] if preference is None else [F.col(f"`{preference}`").cast("double").alias("preference")]))
+    wanted = None if preference is None else "preference"
+    targets, cuts = plan_copies(materialize(slim.drop("row"), "mix-sizes"), weights, share, most, ranges, wanted)
+    taken = _with_copies(slim, targets, cuts, ranges, wanted).filter("copies > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
