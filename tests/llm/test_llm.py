@@ -523,3 +523,15 @@ def test_training_reads_every_document_at_any_size(spark):
         found.append(gru_lm.train(docs, gru_lm.Shared(h[order], c[order], vocab, w)))
         assert (np.abs(found[-1]["x"][:8] - w["x"][:8]).max(axis=1) > 0).all(), total
     assert all(np.array_equal(found[0][k], found[1][k]) for k in found[0])
+
+
+def test_learned_types_grow_with_the_corpus(spark):
+    """All types counted often enough have weights of their own, not the first 512 only."""
+    counts = spark.range(2000).select(F.xxhash64("id").alias("hash"), F.lit(200).cast("long").alias("c"))
+    vocab = gru_lm.vocabulary(counts)
+    assert len(vocab.frequent) == 2000 and len(set(vocab.encode(vocab.frequent, np.full(2000, 200))[0])) == 2000
+    w = gru_lm.initial_weights(vocab)
+    fed, cls, share = vocab.encode(vocab.frequent, np.full(2000, 200))
+    state = np.ones((2000, gru_lm.HIDDEN), np.float32)
+    logs = gru_lm.log_likelihood(w, state, fed, cls)[0] + share
+    assert np.exp(logs).sum() == pytest.approx(1, abs=0.02)
