@@ -299,18 +299,47 @@ def test_signature_tree_prunes_no_pair():
     assert got.tolist() == up
 
 
-def test_block_keys_meet():
+def test_prefix_keys_meet():
     rng = np.random.default_rng(4)
     for num in (50, 80, 90):
-        classes = jaccard_join.SizeClasses(num, 100)
+        sets = []
         for n in (1, 3, 8, 20, 77, 300):
-            for _ in range(20):
-                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 2**44, n).astype(np.uint64))
                 drop = rng.integers(0, max(1, n * (100 - num) // 150) + 1)
-                b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop // 2).astype(np.uint64)]))
+                sets += [a, np.unique(np.concatenate([a[drop:], rng.integers(0, 2**44, drop // 2).astype(np.uint64), rng.integers(0, 5, 1).astype(np.uint64)]))]
+        sizes, holder, mark = np.array([len(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        _, back, times = np.unique(mark, return_inverse=True, return_counts=True)
+        held = np.minimum(times[back], 255)
+        some = held > 1
+        owner, key = jaccard_join.prefix_keys(sizes, holder[some], mark[some], held[some], num, 100)
+        keys = [set(key[owner == i].tolist()) for i in range(len(sets))]
+        pairs = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
                 both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-                if 100 * both >= num * either and len(a) and len(b) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(jaccard_join.block_keys(a, classes), jaccard_join.block_keys(b, classes)))
+                if 100 * both >= num * either:
+                    pairs += 1
+                    assert keys[i] & keys[j]
+        assert pairs > 10
+
+
+def test_jaccard_edges(spark, empty):
+    """A hot passage, a very long text, rows of one id, null ids, clashing names; small chunks and many of them."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(40))
+    long = " ".join(f"l{rng.randrange(10**6)}" for _ in range(700_000))
+    data = [(i, passage + " " + " ".join(f"d{i}x{k}" for k in range(i % 30))) for i in range(80)] + [(200, long), (201, long + " end"), (250, "a b c d e f"), (250, "u v w x y z"), (300, "u v w x y z"), (None, passage), (301, None), (302, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("gone", "keys", "rep", "block", "label", "__x")}).repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar(df, 5, 80).collect())
+    want = plain_components([(i, t) for i, t in data if i is not None and i != 250], 5, 80, 100)
+    # what meets either text of document 250 meets document 250
+    want |= {300: (2, 250)}
+    assert want[201][1] == 200
+    assert got == Counter([(i, n, c) for i, (n, c) in want.items()] + [(250, 2, 250), (250, 2, 250), (None, 36, None)])
+    stay = jaccard_join.dedup(df)
+    assert stay.columns == df.columns and jaccard_join.dedup(df.filter("false")).count() == 0
+    assert sorted(r["doc_id"] for r in stay.collect() if r["doc_id"] not in (None, 250)) == sorted(i for i, (n, c) in want.items() if c == i)
 
 
 def test_nb_svm(spark, empty):

@@ -3,13 +3,14 @@
 Two documents link if the Jaccard similarity of their sets of word shingles is
 at least num/den. Equal sets form one class first. For the rest:
 
-* Blocks. Linked sets of the sizes l..u differ in at most D = 2u(den - num)/(den + num)
-  shingles. Shingles are dealt by hash into D + 1 + t parts, so at least 1 + t parts of
-  a linked pair are equal; the content of a part with two shingles or more is a key. A set with at most t
-  thinner parts shares such a key with every partner; sets with more also give their parts of
-  one shingle, and with more than t empty ones the keys of their prefix in hash order. So every linked pair shares a
-  key, single common shingles seldom are one, and a passage that many documents hold is spread over
-  parts that it shares with their own words.
+* Census. A set of n shingles that links with another shares at least num * n / den of them with it, so
+  of its shingles in any fixed order the first n - ceil(num * n / den) + 1 hold one of the other's. The order is
+  by the number of sets that hold a shingle, rarest first: those of one set alone come first and are keys of nothing,
+  so most sets without a partner have no key at all, and a passage that many documents hold is a key only of
+  sets that consist of little else. The numbers are exact counts over all documents: shingles travel in
+  compressed chunks of a few bytes each to the task of their hash range, are counted there, and only those held
+  twice or more travel back to their chunk (``_chunks``, ``_counted``, ``_keyed``).
+* Blocks are the sets with a common key.
 * Trees. For a group of sets a tree is built whose nodes hold OR-combined bitmaps and
   size ranges. A traversal of node pairs drops those whose sizes do not match,
   whose bitmaps bound the overlap too low, or whose documents are
@@ -24,29 +25,33 @@ at least num/den. Equal sets form one class first. For the rest:
 
 Cases: null or empty texts have no shingles and link with nothing; with fewer
 words than a shingle the whole sequence is one; null ids link with nothing;
-rows that repeat an id and a text are one document; an empty table gives an
-empty result; other columns are not read.
+rows of one id are one document, which links with what any of its texts links with,
+while n_shingles is that of the row's own text; an empty table gives an
+empty result; other columns are not read, and pass through ``dedup`` whatever their names.
+``docs`` should be a scan of a table: a task that is run again must meet its rows in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.llm.common import materialize, partitions, sized_broadcast, table
 
 #: Shingles that a fragment of a block may hold, and documents at least.
 FRAGMENT_SHINGLES, FRAGMENT_LEAST = 1_000_000, 64
+#: Shingles that travel together in the census.
+CHUNK_SHINGLES = 1 << 19
 FANOUT = 8
 #: Bits of a bitmap for each shingle of the largest set of a block.
 BITS = 32
 
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,79 +78,181 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-class SizeClasses:
-    """Ranges l..u of sizes such that partners are in the same or a neighbouring range; parts and spare parts of each."""
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, compressed; the planes of high bytes are nearly empty."""
+    x = np.ascontiguousarray(x)
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.low, self.plan = num, den, [1], []
 
-    def _grow(self):
-        lo = self.low[-1]
-        hi = lo * self.den // self.num
-        most = 2 * hi * (self.den - self.num) // (self.den + self.num)
-        spare = 0
-        while spare < most + 1:
-            mean = lo / (most + 1 + spare)
-            thin = (most + 1 + spare) * math.exp(-mean) * (1 + mean)  # parts of no or one shingle, as a set of this size has on average
-            if spare >= thin + 2 * math.sqrt(thin):
-                break
-            spare += 1
-        self.plan.append((most, most + 1 + spare, spare))
-        self.low.append(hi + 1)
+def _unpacked(raw: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
 
-    def of(self, n: int) -> int:
-        import bisect
 
-        while self.low[-1] <= n:
-            self._grow()
-        return bisect.bisect_right(self.low, n) - 1
+_CHUNK = ["range", "chunk", "n", "marks", "holders", "counts", "ids", "sizes", "digests"]
 
-    def parts(self, c: int) -> tuple[int, int, int]:
-        while len(self.plan) <= c:
-            self._grow()
-        return self.plan[c]
 
+def _chunk_schema(key: str) -> str:
+    return f"range int, chunk long, n int, marks binary, holders binary, counts binary, ids array<{key}>, sizes array<long>, digests array<binary>"
+
+
+def _chunk_rows(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in zip(_CHUNK, kinds, strict=True)], names=_CHUNK)
+
+
+def _chunks(batches, size: int, ranges: int):
+    """Of each ``CHUNK_SHINGLES`` shingles of documents: a row with the ids, sizes and digests of the documents, and one for each hash range with its
+    shingles' marks (the first 48 bits of their hashes), sorted, and the number in the chunk of each one's document. Copies within a chunk are counted once."""
+    from pyspark import TaskContext
+
+    task, number = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+    ids, sizes, digests, sets, seen, total, id_type = [], [], [], [], set(), 0, None
+
+    def done():
+        chunk = task << 32 | number
+        yield {"range": chunk % ranges, "chunk": chunk, "ids": ids, "sizes": sizes, "digests": digests}
+        if total:
+            holder = np.repeat(np.array([i for i, _ in sets], np.uint16), [len(s) for _, s in sets])
+            mark = np.concatenate([s for _, s in sets]) >> np.uint64(16)
+            order = np.argsort(mark, kind="stable")
+            mark, holder = mark[order], holder[order]
+            at = ((mark >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
+            ends = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
+            for r in np.flatnonzero(np.diff(ends)).tolist():
+                a, b = int(ends[r]), int(ends[r + 1])
+                yield {"range": r, "chunk": chunk, "n": b - a, "marks": _packed(np.diff(mark[a:b], prepend=np.uint64(0))), "holders": _packed(holder[a:b])}
 
-def block_keys(s: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys of which every linked pair of different sets shares one."""
-    n = len(s)
-    if not n:
-        return np.zeros(0, np.int64)
-    own, keys, prefix = classes.of(n), [], False
-    spread = _mixed(s * _M3)
-    for c in (own, own + 1):
-        most, k, spare = classes.parts(c)
-        if not most or c > own and n * classes.den // classes.num < classes.low[c]:
-            continue  # only equal sets link here
-        part = ((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        content = np.add.reduceat(spread[order], first)
-        found = _mixed(content * _M1 + part[first] * _M2 + np.uint64(c + 1))
-        thick = np.diff(np.append(first, n)) > 1
-        keys.append(found if k - int(thick.sum()) > spare else found[thick])
-        prefix |= k - len(first) > spare
-    if prefix:
-        ordered = np.sort(spread)[: n - -(-classes.num * n // classes.den) + 1]
-        keys.append(_mixed(ordered * _M2 + np.uint64(7)))
-    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
-
-
-def _profiles(batches, size: int, num: int, den: int):
-    classes = SizeClasses(num, den)
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
-            counts, digests, keys = [], [], []
-            for text in batch.column("text").to_pylist():
+        id_type = whole.schema.field("doc_id").type
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, size)
-                counts.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                keys.append(block_keys(s, classes))
-            offsets = np.zeros(len(keys) + 1, np.int32)
-            np.cumsum([len(k) for k in keys], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))], names=["doc_id", "n", "digest", "keys"])
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                if len(s) and digest not in seen:
+                    seen.add(digest)
+                    sets.append((len(ids), s))
+                    total += len(s)
+                ids.append(doc_id)
+                sizes.append(len(s))
+                digests.append(digest)
+                if total >= CHUNK_SHINGLES or len(ids) >= 1 << 15:
+                    yield _chunk_rows(list(done()), id_type)
+                    number += 1
+                    ids, sizes, digests, sets, seen, total = [], [], [], [], set(), 0
+    if ids:
+        yield _chunk_rows(list(done()), id_type)
+
+
+def _counted(batches, id_type: pa.DataType):
+    """Rows sorted by range: of each chunk the shingles that are held twice or more in all, with that number (255 for more). Rows of documents pass through."""
+    rows, now = [], None
+
+    def done():
+        marks = [np.cumsum(_unpacked(r["marks"], r["n"], np.uint64)) for r in rows]
+        every = np.concatenate(marks)
+        order = np.argsort(every, kind="stable")
+        sorted_ = every[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        held = np.empty(len(every), np.uint8)
+        times = np.diff(np.append(first, len(every)))
+        held[order] = np.repeat(np.minimum(times, 255).astype(np.uint8), times)
+        at = 0
+        for r, mark in zip(rows, marks, strict=True):
+            mine = held[at : at + len(mark)]
+            at += len(mark)
+            some = np.flatnonzero(mine > 1)
+            if len(some):
+                holder = _unpacked(r["holders"], r["n"], np.uint16)[some]
+                yield {"range": r["range"], "chunk": r["chunk"], "n": len(some), "marks": _packed(np.diff(mark[some], prepend=np.uint64(0))), "holders": _packed(holder), "counts": _packed(mine[some])}
+
+    def sliced(found):
+        out = []
+        for r in found:
+            out.append(r)
+            if len(out) == 256:
+                yield _chunk_rows(out, id_type)
+                out = []
+        if out:
+            yield _chunk_rows(out, id_type)
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["ids"] is not None:
+                yield _chunk_rows([r], id_type)
+                continue
+            if r["range"] != now:
+                if rows:
+                    yield from sliced(done())
+                rows, now = [], r["range"]
+            rows.append(r)
+    if rows:
+        yield from sliced(done())
+
+
+def prefix_keys(sizes: np.ndarray, holder: np.ndarray, mark: np.ndarray, held: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, key) of documents with ``sizes`` shingles, of which ``mark`` are those that others may hold: what is left of the prefix after shingles held once."""
+    least = -(-num * sizes // den)
+    shared = np.bincount(holder, minlength=len(sizes))
+    take = np.maximum(shared - least + 1, 0)
+    order = np.lexsort((mark, held, holder))
+    holder, mark = holder[order], mark[order]
+    place = np.arange(len(holder)) - (np.cumsum(shared) - shared)[holder]
+    some = place < take[holder]
+    return holder[some], _mixed(mark[some] * _M1 + np.uint64(1)).view(np.int64)
+
+
+def _keyed(batches, num: int, den: int):
+    """Rows sorted by chunk: (doc_id, n, digest, keys) of its documents."""
+    rows, now = [], None
+
+    def done():
+        docs = next(r for r in rows if r["ids"] is not None)
+        n = np.array(docs["sizes"], np.int64)
+        parts = [(np.cumsum(_unpacked(r["marks"], r["n"], np.uint64)), _unpacked(r["holders"], r["n"], np.uint16), _unpacked(r["counts"], r["n"], np.uint8)) for r in rows if r["ids"] is None]
+        mark, holder, held = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in (np.uint64, np.uint16, np.uint8))
+        owner, key = prefix_keys(n, holder.astype(np.int64), mark, held, num, den)
+        order = np.lexsort((key, owner))
+        owner, key = owner[order], key[order]
+        first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])))[: len(owner)]
+        owner, key = owner[first], key[first]
+        # copies within the chunk have the keys of the first
+        ends = np.searchsorted(owner, np.arange(len(n) + 1))
+        home, of = {}, []
+        for i, d in enumerate(docs["digests"]):
+            of.append(home.setdefault(d, i))
+        lists = [key[ends[i] : ends[i + 1]] for i in of]
+        offsets = np.zeros(len(n) + 1, np.int32)
+        np.cumsum([len(x) for x in lists], out=offsets[1:])
+        return docs["ids"], n, docs["digests"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64), pa.int64()))
+
+    for batch in batches:
+        kind = batch.schema.field("ids").type.value_type
+        for r in batch.to_pylist():
+            if r["chunk"] != now:
+                if rows:
+                    ids, n, digests, keys = done()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n), pa.array(digests, pa.binary()), keys], names=["doc_id", "n", "digest", "keys"])
+                rows, now = [], r["chunk"]
+            rows.append(r)
+    if rows:
+        ids, n, digests, keys = done()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n), pa.array(digests, pa.binary()), keys], names=["doc_id", "n", "digest", "keys"])
+
+
+def profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, digest, keys): of each document the number of its shingles, the digest of its set, and keys of which every two linked sets that differ share one."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+    ranges = partitions(docs.sparkSession)
+    chunks = docs.select("doc_id", "text").mapInArrow(lambda batches: _chunks(batches, size, ranges), _chunk_schema(key))
+    counted = chunks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _counted(batches, id_type), _chunk_schema(key))
+    return counted.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda batches: _keyed(batches, num, den), f"doc_id {key}, n long, digest binary, keys array<long>")
 
 
 class SignatureTree:
@@ -319,20 +426,20 @@ def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    key = docs.schema["doc_id"].dataType.simpleString()
-    profiles = materialize(docs.mapInArrow(lambda batches: _profiles(batches, size, num, den), f"doc_id {key}, n long, digest binary, keys array<long>"), "jaccard-profiles")
-    filled = profiles.filter("n > 0 and doc_id is not null")
+    found = materialize(profiles(docs, size, num, den), "jaccard-profiles")
+    filled = found.filter("n > 0 and doc_id is not null")
     # one document stands for all with its set
-    reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.explode("r.keys").alias("block"))
-    by_block = Window.partitionBy("block")
-    met = materialize(reps.withColumn("m", F.count("*").over(by_block)).filter("m > 1").withColumn("low", F.min("rep").over(by_block)), "jaccard-blocks")
+    reps = filled.filter(F.size("keys") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select(F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.explode("r.keys").alias("key"))
+    reps = materialize(reps, "jaccard-keys")
+    blocks = materialize(reps.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low")).filter("m > 1").withColumnRenamed("key", "block"), "jaccard-blocks")
+    met = reps.join(sized_broadcast(blocks), F.col("key") == F.col("block")).select("block", "rep", "n", "m", "low")
     # a family is what blocks connect; linked sets are in one family
     # each document is tied to the lowest document it meets, and the lowest of its other blocks to that one: blocks share these, so few edges are left
-    lowest = met.withColumn("lowest", F.min("low").over(Window.partitionBy("rep")))
-    ends = F.array(F.struct(F.col("rep").alias("a"), F.col("lowest").alias("b")), F.struct(F.col("low").alias("a"), F.col("lowest").alias("b")))
-    edges = materialize(lowest.select("rep", "low", "lowest").distinct().select(F.explode(ends).alias("e")).select("e.*").filter("a <> b").distinct(), "jaccard-edges")
+    lowest = met.groupBy("rep").agg(F.min("low").alias("lowest"), F.collect_set("low").alias("lows"))
+    edges = lowest.select("lowest", F.explode(F.array_union(F.array("rep"), F.col("lows"))).alias("a")).filter("a <> lowest").select("a", F.col("lowest").alias("b")).distinct()
+    edges = materialize(edges, "jaccard-edges")
     families = components(edges).select(F.col("node").alias("member"), F.col("label").alias("family"))
-    sized = families.join(met.select(F.col("rep").alias("member"), "n").distinct(), "member")
+    sized = families.join(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("member")).agg(F.max("n").alias("n")), "member")
     large = sized.groupBy("family").agg(F.count("*").alias("m"), F.max("n").alias("most")).filter(_fragments(F.col("most"), F.col("m")) > 1).select(F.col("family").alias("split"))
     families = materialize(families.join(F.broadcast(large) if large.count() <= 100_000 else large, F.col("family") == F.col("split"), "left"), "jaccard-families")
     whole = families.filter("split is null").select(F.col("family").alias("block"), F.lit(0).cast("long").alias("part"), F.col("member").alias("rep"), F.col("member").alias("label"))
@@ -343,7 +450,7 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
         links = links.unionByName(_by_blocks(rest, docs, size, num, den))
     sets = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
     sets = materialize(sets, "jaccard-classes")
-    known = profiles.select("doc_id", "n", "digest").join(sized_broadcast(sets), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    known = found.select("doc_id", "n", "digest").join(sized_broadcast(sets), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     return known.join(sized_broadcast(links).withColumnRenamed("a", "rep").withColumnRenamed("b", "component"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -395,9 +502,9 @@ def _chained(links: DataFrame, more: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """The document with the smallest id of each component stays; documents without shingles or id stay as well."""
-    found = similar(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = similar(docs, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias("__jaccard_gone")).distinct()
     gone = materialize(found, "jaccard-gone")
-    return docs.join(sized_broadcast(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(sized_broadcast(gone), docs["doc_id"] == gone["__jaccard_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
