@@ -419,6 +419,19 @@ def test_exact_dedup(spark, data, empty, monkeypatch):
     assert exact_dedup.dedup(empty).count() == 0
 
 
+def test_exact_dedup_edges(spark):
+    """String ids, repeated ids and rows, a very long text, names that clash, and copies that only differ in white space."""
+    long = "é b" * 1_700_000
+    rows = [("b", "x y"), ("a", "xy "), (None, " xy"), ("c", "x  y"), ("c", "x  y"), ("c", " x y"), ("d", long), ("e", long + " "), ("f", None), ("f", ""), ("g", " ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("sha", "doc", "count", "string", "part", "points", "length")}).repartition(4)
+    out = exact_dedup.annotate(df)
+    kept = sorted((r["doc_id"], r["text"]) for r in out.filter("__owner_kept").collect())
+    assert kept == [("c", " x y"), ("e", long + " "), ("g", " ")]
+    assert Counter((r["__owner_keep_id"], r["__owner_group_size"]) for r in out.select("__owner_keep_id", "__owner_group_size").collect()) == {("c", 6): 6, ("e", 2): 2, ("g", 3): 3}
+    stay = exact_dedup.dedup(df)
+    assert stay.columns == df.columns and stay.count() == 3
+
+
 def test_patricia_trie():
     rng = random.Random(8)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 12))) for _ in range(300)]
@@ -426,7 +439,28 @@ def test_patricia_trie():
     for k in keys:
         node = trie.put(k)
         assert nodes.setdefault(k, node) is node
+        exact_dedup._merge(node, k.hex(), 0, None, 1, 1)
     assert len(set(map(id, nodes.values()))) == len(nodes)
+    # one trie holds them all, with shared prefixes as inner nodes
+    assert {k: v[4] for k, v in exact_dedup._terminals(trie.root)} == Counter(keys) and all(k.hex() == v[0] for k, v in exact_dedup._terminals(trie.root))
+    assert len(trie.root.kids) <= 2
+
+
+def test_subtrees_spill(monkeypatch):
+    """A part whose trie is over its limit writes out complete subtrees, with the same owners."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    strings = sorted(bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 700 for i in range(2000)], pa.int32()), pa.array(strings, pa.binary()), pa.array([s.hex() for s in strings]), pa.array([len(s) for s in strings], pa.int64()), pa.array([rng.randrange(50) for _ in strings], pa.int64()), pa.array([1] * 2000, pa.int64()), pa.array([1] * 2000, pa.int64())], names=["part", "string", "sha", "points", "doc", "ties", "count"])
+    found, spills = [], []
+    spilled = exact_dedup._spilled
+    monkeypatch.setattr(exact_dedup, "_spilled", lambda trie, last: spills.append(list(spilled(trie, last))) or spills[-1])
+    for limit in (64 << 20, 5000, 0):
+        monkeypatch.setattr(exact_dedup, "SPILL_BYTES", limit)
+        rows = [r for b in exact_dedup._owners(iter([batch])) for r in b.to_pylist()]
+        found.append(sorted((r["sha"], r["doc"], r["ties"], r["count"]) for r in rows))
+    assert found[0] == found[1] == found[2] and len(spills) > 2000 and max(map(len, spills)) > 5
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])

@@ -1,20 +1,22 @@
 """Exact dedup by Patricia-trie owners.
 
-Texts are equal if identical once white space is deleted. Each task first
-inserts the full byte strings of a window of rows into tries, one for each
-(length, content hash), and passes on one string for each terminal node with
-the best row it has seen: many copies of one text shrink to one string for
-each window. These strings are dealt out by (length, content hash) and sorted, and tries
-over them give each string its owner. A trie is a subtree of the partition's
-whole trie; when its (length, hash) range is over, the subtree is written out
-and dropped, so what a task holds is one range, however large the partition.
-Row numbers, not strings, carry the owners back to the rows.
+Texts are equal if identical once white space is deleted. Strings are dealt by
+length and content hash into parts, and each part has one compressed radix trie of the full byte
+strings: it descends byte by byte, so equal hashes alone never make two texts equal. A terminal node holds the best row so far.
+
+* Each task first inserts a window of rows into ``PARTS`` tries and passes on one row for each terminal node, so that many
+  copies of one text shrink to one for each window.
+* Strings whose (length, hash) only one window has seen are done. The others travel, in full, to the task of their part
+  and are inserted in sorted order into that part's trie. Subtrees to the left of the last string are complete; when a trie
+  holds more than ``SPILL_BYTES`` they are written out and dropped.
+* Rows find their owner by the content hash of their string; texts are not written or shuffled for it
+  as long as the owners of repeated texts fit a broadcast.
 
 Cases: null counts as the empty text, and empty texts are copies of each
 other; of equal texts the row with the most code points stays, then the
-smallest doc_id (null last), then the first row; exactly one row of a group stays even if
-doc_ids repeat; an empty table gives an empty result; all columns of the input
-pass through, whatever their names.
+smallest doc_id (null last; of strings the first in byte order), and of rows that agree in both one, the first by text;
+an empty table gives an empty result; all columns of the input
+pass through, whatever their names. Texts of different bytes that share a length and a SHA-256 raise an error.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from weftline.llm.common import materialize, partitions, sized_broadcast, table
 
@@ -32,6 +33,10 @@ from weftline.llm.common import materialize, partitions, sized_broadcast, table
 WINDOW_BYTES = 32 << 20
 #: Rows that a task holds before it passes them on.
 WINDOW_ROWS = 100_000
+#: Tries of a window.
+PARTS = 64
+#: Bytes of strings in a trie beyond which its complete subtrees are written out.
+SPILL_BYTES = 64 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 OWN = "__owner"
 
@@ -81,110 +86,169 @@ def _common(label: bytes, key: bytes, at: int) -> int:
     return lo
 
 
-def _rank(points: int, doc_id, row: int) -> tuple:
-    """Larger is better."""
-    return points, doc_id is not None, -(doc_id or 0), -row
+def _better(a: tuple, b: tuple) -> bool:
+    """Whether (points, doc_id) ``a`` stays rather than ``b``."""
+    if a[0] != b[0]:
+        return a[0] > b[0]
+    if a[1] is None or b[1] is None:
+        return b[1] is None and a[1] is not None
+    return a[1] < b[1]
 
 
-def _local(batches, text_at: int, id_at: int, seed: int):
-    """Append to each row: its number, digest, the number of the first row of its window with the same text and, on that row, the window's best row of that text and count."""
-    from pyspark import TaskContext
+def _merge(node: Node, sha: str, points: int, doc_id, ties: int, count: int) -> bool:
+    """Add rows to a terminal node: how many, the best of them and how many are as good. True if the node is new."""
+    v = node.value
+    if v is None:
+        node.value = [sha, points, doc_id, ties, count]
+        return True
+    v[4] += count
+    if (points, doc_id) == (v[1], v[2]):
+        v[3] += ties
+    elif _better((points, doc_id), (v[1], v[2])):
+        v[1:4] = points, doc_id, ties
+    return False
 
-    row = (TaskContext.get().partitionId() if TaskContext.get() else seed) << 36
-    held, tries, size, n = [], {}, 0, 0
 
-    def flush():
-        for batch, rows in held:
-            own = [(r, sha, node.value["first"], *(node.value["best"][i] if node.value["first"] == r else None for i in range(3)), node.value["count"] if node.value["first"] == r else None) for r, sha, node in rows]
-            cols = list(zip(*own, strict=True)) if own else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), batch.schema.field(id_at).type, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*batch.schema.names, *(OWN + x for x in ("_row", "_sha", "_first", "_points", "_doc", "_best", "_count"))])
+def _terminals(node: Node, key: bytes = b""):
+    """(string, value) of all terminal nodes of a subtree."""
+    todo = [(node, key)]
+    while todo:
+        node, key = todo.pop()
+        key += node.label
+        if node.value is not None:
+            yield key, node.value
+        todo.extend((kid, key) for kid in node.kids.values())
+
+
+def _spilled(trie: PatriciaTrie, last: bytes):
+    """Write out what does not lie on the path to ``last``: with sorted strings it is complete."""
+    node, at = trie.root, 0
+    while at < len(last):
+        path = node.kids[last[at]]
+        for kid in list(node.kids.values()):
+            if kid is not path:
+                yield from _terminals(kid, last[:at])
+        node.kids = {last[at]: path}
+        if node.value is not None:
+            yield last[:at], node.value
+            node.value = None
+        node, at = path, at + len(path.label)
+
+
+_FIELDS = ["part", "length", "sha", "points", "doc", "ties", "count", "string"]
+
+
+def _schema(key: str, with_strings: bool) -> str:
+    return f"part int, length int, sha string, points long, doc {key}, ties long, count long" + ", string binary" * with_strings
+
+
+def _rows(found: list[tuple], id_type: pa.DataType, with_strings: bool):
+    """Record batches of (string, [sha, points, doc, ties, count])."""
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), id_type, pa.int64(), pa.int64(), pa.binary()][: 7 + with_strings]
+    for at in range(0, len(found), 1024):
+        rows = [(_part(len(s), v[0]), len(s), *v, s) for s, v in found[at : at + 1024]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=_FIELDS[: 7 + with_strings])
+
+
+def _part(length: int, sha: str) -> int:
+    return (length + int(sha[:8], 16)) % (1 << 20)
+
+
+def _local(batches, with_strings: bool):
+    """One row for each distinct string of a window."""
+    tries, size, n = [PatriciaTrie() for _ in range(PARTS)], 0, 0
+
+    def found():
+        return [x for trie in tries for x in _terminals(trie.root)]
 
     for whole in batches:
+        id_type = whole.schema.field("doc_id").type
         for at in range(0, whole.num_rows, 2048):
-            batch, rows = whole.slice(at, 2048), []
-            for text, doc_id in zip(batch.column(text_at).to_pylist(), batch.column(id_at).to_pylist(), strict=True):
+            batch = whole.slice(at, 2048)
+            for text, doc_id in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
                 text = text or ""
-                key = text.encode().translate(None, WHITE)
-                digest = hashlib.sha256(key)
-                bucket = len(key), digest.digest()[:8]
-                if bucket not in tries:
-                    tries[bucket] = PatriciaTrie()
+                key = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
+                sha = hashlib.sha256(key).hexdigest()
+                if _merge(tries[_part(len(key), sha) % PARTS].put(key), sha, len(text), doc_id, 1, 1):
                     size += len(key) + 500
-                node = tries[bucket].put(key)
-                best = len(text), doc_id, row
-                if node.value is None:
-                    node.value = {"first": row, "best": best, "count": 1}
-                else:
-                    node.value["count"] += 1
-                    if _rank(*best) > _rank(*node.value["best"]):
-                        node.value["best"] = best
-                rows.append((row, digest.hexdigest(), node))
-                row += 1
-            held.append((batch, rows))
-            size += batch.nbytes
-            n += len(rows)
+            n += batch.num_rows
             if size > WINDOW_BYTES or n > WINDOW_ROWS:
-                yield from flush()
-                held, tries, size, n = [], {}, 0, 0
-    yield from flush()
-
-
-def _owners(batches, id_type):
-    """Rows sorted by (length, hash): each string's owner over all windows."""
-    bucket, trie, members = None, None, []
+                yield from _rows(found(), id_type, with_strings)
+                tries, size, n = [PatriciaTrie() for _ in range(PARTS)], 0, 0
+    if n:
+        yield from _rows(found(), id_type, with_strings)
 
-    def emit():
-        out = [(first, node.value["best"][1], node.value["best"][2], node.value["count"]) for first, node in members]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), id_type, pa.int64(), pa.int64()), strict=True)], names=["first", "keep_id", "keep_row", "group_size"])
 
-    done, n = [], 0
+def _owners(batches):
+    """Rows sorted by part and string: each string's owner over all windows."""
+    part, trie, size, out = None, PatriciaTrie(), 0, []
     for batch in batches:
-        for length, head, key, first, points, doc_id, row, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (length, head) != bucket:
-                if members:
-                    done.append(emit())
-                    n += 1
-                bucket, trie, members = (length, head), PatriciaTrie(), []
-                if n >= 1000:
-                    yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-                    done, n = [], 0
-            node = trie.put(key)
-            best = points, doc_id, row
-            if node.value is None:
-                node.value = {"best": best, "count": count}
-            else:
-                node.value["count"] += count
-                if _rank(*best) > _rank(*node.value["best"]):
-                    node.value["best"] = best
-            members.append((first, node))
-    if members:
-        done.append(emit())
-    if done:
-        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-
-
-def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+        id_type = batch.schema.field("doc").type
+        for p, key, sha, points, doc_id, ties, count in zip(*(batch.column(c).to_pylist() for c in ("part", "string", "sha", "points", "doc", "ties", "count")), strict=True):
+            if p != part:
+                out += _terminals(trie.root)
+                part, trie, size = p, PatriciaTrie(), 0
+            if _merge(trie.put(key), sha, points, doc_id, ties, count):
+                size += len(key) + 500
+            if size > SPILL_BYTES:
+                out += _spilled(trie, key)
+                size = len(key) + 500
+            if len(out) >= 1024:
+                yield from _rows(out, id_type, False)
+                out = []
+    out += _terminals(trie.root)
+    if out:
+        yield from _rows(out, id_type, False)
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
+
+
+def owners(docs: DataFrame) -> DataFrame:
+    """(sha, points, doc, ties, count) of each text that several rows of ``docs`` (doc_id, text) have: the best row's code points and id, how many rows have these, and how many the text."""
+    spark, key = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
+    seen = materialize(docs.mapInArrow(lambda batches: _local(batches, False), _schema(key, False)), "dedup-seen")
+    groups = seen.groupBy("length", "sha").agg(F.count("*").alias("windows"), F.sum("count").alias("rows")).filter("rows > 1")
+    groups = materialize(groups, "dedup-groups")
+    several = materialize(groups.filter("windows > 1").select("length", "sha"), "dedup-several")
+    strings = docs.mapInArrow(lambda batches: _local(batches, True), _schema(key, True)).join(sized_broadcast(several), ["length", "sha"], "left_semi")
+    n = partitions(spark)
+    dealt = strings.withColumn("part", F.col("part") % n).repartition(n, "part").sortWithinPartitions("part", "string")
+    met = dealt.mapInArrow(_owners, _schema(key, False))
+    met = materialize(met, "dedup-owners").select("sha", "points", "doc", "ties", "count")
+    clash = met.groupBy("sha").count().filter("count > 1").select(F.assert_true(F.lit(False), "different texts with one hash")).collect()
+    assert not clash
+    alone = seen.join(sized_broadcast(groups.filter("windows = 1").select("length", "sha")), ["length", "sha"], "left_semi").select(*met.columns)
+    return materialize(met.unionByName(alone), "dedup-owned")
+
+
+def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", only_kept: bool = False) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256, in columns whose names begin with ``__owner`` (``OWN``)."""
-    spark = docs.sparkSession
-    text_at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
-    key = docs.schema[id_col].dataType.simpleString()
-    own = f"{OWN}_row long, {OWN}_sha string, {OWN}_first long, {OWN}_points long, {OWN}_doc {key}, {OWN}_best long, {OWN}_count long"
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(own).fields])
-    rows = materialize(docs.mapInArrow(lambda batches: _local(batches, text_at, id_at, 0), schema), "dedup-rows")
-    strings = rows.filter(F.col(f"{OWN}_count").isNotNull()).select(F.encode(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", ""), "UTF-8").alias("string"), *(f"{OWN}_{x}" for x in ("sha", "first", "points", "doc", "best", "count")))
-    strings = strings.select(F.octet_length("string").alias("length"), F.substring(f"{OWN}_sha", 1, 16).alias("head"), "string", *(f"{OWN}_{x}" for x in ("first", "points", "doc", "best", "count")))
-    id_type = pa.int64() if key == "bigint" else pa.int32()
-    owners = strings.repartition(partitions(spark), "length", "head").sortWithinPartitions("length", "head").mapInArrow(lambda batches: _owners(batches, id_type), f"first long, keep_id {key}, keep_row long, group_size long")
-    owners = materialize(owners, "dedup-owners").withColumnsRenamed({c: f"{OWN}_{c}" for c in ("keep_id", "keep_row", "group_size")})
-    joined = rows.join(sized_broadcast(owners).withColumnRenamed("first", f"{OWN}_first"), f"{OWN}_first")
-    return joined.withColumn(f"{OWN}_kept", F.col(f"{OWN}_row") == F.col(f"{OWN}_keep_row"))
+    own = lambda x: F.col(OWN + x)
+    text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    found = owners(docs.select(doc_id.alias("doc_id"), text.alias("text")))
+    found = found.withColumnsRenamed({"sha": f"{OWN}_key", "points": f"{OWN}_points", "doc": f"{OWN}_doc", "ties": f"{OWN}_ties", "count": f"{OWN}_count"})
+    named = docs.withColumn(f"{OWN}_sha", _sha(text))
+    joined = named.join(sized_broadcast(found), own("_sha") == own("_key"), "left")
+    lone = own("_key").isNull()
+    best = lone | ((F.length(F.coalesce(text, F.lit(""))) == own("_points")) & doc_id.eqNullSafe(own("_doc")))
+    joined = joined.withColumn(f"{OWN}_kept", best).withColumn(f"{OWN}_keep_id", F.when(lone, doc_id).otherwise(own("_doc"))).withColumn(f"{OWN}_group_size", F.coalesce(own("_count"), F.lit(1)).cast("long"))
+    joined = joined.filter(own("_kept")) if only_kept else joined
+    if not found.filter(own("_ties") > 1).isEmpty():
+        # rows that agree in id and code points with their text's owner: one of them stays
+        tied = own("_kept") & F.coalesce(own("_ties") > 1, F.lit(False))
+        held = materialize(joined.filter(tied).withColumn(f"{OWN}_row", F.monotonically_increasing_id()), "dedup-tied")
+        first = held.groupBy(f"{OWN}_sha").agg(F.min(F.struct(text, own("_row")))[f"{OWN}_row"].alias(f"{OWN}_first")).select(f"{OWN}_first")
+        chosen = held.join(sized_broadcast(materialize(first, "dedup-first")), own("_row") == own("_first"), "left").withColumn(f"{OWN}_kept", own("_first").isNotNull()).drop(f"{OWN}_row", f"{OWN}_first")
+        joined = joined.filter(~tied).unionByName(chosen.filter(own("_kept")) if only_kept else chosen)
+    return joined
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    return annotate(docs, text_col, id_col).filter(f"{OWN}_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return annotate(docs, text_col, id_col, only_kept=True).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
