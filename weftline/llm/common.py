@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +17,40 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 #: Tables with at most this many rows of a few fixed-width columns are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
+#: Names this process's folder of intermediate tables.
+_RUN = uuid.uuid4().hex
+_FOLDERS: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it."""
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it. Where that is unset a local session uses its own temp folder; a cluster has to name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "/tmp/weftline-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
+    """A path of its own in this process's folder, which is deleted when the process ends."""
+    folder = f"{shared_dir(spark)}/weftline/{_RUN}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
 
 
 def partitions(spark: SparkSession) -> int:

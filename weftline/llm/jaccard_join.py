@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import materialize, partitions, sized_broadcast, table
+from weftline.llm.common import discard, materialize, partitions, sized_broadcast, table
 
 #: Shingles that a fragment of a block may hold, and documents at least.
-FRAGMENT_SHINGLES, FRAGMENT_LEAST = 1_000_000, 64
+FRAGMENT_SHINGLES, FRAGMENT_LEAST = 1 << 18, 64
 #: Shingles that travel together in the census.
 CHUNK_SHINGLES = 1 << 19
 FANOUT = 8
@@ -398,21 +398,25 @@ def _round(rows: DataFrame, docs: DataFrame, size: int, num: int, den: int, labe
     rows = materialize(rows, label)
     texts = docs.join(sized_broadcast(rows), F.col("doc_id") == F.col("rep")).select("block", "part", "label", "text")
     dealt = texts.repartition(partitions(docs.sparkSession), "block", "part").sortWithinPartitions("block", "part")
-    return materialize(dealt.mapInArrow(lambda batches: _join_blocks(batches, size, num, den), "a long, b long").distinct(), label + "-links")
+    links = materialize(dealt.mapInArrow(lambda batches: _join_blocks(batches, size, num, den), "a long, b long").distinct(), label + "-links")
+    discard(rows)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``links`` (a, b) reaches. Labels spread along links and jump to their label's label, so the rounds grow with the logarithm of a path's length."""
     both = materialize(links.union(links.select("b", "a")).distinct(), "links")
-    state = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    state = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.lit(None).cast(both.schema["a"].dataType).alias("was"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
+        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         spread = state.join(near, state["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = state.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = materialize(spread.join(jump, spread["label"] == jump["via"], "left").select("node", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        state = after.select("node", "label")
-        if after.filter("label <> was").isEmpty():
-            return state
+        discard(state)
+        state = after
+        if state.filter("label <> was").isEmpty():
+            discard(both)
+            return state.select("node", "label")
 
 
 def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -448,6 +452,8 @@ def similar(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> Da
     if not split.isEmpty():
         rest = materialize(met.join(sized_broadcast(split), F.col("rep") == F.col("member"), "left_semi").select("block", "rep", "n", "m"), "jaccard-split")
         links = links.unionByName(_by_blocks(rest, docs, size, num, den))
+        discard(rest)
+    discard(reps, blocks, edges, families)
     sets = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "rep")
     sets = materialize(sets, "jaccard-classes")
     known = found.select("doc_id", "n", "digest").join(sized_broadcast(sets), "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
