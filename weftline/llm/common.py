@@ -16,6 +16,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 #: Tables with at most this many rows of a few fixed-width columns are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32 << 20
 
 #: Names this process's folder of intermediate tables.
 _RUN = uuid.uuid4().hex
@@ -82,6 +83,7 @@ def word_count(text):
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_CLASS + "+")).cast("long")
 
 
-def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else unchanged, so that the join shuffles. Give it narrow, materialized tables."""
-    return F.broadcast(df) if df.count() <= limit else df
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, weight=None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows, and ``most`` bytes by the column ``weight`` (of rows that aren't narrow), else unchanged, so that the join shuffles. Give it materialized tables."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if weight is None else weight), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= limit and found["b"] <= most else df

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.SQL,
+    "op3_line_chunks": line_chunks.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op7_chat_format": chat_format.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
