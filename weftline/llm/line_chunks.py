@@ -20,10 +20,12 @@ Pieces are counted by hash first, summed before they are shuffled, so that a
 piece in a third of all documents is one row of each task; the bytes of
 repeated hashes alone are read again and grouped.
 
+A document is a doc_id with a text: rows of one id, or without one, that hold different texts are different documents, told apart by a 64-bit hash of the text.
+
 Cases: null counts as empty and stays as it is; empty texts and blank pieces are left alone;
-rows that repeat an id share its places, so they neither count as repeats nor
-lose their first place; null ids come first and count as one document; an empty table gives an empty
-result; all columns of the input pass through ``clean``.
+rows that repeat an id and a text share its places, so they neither count as repeats nor
+lose their first place; null ids come first; of one id the text with the lowest hash comes first; a chunk that finds no boundary ends after ``MOST`` lines; an empty table gives an empty
+result; all columns of the input pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from weftline.llm.common import materialize, sized_broadcast, table
+from weftline.llm.common import discard, materialize, sized_broadcast, table
 
 ROLL = 2
 DIVISOR = 3
@@ -87,31 +89,34 @@ def _places(batches, with_bytes: bool, cut):
                             number.append(n)
                             digest.append(xxhash.xxh3_64_intdigest(chunk))
                             raw.append(chunk)
-            ids = batch.column("doc_id").take(pa.array(row, pa.int32()))
-            columns = [ids, pa.array(number, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_bytes, names=["doc_id", "number", "digest", "chunk"][: 3 + with_bytes])
+            own = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("doc_id", "mark")]
+            columns = [*own, pa.array(number, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_bytes, names=["doc_id", "mark", "number", "digest", "chunk"][: 4 + with_bytes])
 
 
 def repeats(docs: DataFrame, cut=chunks) -> DataFrame:
-    """(doc_id, numbers): the pieces of each document that are to be removed."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, mark, numbers): the pieces of each document of ``docs`` (doc_id, mark, text) that are to be removed."""
+    docs = docs.select("doc_id", "mark", "text")
     key = docs.schema["doc_id"].dataType.simpleString()
-    place = F.struct("doc_id", "number")
-    slim = docs.mapInArrow(lambda batches: _places(batches, False, cut), f"doc_id {key}, number int, digest long")
+    place = F.struct("doc_id", "mark", "number")
+    schema = f"doc_id {key}, mark long, number int, digest long"
+    slim = docs.mapInArrow(lambda batches: _places(batches, False, cut), schema)
     twice = slim.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("digest")
     twice = materialize(twice, "lines-repeated")
-    whole = docs.mapInArrow(lambda batches: _places(batches, True, cut), f"doc_id {key}, number int, digest long, chunk binary")
-    found = materialize(whole.join(sized_broadcast(twice), "digest", "left_semi").select("doc_id", "number", "digest", "chunk"), "lines-places")
+    whole = docs.mapInArrow(lambda batches: _places(batches, True, cut), f"{schema}, chunk binary")
+    found = materialize(whole.join(sized_broadcast(twice), "digest", "left_semi").select("doc_id", "mark", "number", "digest", "chunk"), "lines-places")
     kinds = materialize(found.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")), "lines-kinds")
     # a digest of one kind of bytes tells its places by itself; bytes are shuffled once more only where several kinds share a digest
     several = sized_broadcast(materialize(kinds.groupBy("digest").count().filter("count > 1").select("digest"), "lines-several"))
     owners = kinds.filter("first <> last").drop("last")
-    parts = [(found.drop("chunk"), owners.drop("chunk"), ["digest"], "left_anti"), (found, owners, ["digest", "chunk"], "left_semi")]
-    owned = [x.join(several, "digest", how).join(sized_broadcast(y.join(several, "digest", how), 50_000), on).select("doc_id", "number", "first") for x, y, on, how in parts]
+    parts = [(found.drop("chunk"), owners.drop("chunk"), ["digest"], "left_anti", None), (found, owners, ["digest", "chunk"], "left_semi", F.octet_length("chunk"))]
+    owned = [x.join(several, "digest", how).join(sized_broadcast(y.join(several, "digest", how), weight=weight), on).select("doc_id", "mark", "number", "first") for x, y, on, how, weight in parts]
     # windows overlap, so those that begin inside the first place are part of it
-    within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("number") < F.col("first.number") + (LEAST if cut is windows else 1))
+    within = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark")) & (F.col("number") < F.col("first.number") + (LEAST if cut is windows else 1))
     gone = owned[0].unionByName(owned[1]).filter(~within)
-    return materialize(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "lines-gone")
+    gone = materialize(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("number")).alias("numbers")), "lines-gone")
+    discard(twice, found, kinds)
+    return gone
 
 
 def _without(batches, text_at: int, cut):
@@ -136,8 +141,10 @@ def _without(batches, text_at: int, cut):
 
 def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cut=chunks) -> DataFrame:
     """``docs`` with repeated pieces (by ``cut``: ``chunks`` or ``windows``) removed from the text; two columns whose names begin with ``DROP`` count lines before and lines removed."""
-    gone = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), cut).withColumnsRenamed({"doc_id": f"{DROP}_id", "numbers": f"{DROP}_numbers"})
-    joined = docs.join(sized_broadcast(gone), docs[id_col].eqNullSafe(F.col(f"{DROP}_id")), "left").drop(f"{DROP}_id")
+    mark = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    gone = repeats(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark")), cut).withColumnsRenamed({"doc_id": f"{DROP}_id", "mark": f"{DROP}_mark", "numbers": f"{DROP}_numbers"})
+    same = docs[id_col].eqNullSafe(F.col(f"{DROP}_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(f"{DROP}_mark"))
+    joined = docs.join(sized_broadcast(gone, weight=F.size(f"{DROP}_numbers") * 4), same, "left").drop(f"{DROP}_id", f"{DROP}_mark")
     schema = StructType([*docs.schema.fields]).add(f"{DROP}_lines", LongType()).add(f"{DROP}_removed", LongType())
     text_at = docs.columns.index(text_col)
     assert isinstance(joined.schema[-1].dataType, ArrayType) and isinstance(joined.schema[-1].dataType.elementType, IntegerType)
@@ -147,3 +154,14 @@ def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cut=c
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean(table(spark, sf_dir, "documents").select("doc_id", "text"), cut=windows)
     return cleaned.select("doc_id", F.col(f"{DROP}_lines").alias("n_lines"), F.col(f"{DROP}_removed").alias("n_removed_lines"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("cleaned_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("cleaned_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(l))) AS i, unnest(list_transform(range(1, len(l)), lambda i: l[i] || chr(10) || l[i + 1])) AS p FROM d),
+g AS (SELECT doc_id, i, p, first_value(doc_id) OVER o AS first_id, first_value(i) OVER o AS first_i FROM w WHERE regexp_matches(p, '[^\x20\x09-\x0D]') WINDOW o AS (PARTITION BY p ORDER BY doc_id, i)),
+x AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM g WHERE NOT (doc_id = first_id AND i < first_i + 2)),
+r AS (SELECT doc_id, count(*) AS n, list(i) AS gone FROM x GROUP BY doc_id),
+c AS (SELECT d.doc_id, CASE WHEN text = '' THEN 0 ELSE len(l) END AS n_lines, coalesce(n, 0) AS n_removed_lines, CASE WHEN n IS NULL THEN text ELSE array_to_string(list_transform(list_filter(generate_series(1, len(l)), lambda i: NOT list_contains(gone, i)), lambda i: l[i]), chr(10)) END AS cleaned FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_lines, n_removed_lines, length(cleaned) AS cleaned_chars, sha256(cleaned) AS cleaned_sha256 FROM c
+"""
