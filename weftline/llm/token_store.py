@@ -7,6 +7,8 @@ page sizes are parameters; the ids are dictionary encoded or, with
 so a read of some documents touches their pages only and a read of the
 metadata columns leaves the ids alone.
 
+Ids are those of the library without special tokens around a text; an added token inside a text has its own id, as there.
+
 Cases: a null or empty text has the end id only; null doc_ids come first; rows
 with the same doc_id stay separate, in order of their text; an empty table
 gives an empty store; other columns of the input are not read.
@@ -14,6 +16,7 @@ gives an empty store; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +30,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 256
 #: Entries in each of the two generations of the cache of encoded words that a Python worker keeps: when the young one is full it replaces the old one, and words still in use move over.
-CACHE_WORDS = 550_000
+CACHE_WORDS = 450_000
 
 _WORKER: dict = {}
 
@@ -40,30 +43,36 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _WORKER[path] = t, {}, {}
+        added = sorted(x.content for x in t.get_added_tokens_decoder().values())
+        _WORKER[path] = t, {}, {}, re.compile("|".join(map(re.escape, added)) or "(?!)")
     return _WORKER[path]
 
 
+def _fit(piece: str) -> bool:
+    """Whether a piece, after the line feed it may begin with, neither is empty nor has white space at its ends."""
+    body = piece[1:] if piece[:1] == "\n" else piece
+    return body != "" and not body[0].isspace() and not body[-1].isspace()
+
+
 def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers.
 
-    A space between two other characters of which neither is white space always begins a
-    pre-token, so a text without runs of spaces can be cut there and each distinct
-    piece encoded once. Texts with a run of spaces, or with white space at a
-    cut, are encoded whole.
+    A single space or line feed between two characters of which neither is white space always begins a
+    pre-token, so a text can be cut there and each distinct piece encoded once. Texts with other white space beside a
+    cut, or with an added token (which the library finds before it cuts), are encoded whole.
     """
-    tokenizer, cache, old = _tokenizer(tokenizer_path)
+    tokenizer, cache, old, added = _tokenizer(tokenizer_path)
     if len(cache) > CACHE_WORDS:
         cache, old = {}, cache
-        _WORKER[tokenizer_path] = tokenizer, cache, old
+        _WORKER[tokenizer_path] = tokenizer, cache, old, added
     split, values, gaps, unknown = [], [], [], set()
     for x in texts:
-        if "  " in x or x[:1] == " " or x[-1:] == " ":
+        if "  " in x or x[:1] == " " or x[-1:] in (" ", "\n") or added.search(x):
             p = v = None
             gap = ()
         else:
-            p = x.split(" ")
+            # a piece after a line feed keeps it, one after a space doesn't
+            p = x.replace("\n", " \n").split(" ")
             v = list(map(cache.get, p))
             v[0] = b""  # the first piece has no space before it
             gap = [i for i, y in enumerate(v) if y is None] if None in v else ()
@@ -71,6 +80,13 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
         split.append(p)
         values.append(v)
         gaps.append(gap)
+    # only pieces without white space at their ends are ever in the cache
+    unfit = {w for w in unknown if not _fit(w)}
+    for k, (p, gap) in enumerate(zip(split, gaps, strict=True)):
+        if p is not None and (p[0] != p[0].rstrip() or p[0][:1] == "\n" or (not p[0] and len(p) > 1) or (unfit and any(p[i] in unfit for i in gap))):
+            split[k] = values[k] = None
+            gaps[k] = ()
+    unknown -= unfit
     for w in [w for w in unknown if w in old]:
         cache[w] = old[w]
         unknown.discard(w)
@@ -80,7 +96,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
     todo = list((unknown - marked) | stems)
     firsts = list(dict.fromkeys([p[0] for p in split if p and p[0]] + [".", ","]))
     whole = [x for x, p in zip(texts, split, strict=True) if p is None]
-    done = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([" " + w for w in todo] + firsts + whole, add_special_tokens=False)]
+    done = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w if w[0] == "\n" else " " + w for w in todo] + firsts + whole, add_special_tokens=False)]
     cache.update(zip(todo, done, strict=False))
     first = dict(zip(firsts, done[len(todo) :], strict=False)) | {"": b""}
     cache.update((w, cache[w[:-1]] + first[w[-1]]) for w in marked)
