@@ -103,44 +103,82 @@ def plain_targets(sizes):
 def test_mixing(spark, empty):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40])), rng.choice(["a", "a", "a", "a", "b", "é", "Z", None])) for i in range(600)] + [(900, None, "a"), (901, "", "void"), (None, "a b", "b"), (5, "x y", "a"), (5, "x y", "a")]
-    df = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit(9))
-    sized = df.select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
-    targets, cuts = mixing.plan_copies(sized, ranges=32)
-    out = mixing._with_copies(sized, targets, cuts, 32, None).collect()
-    assert len(out) == len(rows)
-    sizes = Counter()
-    for _, t, s in rows:
-        sizes[s] += len(words(t))
-    want, taken = plain_targets(sizes), Counter()
-    for r in out:
-        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
-        assert 0 <= r["copies"] <= 2
-        taken[r["source"]] += r["copies"] * r["size"]
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= 20, s
-    mixed = mixing.mix(df, ranges=32)
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(9) for c in ("copies", "rank", "step", "whole", "extra")})
+    for preference in (None, F.lit(1.0)):
+        small = mixing.sized(df, preference)
+        out = mixing.with_copies(small, *mixing.plan_copies(small, range_bits=4)).collect()
+        assert len(out) == len(rows)
+        sizes = Counter()
+        for _, t, s in rows:
+            sizes[s] += len(words(t))
+        want, taken = plain_targets(sizes), Counter()
+        for r in out:
+            assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+            assert 0 <= r["copies"] <= 2
+            taken[r["source"]] += r["copies"] * r["size"]
+        for s in sizes:
+            assert abs(taken[s] - want[s]) <= 20, s
+    mixed = mixing.mix(df, range_bits=4)
     assert mixed.columns == df.columns
-    again = mixing.mix(df.repartition(5), ranges=32)
+    again = mixing.mix(df.repartition(5), range_bits=4)
     count = lambda x: Counter((r["doc_id"], r["text"]) for r in x.collect())
     assert count(mixed) == count(again)
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_equal_rows(spark):
+    """Rows that cannot be told apart are taken as often as the target has room for, not all or none."""
+    rows = [(None, "a b c d e f g h i j", "s")] * 400 + [(7, "a b c d e f g h i j", "t")] * 400 + [(8, "x y z", "u")] * 2
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    small = mixing.sized(df)
+    plan = mixing.plan_copies(small, weights=(1, 1, 1), share=0.75)
+    targets = {r["source"]: r["target"] for r in plan[0].collect()}
+    assert targets == {"s": 2998.5, "t": 2998.5, "u": 12.0} or targets["u"] == 12.0
+    out = Counter()
+    for r in mixing.with_copies(small, *plan).collect():
+        assert r["copies"] <= 2
+        out[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(out[s] - targets[s]) <= 10 for s in targets), out
+    long = [(1, "w " * 1_500_000, "a"), (2, "w " * 1_500_000, "a"), (3, "w", "b"), (4, None, None)]
+    got = Counter(r["doc_id"] for r in mixing.mix(spark.createDataFrame(long, DOCS)).select("doc_id").collect())
+    assert got[1] + got[2] == 3 and got[3] == 2 and 4 not in got
+
+
 def test_pareto_inclusion(spark):
-    """Over many seeds a document is taken about as often as its inclusion probability says, and by the order of u/(1-u) over p/(1-p)."""
+    """Over 200 samples a document is taken about as often as its inclusion probability says; each source here is one sample of the same 90 sizes."""
     key = spark.range(1).select(mixing._rank_key(F.lit(0.25), F.lit(0.5)).alias("k")).first()["k"]
     assert key == pytest.approx(3 / 4)
-    rows = [(i, "s", 10) for i in range(400)] + [(1000 + i, "t", 10) for i in range(800)]
-    sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    targets, cuts = mixing.plan_copies(sized, weights=(1, 1), share=0.5, ranges=16)
-    out = mixing._with_copies(sized, targets, cuts, 16, None).groupBy("source").agg(F.sum(F.col("copies") * 10)).collect()
-    assert sorted(tuple(r) for r in out) == [("s", 3000), ("t", 3000)]
+    many, sizes = 200, [16, 36, 64] * 30
+    rows = [(1000 * k + i, f"s{k:03}", n, 0, round(4 * math.log2(math.sqrt(n)))) for k in range(many) for i, n in enumerate(sizes)]
+    small = spark.createDataFrame(rows, "doc_id long, source string, size long, mark long, step int")
+    plan = mixing.plan_copies(small, weights=(1,), share=0.4)
+    rate = {r["step"]: r["rate"] for r in plan[1].filter("source = 's000'").collect()}
+    # expected words are the target, and odds grow with the root of the size
+    assert sum(n * rate[round(4 * math.log2(math.sqrt(n)))] for n in sizes) == pytest.approx(0.4 * sum(sizes))
+    assert rate[12] == pytest.approx(2 * rate[8]) and max(rate.values()) < 1
+    taken = Counter()
+    for r in mixing.with_copies(small, *plan).select("size", "copies").collect():
+        taken[r["size"]] += r["copies"]
+    for n in set(sizes):
+        p = rate[round(4 * math.log2(math.sqrt(n)))]
+        assert taken[n] / (30 * many) == pytest.approx(p, abs=0.03), (n, p)
+
+
+def test_certain_copies(spark):
+    """Documents whose expected copies reach the most get just these, and the others more for it."""
+    rows = [(i, "s", 100 if i < 10 else 4, 0, 13 if i < 10 else 4) for i in range(200)]
+    small = spark.createDataFrame(rows, "doc_id long, source string, size long, mark long, step int")
+    plan = mixing.plan_copies(small, weights=(1,), share=1.8)
+    rate = {r["step"]: r["rate"] for r in plan[1].collect()}
+    assert rate[13] == 2.0 and 10 * 100 * 2 + 190 * 4 * rate[4] == pytest.approx(1.8 * (1000 + 760))
+    got = {r["doc_id"]: r["copies"] for r in mixing.with_copies(small, *plan).collect()}
+    assert all(got[i] == 2 for i in range(10)) and abs(sum(got[i] * (100 if i < 10 else 4) for i in got) - 1.8 * 1760) <= 4
 
 
 def test_mix_takes_preferred_documents_more_often(spark):
     rows = [(i, " ".join(["w"] * 10), "s", 1.6 if i % 2 else 0.4) for i in range(400)]
     df = spark.createDataFrame(rows, f"{DOCS}, liked double")
-    got = Counter(r["doc_id"] % 2 for r in mixing.mix(df, share=0.5, ranges=32, preference="liked").select("doc_id").collect())
+    got = Counter(r["doc_id"] % 2 for r in mixing.mix(df, share=0.5, preference="liked").select("doc_id").collect())
     # 200 copies: 0.8 and 0.2 expected of each document
     assert sum(got.values()) == 200 and 140 <= got[1] <= 180
 
@@ -181,6 +219,35 @@ def test_line_chunks(spark, empty):
     assert line_chunks.clean(empty).count() == 0
 
 
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id, or of none, that hold different texts lose their own repeats only."""
+    rng = random.Random(3)
+    passage = [f"shared {i}" for i in range(20)]
+    unique = [f"unique {i} {rng.random()}" for i in range(40)]
+    data = [(1, "\n".join(passage)), (7, "\n".join(["a", *passage, "b"])), (7, "\n".join(unique)), (None, "\n".join(["n", *passage])), (None, "\n".join(x + "!" for x in unique)), (9, "\n".join(passage)), (9, "\n".join(passage))]
+    long = "\n".join(f"{k} {rng.random()}" for k in range(150_000))
+    data += [(20, long), (21, long + "\nend")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"mark": F.lit(1), "numbers": F.lit(2)}).repartition(3)
+    for cut in (line_chunks.windows, line_chunks.chunks):
+        out = Counter((r["doc_id"], r["text"]) for r in line_chunks.clean(df, cut=cut).collect())
+        assert out[7, "\n".join(unique)] == 1 and out[None, "\n".join(x + "!" for x in unique)] == 1 and out[20, long] == 1
+        if cut is line_chunks.windows:
+            # null ids come first, so theirs is the copy that stays
+            assert out == Counter([(1, ""), (7, "a\nb"), (7, "\n".join(unique)), (None, "\n".join(["n", *passage])), (None, "\n".join(x + "!" for x in unique)), (9, ""), (9, ""), (20, long), (21, "end")])
+
+
+def test_chunk_boundaries_resist_shifts():
+    """Lines put in front change the chunks near them only."""
+    rng = random.Random(6)
+    lines = [f"line {i} {rng.random()}" for i in range(400)]
+    plain = {b"\n".join(x[a:b]) for x, spans in [line_chunks.chunks("\n".join(lines))] for a, b in spans}
+    for shift in (1, 2, 3, 7):
+        x, spans = line_chunks.chunks("\n".join(["new"] * shift + lines))
+        moved = [b"\n".join(x[a:b]) for a, b in spans]
+        assert sum(c in plain for c in moved) >= len(plain) - 3
+        assert all(line_chunks.LEAST <= b - a <= line_chunks.MOST for a, b in spans[:-1]) and spans[0][0] == 0 and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+
+
 def test_line_runs_are_all_found(spark, tmp_path):
     """Recall on planted passages of 2 to 8 lines is 1: of every later copy no line stays, and no other line goes."""
     rng = random.Random(5)
@@ -469,14 +536,15 @@ def test_token_store(spark, data, empty, tmp_path, encoding):
 
     path = P.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    odd = ["", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's 're a's", "a. b.c ... d, e,, f", "\n\n a\n", "<|endoftext|>"]
+    odd = ["", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's 're a's", "a. b.c ... d, e,, f", "\n\n a\n", "<|endoftext|>", "a <|endoftext|> b", "a\nb\nc d\n e", "\na b", "a\n\nb c", "'sa\rb\u00b2ab1 \u00a0 \u00a0", "a \u00a0b c", "a\x85 b", "a\u2003 b\nc\u2003\nd", "w " * 1_200_000]
+    rng = random.Random(7)
+    odd += ["".join(rng.choice(["a", "b", "1", " ", " ", "\n", "\r", "\t", "\u00a0", "\x85", "\x1c", "\u2003", "'s", ".", ",", "é", "\u00b2", "zz"]) for _ in range(rng.randrange(1, 16))) for _ in range(6000)]
     rows = [(i, t) for i, t, _ in data] + [(2000 + i, t) for i, t in enumerate(odd)] + [(None, "null id"), (3, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).repartition(3)
     out = str(tmp_path / "store")
     token_store.write_tokens(df, out, path, encoding=encoding, page_rows=4)
     store = token_store.read_tokens(spark, out)
     got = store.join(token_store.starts(store).drop("doc_id", "n_tokens"), ["shard", "pos"]).join(token_store.checksums(store), ["shard", "pos"]).orderBy("shard", "pos").collect()
-    plain.encode_special_tokens = True
     want = [(i, plain.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))]
     assert [(r["doc_id"], r["ids"]) for r in got] == want
     start = 0
