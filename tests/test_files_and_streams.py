@@ -66,6 +66,38 @@ def test_documents_and_textgrid(spark):
     assert "size = 3" in grid and 'text = "a""b"' in grid and grid.count("xmax = 2.000") == 3
 
 
+def test_files_of_recordings(spark, tmp_path):
+    """One file for each recording, written and read back."""
+    segs = spark.createDataFrame([("r 1", "s2", 16000.0, 9, -3.0, 5.0, 6.0, [("c", 5.0, 5.5)]), ("r 1", "s1", 16000.0, 9, -3.0, 1.0, 3.0, [("a", 1.0, 1.5), ("b", 2.0, 2.5)]), ("q", "s1", 16000.0, 9, None, 0.0, 1.0, [])], "rec string, seg string, samp_freq double, length long, rms double, start double, end double, words array<struct<word:string,start:double,end:double>>")
+    sinks.write_recognition(segs, str(tmp_path / "reco"))
+    got = readers.recognised_map(spark, str(tmp_path / "reco")).orderBy("rec", "pos").collect()
+    assert [(r["rec"], r["pos"], r["word"], r["start"]) for r in got] == [("r 1", 0, "a", 1.0), ("r 1", 1, "b", 2.0), ("r 1", 2, "c", 5.0)]
+    body = json.loads(sinks.recognition_documents(segs).filter("rec = 'r 1'").first()["document"])
+    assert list(body) == ["s1", "s2"] and body["s1"]["text"] == "a b" and body["s1"]["chunks"][1]["timestamp"] == [1.0, 1.5]
+    df = spark.createDataFrame([("x", 1, "b"), ("x", 0, "a"), ("y", 0, "c")], "rec string, n int, t string")
+    sinks.write_json_documents(df, "rec", ["n"], ["n", "t"], str(tmp_path / "docs"))
+    assert {f.parent.name: json.loads(f.read_text()) for f in (tmp_path / "docs").glob("rec=*/*.txt")} == {"rec=x": [{"n": 0, "t": "a"}, {"n": 1, "t": "b"}], "rec=y": [{"n": 0, "t": "c"}]}
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_json_documents(df, "rec", ["n"], ["n", "t"], str(tmp_path / "docs"))
+
+
+def test_npz_and_batches(spark, tmp_path):
+    x = np.arange(12, dtype=np.float32).reshape(4, 3)
+    np.savez(tmp_path / "rec7.npz", x)
+    assert [(r["rec_id"], r["t"], r["logits"]) for r in readers.logits_npz(spark, str(tmp_path)).orderBy("t").collect()] == [("rec7", t, x[t].tolist()) for t in range(4)]
+    df = spark.createDataFrame([(1, i, [float(i)] * n) for i, n in enumerate((1, 3, 2))] + [(2, 0, [])], "rec int, n int, x array<double>")
+    got = {(r["rec"], r["n"]): (r["batch"], r["x"], r["mask"]) for r in sinks.padded_batches(df, "rec", ["n"], "x", 2).collect()}
+    assert got == {(1, 0): (0, [0.0, 0.0, 0.0], [1, 0, 0]), (1, 1): (0, [1.0] * 3, [1] * 3), (1, 2): (1, [2.0] * 2, [1] * 2), (2, 0): (0, [], [])}
+
+
+def test_ranges(spark):
+    from weftline.functions import text as tx
+
+    cases = {"bytes=0-9": (0, 10, 206), "bytes=90-": (90, 100, 206), "bytes=-5": (95, 100, 206), "bytes=50-500": (50, 100, 206), "bytes=100-": (100, 100, 416), "bytes=9-3": (9, 9, 416), "nonsense": (0, 100, 200), None: (0, 100, 200)}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r["h"]: tuple(r["r"]) for r in df.select("h", tx.byte_range(F.col("h"), F.lit(100).cast("bigint")).alias("r")).collect()} == cases
+
+
 def test_streams(spark, tmp_path):
     from weftline.streaming import sessions
 

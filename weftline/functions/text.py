@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BRACKETS = r"\[[^\]]*\]"
 SLASHES = r"/[^/]*/"
 NOT_WORD = r"[^\p{L}\p{N}_]"
+WHITE = r"[\s\x1c-\x1f]"
 VIDEO_ID = "[0-9a-zA-Z_-]{11}"
 
 
@@ -24,9 +25,41 @@ def blank(text: Column, pattern: str) -> Column:
     return F.array_join(F.zip_with(outside, inside, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends, of any kind: Unicode's and the separators U+001C to U+001F."""
+    return F.regexp_replace(text, rf"(?U)^{WHITE}+|(?<!{WHITE}){WHITE}+$", "")
+
+
 def spaced(text: Column) -> Column:
-    """Lower-case text in which everything but words is blank."""
-    return F.regexp_replace(F.lower(blank(blank(F.trim(text), BRACKETS), SLASHES)), NOT_WORD, " ")
+    """Lower-case text, stripped, in which everything but words is blank."""
+    return F.regexp_replace(F.lower(blank(blank(stripped(text), BRACKETS), SLASHES)), NOT_WORD, " ")
+
+
+def prefix_sums(numbers: Column, block: int = 128) -> Column:
+    """Of an array, the sum of the elements before each. Sums run within blocks, then over blocks, so that long arrays are not copied for each element."""
+
+    def sums(a, first):
+        step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + x).alias("sum"))
+        return F.aggregate(a, F.struct(F.array().cast("array<bigint>").alias("out"), first.alias("sum")), step)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(numbers) / F.lit(block)).cast("int") - 1, F.lit(0))), lambda k: F.slice(numbers, k * block + 1, F.lit(block)))
+
+    def joined(b):
+        totals = sums(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y)), F.lit(0).cast("bigint"))["out"]
+        return F.flatten(F.zip_with(b, totals, lambda x, t: sums(x, t)["out"]))
+
+    return let(blocks, joined)
+
+
+def word_offsets(text: Column) -> Column:
+    """array<struct<word, beg, end>>: the words of ``spaced`` with their places in the stripped text."""
+
+    def placed(w):
+        starts = prefix_sums(F.transform(w, lambda x: F.length(x).cast("bigint") + 1))
+        all_ = F.zip_with(w, starts, lambda x, b: F.struct(x.alias("word"), b.alias("beg"), (b + F.length(x)).alias("end")))
+        return F.filter(all_, lambda x: x["word"] != "")
+
+    return let(F.split(spaced(text), " "), placed)
 
 
 def words(text: Column) -> Column:
@@ -44,9 +77,9 @@ def bare_words(text: Column) -> Column:
     return F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, NOT_WORD, ""))
 
 
-def ngrams(tokens: Column, n: int = 3, keep_last: bool = False) -> Column:
-    """n-grams joined by spaces. Without ``keep_last`` the last one is left out, as the scores of the document matchers are defined."""
-    count = F.size(tokens) - n + (1 if keep_last else 0)
+def ngrams(tokens: Column, n: int = 3, compat: bool = False) -> Column:
+    """n-grams joined by spaces. ``compat`` leaves the last one out, as older scores of document matchers did."""
+    count = F.size(tokens) - n + (0 if compat else 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
@@ -118,3 +151,13 @@ def first_beam(beams: Column) -> Column:
 def same_length(words: Column, times: Column) -> Column:
     """``words``, or an error where they are not as many as their times."""
     return F.when(F.size(words) == F.size(times), words).otherwise(F.raise_error(F.concat(F.lit("words without times: "), F.size(words).cast("string"), F.lit(" and "), F.size(times).cast("string"))))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct<begin, end, status> of an HTTP Range header over ``size`` bytes, [begin, end): status 206 for a range that can be met, 416 for one that begins after the end, and 200 with everything where there is none."""
+    first, last = (F.try_to_number(F.nullif(F.regexp_extract(header, r"^\s*bytes=(\d*)-(\d*)\s*$", k), F.lit("")), F.lit("9" * 18)).cast("bigint") for k in (1, 2))
+    begin = F.when(first.isNotNull(), first).when(last.isNotNull(), F.greatest(size - last, F.lit(0)))
+    end = F.when(first.isNotNull() & last.isNotNull(), F.least(last + 1, size)).otherwise(size)
+    asked = begin.isNotNull()
+    status = F.when(~asked, 200).when((begin >= size) | (end <= begin), 416).otherwise(206)
+    return F.struct(F.coalesce(begin, F.lit(0)).cast("bigint").alias("begin"), F.when(status == 416, F.coalesce(begin, F.lit(0))).otherwise(end).cast("bigint").alias("end"), status.alias("status"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import edit
 from weftline.operators.intervals import first_interval, outside_intervals, points_in_intervals
-from weftline.operators.sequence import gap_groups, split_long
+from weftline.operators.sequence import final_order, gap_groups, split_long
 
 #: Seconds in a bucket of the interval joins.
 BUCKET = 30.0
@@ -32,7 +32,7 @@ def unaligned_segments(words: DataFrame, gap: float) -> DataFrame:
 
 
 def by_silence(ali: DataFrame, reco: DataFrame, gap: float = 2.0, longest: float | None = None) -> DataFrame:
-    """Segments of aligned words (rec, pos, word, start, end) divided where it is silent, with the recognised words that begin or end inside, errors, and segments of those left over."""
+    """Segments of aligned words (rec, pos, word, start, end) divided where it is silent, with the recognised words that begin or end inside, errors, and segments of those left over; ``place`` numbers them by start."""
     order = ["start", "pos"]
     grouped = gap_groups(ali, "rec", "start", "end", gap, order)
     grouped = split_long(grouped, ["rec", "group_no"], "start", "end", longest, order) if longest and longest > 0 else grouped.withColumn("part", F.lit(0))
@@ -46,7 +46,8 @@ def by_silence(ali: DataFrame, reco: DataFrame, gap: float = 2.0, longest: float
     full = edit.with_errors(segs.join(said, ["rec", "group_no", "part"], "left").withColumn("reco", F.coalesce("reco", F.array().cast("array<string>"))), "norm_w", "reco")
     done = full.select("rec", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("text"), F.array_join("norm_w", " ").alias("norm"), F.array_join("reco", " ").alias("reco"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "reco_words", F.lit(None).cast("string").alias("match_error"), "errors", F.lit(False).alias("unaligned"))
     rest = outside_intervals(reco, spans, "rec", points, "seg_start", "seg_end", BUCKET, ["rec", "pos"])
-    return done.unionByName(unaligned_segments(rest, gap).withColumn("unaligned", F.lit(True)), allowMissingColumns=True)
+    all_ = done.unionByName(unaligned_segments(rest, gap).withColumn("unaligned", F.lit(True)), allowMissingColumns=True)
+    return final_order(all_, "rec", "start", ["unaligned", "end"])
 
 
 def by_lines(ali: DataFrame, reco: DataFrame, lines: DataFrame, gap: float = 2.0, worst_cer: float = float("inf"), all_matches: bool = True) -> DataFrame:
@@ -54,7 +55,7 @@ def by_lines(ali: DataFrame, reco: DataFrame, lines: DataFrame, gap: float = 2.0
 
     ``ali``: rec, norm_pos, word, start, end; ``reco``: rec, pos, word, start, end; ``lines``: rec, line, id, text, words (of the normalised text) and, as an
     array of structs s, e, normoff. A recognised word goes to every line (or, without ``all_matches``, the first) whose time holds its midpoint; lines at ``worst_cer`` or above lose
-    their words to the left-over segments.
+    their words to the left-over segments. ``place`` numbers the segments by start; those without one come as if they began at 0.
     """
     before = F.coalesce(F.sum(F.size("words")).over(Window.partitionBy("rec").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the sum must be over lines: a window beside a generator would see its rows
@@ -75,4 +76,5 @@ def by_lines(ali: DataFrame, reco: DataFrame, lines: DataFrame, gap: float = 2.0
     done = done.withColumn("match_error", F.when(F.col("norm").isNull(), "only in reference"))
     rest = outside_intervals(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET, ["rec", "pos"])
     freed = inside.join(scored.filter(bad).select("rec", "line"), ["rec", "line"], "left_semi").select(*reco.columns)
-    return done.unionByName(unaligned_segments(rest.unionByName(freed), gap), allowMissingColumns=True)
+    all_ = done.unionByName(unaligned_segments(rest.unionByName(freed), gap), allowMissingColumns=True)
+    return final_order(all_, "rec", "start", [F.col("line").asc_nulls_last(), "end"])

@@ -116,11 +116,41 @@ def interval_union(df: DataFrame, key: str, start: str, end: str, margin: float
 
 
 def restore_time(times: DataFrame, islands: DataFrame, key: str, at: str) -> DataFrame:
-    """Adds ``restored``: where the covered time ``at`` lies in the original time."""
-    i = islands.select(F.col(key).alias("__k"), F.col("start").alias("__s"), "before", (F.col("before") + F.col("end") - F.col("start")).alias("upto"))
-    # the first island whose end reaches `at`: time 0 lies in the first
-    inside = (F.col(key) == F.col("__k")) & (F.col(at) <= F.col("upto")) & ((F.col(at) > F.col("before")) | ((F.col("before") == 0) & (F.col(at) == 0)))
-    return times.join(i, inside).withColumn("restored", F.col("__s") + F.col(at) - F.col("before")).drop("__k", "__s", "before", "upto")
+    """Adds ``restored``: where the covered time ``at`` lies in the original time; times beyond all islands are left out.
+
+    Islands and times are merged in one sorted pass for each key: a time takes the last island that begins, in covered time, before it (time 0 the first island).
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in times.columns)).alias("__row")
+    t = times.select(F.col(key).alias("__k"), F.col(at).alias("__v"), F.lit(1).alias("__kind"), own, F.lit(None).cast(islands.schema["start"].dataType).alias("__s"), F.lit(None).cast(islands.schema["before"].dataType).alias("__b"), F.lit(None).cast(islands.schema["end"].dataType).alias("__e"))
+    # an island that begins at a covered time holds what comes after it; the first also holds time 0
+    i = islands.filter(F.col("end") > F.col("start")).select(F.col(key).alias("__k"), F.col("before").alias("__v"), F.when(F.col("before") == 0, 0).otherwise(2).alias("__kind"), F.lit(None).cast(t.schema["__row"].dataType).alias("__row"), F.col("start").alias("__s"), F.col("before").alias("__b"), F.col("end").alias("__e"))
+    w = Window.partitionBy("__k").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("__kind") != 1, F.struct("__s", "__b", "__e")), ignorenulls=True).over(w)
+    found = t.unionByName(i).withColumn("__i", last).filter((F.col("__kind") == 1) & (F.col("__v") - F.col("__i.__b") <= F.col("__i.__e") - F.col("__i.__s")))
+    return found.select("__row.*", (F.col("__i.__s") + F.col("__v") - F.col("__i.__b")).alias("restored"))
+
+
+def merged_islands(df: DataFrame, key: str, start: str, end: str, gap: float, least: float) -> DataFrame:
+    """(key, island, start, end): intervals whose distance is less than ``gap`` become one; of these, the ones of at least ``least`` stay, numbered from 0."""
+    w = Window.partitionBy(key).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col(start) - reach >= gap), 1).otherwise(0)
+    marked = df.select(key, F.col(start), F.col(end), new.alias("__new")).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = marked.groupBy(key, "__g").agg(F.min(start).alias("start"), F.max(end).alias("end")).filter(F.col("end") - F.col("start") >= least)
+    return spans.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).cast("long").alias("island"), "start", "end")
+
+
+def energy_islands(frames: DataFrame, key: str, at: str, level: str, floor: float, frame: float = 1.0) -> DataFrame:
+    """(key, island, start, end): runs of frames whose level reaches ``floor``, in units of ``frame``: a stand-in for a voice detector's segments."""
+    loud = frames.select(key, at, F.coalesce(F.col(level) >= floor, F.lit(False)).alias("__loud"))
+    found = runs(loud, key, at, "__loud").filter("__loud")
+    return found.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("beg")) - 1).cast("long").alias("island"), (F.col("beg") * F.lit(frame)).alias("start"), (F.col("end") * F.lit(frame)).alias("end"))
+
+
+def final_order(segments: DataFrame, key: str, start: str, ties: list, name: str = "place") -> DataFrame:
+    """Numbers the segments of each key from 0 in the order of their start; those without one come as if they began at 0."""
+    order = Window.partitionBy(key).orderBy(F.coalesce(F.col(start), F.lit(0)), *ties)
+    return segments.withColumn(name, (F.row_number().over(order) - 1).cast("long"))
 
 
 def runs(df: DataFrame, key: str, at: str, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import words
@@ -44,11 +44,16 @@ def coverage(ranges: DataFrame, totals: DataFrame, key: str, beg: str, end: str,
     return totals.join(sums, key, "left").select(key, (F.coalesce("__c", F.lit(0)) / F.col(total)).alias("covered"))
 
 
+def total_length(df: DataFrame, length: Column | str) -> DataFrame:
+    """One row: how many rows there are and what their lengths add up to (0 without any)."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("total"))
+
+
 def ngram_counts(texts: DataFrame, tokens: str, n: int = 3) -> DataFrame:
     """(gram, n): the counts that a language model is estimated from."""
     from weftline.functions.text import ngrams
 
-    return texts.select(F.explode(ngrams(F.col(tokens), n, keep_last=True)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return texts.select(F.explode(ngrams(F.col(tokens), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def unigram_list(texts: DataFrame, tokens: str) -> DataFrame:

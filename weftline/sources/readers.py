@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.text import decibels, file_stem, normalized, words
+from weftline.functions.text import decibels, file_stem, normalized, stripped, words
 
 CHUNK = "struct<text:string,timestamp:array<double>>"
 RECO_SEGMENT = f"struct<reco_id:string,samp_freq:double,length:bigint,rms:double,start:double,end:double,text:string,chunks:array<{CHUNK}>>"
@@ -26,8 +26,16 @@ def _files(spark: SparkSession, path, suffix: str | None = None) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
-    """(rec, body): a row for each file; rec is the file's name without its suffix."""
-    return _files(spark, path).select(file_stem("path").alias("rec"), F.decode("content", "UTF-8").alias("body"))
+    """(rec, body): a row for each file; rec is the file's name without its suffix, or the value of a folder ``rec=...``."""
+    folder = F.url_decode(F.regexp_extract("path", r"/rec=([^/]*)/[^/]*$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if isinstance(path, str) and _has_folders(spark, path) else _files(spark, path)
+    return files.filter(~F.regexp_extract("path", "([^/]+)$", 1).startswith("_")).select(F.when(folder != "", folder).otherwise(file_stem("path")).alias("rec"), F.decode("content", "UTF-8").alias("body"))
+
+
+def _has_folders(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder with a folder for each recording, as the writers of this package leave it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/rec=*")
+    return len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []) > 0
 
 
 def wav(spark: SparkSession, path) -> DataFrame:
@@ -123,7 +131,7 @@ def transcript(spark: SparkSession, path) -> DataFrame:
 
 def transcript_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(uid, text, norm) of lines "uid TAB text", and the lines that have no TAB."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> ''")
+    lines = spark.read.text(path).select(stripped(F.col("value")).alias("value")).filter("value <> ''")
     parts = F.split("value", "\t", 2)
     good = lines.filter(F.contains("value", F.lit("\t"))).select(parts[0].alias("uid"), parts[1].alias("text"))
     return good.withColumn("norm", normalized(F.col("text"))), lines.filter(~F.contains("value", F.lit("\t")))
@@ -134,6 +142,22 @@ def logits(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema("rec_id string, t int, logits array<float>").parquet(path)
 
 
+def logits_npz(spark: SparkSession, path) -> DataFrame:
+    """(rec_id, t, logits array<float>) of .npz files, whose first array has a row for each frame."""
+
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column("rec_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with np.load(io.BytesIO(raw)) as found:
+                    x = np.asarray(found[found.files[0]], np.float32)
+                for at in range(0, len(x), 4096):
+                    part = x[at : at + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1]), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), lists], names=["rec_id", "t", "logits"])
+
+    return _files(spark, path, "npz").select(file_stem("path").alias("rec_id"), "content").mapInArrow(run, "rec_id string, t int, logits array<float>")
+
+
 def arpa_unigrams(spark: SparkSession, path) -> DataFrame:
     """Words of the 1-gram section of ARPA files: its second fields up to the first blank line, without those that begin with <."""
     body = F.regexp_extract(F.regexp_replace("body", "\r\n?", "\n"), r"(?s)(?:^|\n)\\1-grams:[^\n]*\n(.*?)(?:\n[ \t]*\n|\n?$)", 1)
