@@ -409,6 +409,41 @@ def test_jaccard_edges(spark, empty):
     assert sorted(r["doc_id"] for r in stay.collect() if r["doc_id"] not in (None, 250)) == sorted(i for i, (n, c) in want.items() if c == i)
 
 
+def test_nb_svm_features():
+    """Indicators of byte n-grams, and of n-grams over the marks of words equal to the one before."""
+    first = nb_svm.BUCKETS - nb_svm.MARKS
+    marks = lambda t: [int(k) - first for k in nb_svm.features(t) if k >= first]
+    # a a b b b: marks 1 0 1 1; n-grams 0 1 | 10 01 11 | 101 011 | 1011
+    at = lambda gram: (1 << len(gram)) - 2 + int(gram, 2)
+    assert marks("a a b b b") == sorted(map(at, ["0", "1", "10", "01", "11", "101", "011", "1011"]))
+    assert marks("a") == [] and marks(None) == [] and len(nb_svm.features("")) == 0
+    plain = nb_svm.features("abc")
+    assert len(plain) == 3 + 2 + 1 and set(nb_svm.features("ab")) < set(plain)
+    assert len(nb_svm.features("x y " * 1_500_000)) < 40
+
+
+def test_nb_svm_counts_repeated_rows(spark):
+    """Repeated rows are learnt from and scored each; a margin is the plain product of weights and a normalised row."""
+    rows = [(1, "good text here"), (1, "good text here"), (2, "bad $$$ bad"), (3, "good words"), (5, None), (None, "bad $$$")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, q in ((1, 1), (2, 0), (3, 1), (4, 1), (6, 0), (7, 1)) if zlib.crc32(str(i).encode()) % 3 != 1] + [(8, 0), (9, 1)], "doc_id long, quality int")
+    model = nb_svm.fit(df, labels)
+    got = [(r["doc_id"], r["score"]) for r in nb_svm.score(df, model).collect()]
+    assert len(got) == len(rows)
+    counts = np.zeros((2, nb_svm.BUCKETS + 1))
+    known = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    for i, t in rows:
+        if i in known:
+            counts[known[i]][nb_svm.features(t)] += 1
+            counts[known[i]][-1] += 1
+    ratios = nb_svm.log_count_ratios(counts)
+    assert np.allclose(ratios, model["ratios"])
+    for (i, t), (_, s) in zip(sorted(rows, key=str), sorted(got, key=lambda x: (str(x[0])))):
+        at, v = nb_svm.vector(nb_svm.features(dict(rows)[i]), ratios)
+        margin = float(model["weights"][at] @ v)
+        assert dict(got)[i] == pytest.approx(1 / (1 + math.exp(-(model["a"] * margin + model["b"]))))
+
+
 def test_nb_svm(spark, empty):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(20))

@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of hashed byte n-grams (orders 1 to 4) and of
-each tenth that the share of words equal to the word before reaches. Each is scaled by its log-count ratio, the log of its
+Features are indicators of n-grams of orders 1 to 4 over two streams of a text: its bytes (hashed), and
+its words read as marks, 1 for a word equal to the one before and 0 for others. Each is scaled by its log-count ratio, the log of its
 smoothed share among documents of label 1 over that among label 0, counted over
 all labelled training documents; the rows are then normalised and a linear
 hinge-loss model is fitted by dual coordinate descent. A logistic curve over
@@ -29,8 +29,8 @@ from weftline.llm.common import materialize, sized_broadcast, table
 
 BUCKETS = 1 << 16
 ORDERS = 4
-#: The last buckets: at least so many tenths of the words equal the word before.
-TENTHS = 10
+#: The last buckets: one for each n-gram of marks.
+MARKS = (1 << (ORDERS + 1)) - 2
 #: Labelled documents of each class for the hinge-loss fit.
 SAMPLE = 3000
 COST = 1.0
@@ -49,11 +49,13 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
             break
         h = h[: len(b) - order + 1] * np.uint32(0x01000193) + b[order - 1 :]
         x = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(order)
-        seen[(x ^ (x >> np.uint32(13))) % np.uint32(buckets - TENTHS)] = True
+        seen[(x ^ (x >> np.uint32(13))) % np.uint32(buckets - MARKS)] = True
     words = raw.split()
-    if len(words) > 1:
-        same = sum(map(bytes.__eq__, words, words[1:]))
-        seen[buckets - TENTHS : buckets - TENTHS - (-TENTHS * same // (len(words) - 1))] = True
+    marks = np.fromiter(map(bytes.__eq__, words, words[1:]), np.int64, max(len(words) - 1, 0))
+    number = np.zeros(len(marks), np.int64)
+    for order in range(1, min(ORDERS, len(marks)) + 1):
+        number = number[: len(marks) - order + 1] * 2 + marks[order - 1 :]
+        seen[buckets - MARKS + (1 << order) - 2 + np.unique(number)] = True
     return np.flatnonzero(seen)
 
 
