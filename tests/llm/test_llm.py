@@ -87,6 +87,27 @@ def test_quality_rules(spark, docs, data, empty):
     assert quality_rules.trusted_ids(spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")).collect() == [(1,)]
 
 
+def test_quality_rules_edges(spark):
+    """A very long text, rows that repeat, columns that clash, and no trusted document."""
+    long = "w " * 2_500_000
+    rows = [(1, long), (1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "x"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "score", "kept", "bucket")})
+    out = quality_rules.assess(df, spark.createDataFrame([], "doc_id long")).collect()
+    assert Counter((r["doc_id"], r["quality_rules"]["n_words"], r["quality_rules"]["base_failed"]) for r in out) == {(1, 2_500_000, True): 1, (1, 10, False): 2, (None, 1, True): 1, (2, 0, True): 1}
+    assert quality_rules.keep(df, spark.createDataFrame([(1,)], "doc_id long")).columns == df.columns
+
+
+def test_language_model_edges(spark):
+    """Repeated rows count and are scored each; one very long text is scored whole."""
+    long = " ".join(["alpha beta"] * 500_000)
+    rows = [(1, "a b a"), (1, "a b a"), (3, long), (None, long), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"hash": F.lit(1), "rare": F.lit(2)})
+    got = [(r["doc_id"], r["n_tokens"], r["train_tokens"], r["score"]) for r in gru_lm.score(df).collect()]
+    learnt = sum(len(words(t)) + 1 for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2)
+    assert Counter(g[:3] for g in got) == Counter((i, len(words(t)) + 1, learnt) for i, t in rows)
+    assert len({g[3] for g in got if g[0] == 1}) == 1 and all(g[3] < 0 for g in got)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}

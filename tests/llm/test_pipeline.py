@@ -38,3 +38,31 @@ def test_pipeline(spark):
     assert set(mixed) <= set(near)
     out = corpus_pipeline.run(spark, DATA).collect()
     assert len(out) == seen[-1].count() and {r["doc_id"] for r in out} == set(mixed)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, columns that clash, and no rows at all, through every stage."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(400_000))
+    good = [" ".join(f"{w}{k}" for w in "the quick brown fox jumps over a lazy dog and runs away again".split()) for k in range(12)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(good)] + [(100, long, None, None, None), (101, long + " end", "en", "s1", 1), (None, good[0], None, "s0", 3), (3, good[3], "en", "s0", len(good[3])), (3, good[3], "en", "s0", len(good[3])), (200, None, "en", "s0", None), (201, "", None, None, 0), (202, "  \n", "en", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("gone", "size", "row", "key", "keys", "kept", "sha", "copies", "mark")})
+    spark.createDataFrame([(0, 1, 0), (1, 1, None), (None, 1, 0), (2, None, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        none = stage(spark, df.filter("false"), str(tmp_path))
+        if name == "byte_bpe":
+            assert out.count() == len(rows) and none.count() == 0
+            continue
+        assert out.columns == df.columns and none.count() == 0, name
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        if name == "quality_rules":
+            assert not {200, 201, 202} & set(ids)
+        if name == "exact_dedup":
+            # white space alone is the empty text; of its three rows the one with most code points stays
+            assert sorted(ids, key=lambda x: -1 if x is None else x) == [*range(12), 100, 101, 202]
+        if name == "jaccard_join":
+            assert 101 not in ids and 100 in ids and ids.count(3) == 3 and {200, 201, 202, None} <= set(ids)
+        if name == "source_mix":
+            assert not {200, 201, 202} & set(ids) and max(map(ids.count, set(ids) - {3})) <= 2 and ids.count(3) <= 6

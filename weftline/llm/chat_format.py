@@ -14,7 +14,8 @@ backslash, ``<`` and ``[``, with which control strings begin, become ``\\0``, ``
 code-point spans of the formatted string, one for each assistant text.
 
 Only built-in functions run. All joins are on (conversation, message), which is
-unique, so a large conversation spreads over tasks until its turns become one string.
+unique, so a large conversation spreads over tasks there. The turns of a conversation without a tree
+are numbered in one sorted pass, and each chosen path becomes one string, in one task each.
 
 Cases: null texts and roles count as empty; a message whose parent is null or
 absent is a root; several roots are several trees of one conversation, ranked
@@ -54,7 +55,6 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
-
 def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
     """(conv_id, leaf, rank, depth, node): the messages of the ``best`` first branches of each conversation; depth counts from 0 at the root."""
     nodes = materialize(tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "chat-nodes")
@@ -118,7 +118,7 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     tree = materialize(linear_tree(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)), "chat-tree")
     done = format_paths(tree, best_paths(tree))
     read = done.select("conv_id", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
