@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept and returns
 documents with the columns it was given; the last returns token counts and digests.
+
+Cases, for every stage: null or empty texts fail the quality rules, and where a stage meets them all the same they are
+copies of one another, have no near copies, are left out by the mix and have no tokens; null ids are never trusted, come last among
+copies, have no near copies and are mixed as rows; repeated rows are copies; the null source is one source; further columns pass through all
+stages but the last, whatever their names; an empty table gives an empty result. One very long text is one row throughout.
 """
 
 from __future__ import annotations
