@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import edit, intervals, matching, resegment, sequence, stats, viterbi
+from weftline.operators import decode, edit, intervals, matching, resegment, sequence, stats, viterbi
 
 
 def rows(df, *order):
@@ -319,6 +319,28 @@ def test_order_and_scores(spark):
     assert matching.ngram_index(docs, "doc", "w", asked=matching.asked_grams(reco, "w")).count() == 4
 
 
+def test_beam_search(spark):
+    """A beam that holds all prefixes gives the sums over all frame paths; a bonus changes the order."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    logs = decode.log_softmax(rng.normal(size=(5, 3)))
+    sums = {}
+    for path in itertools.product(range(3), repeat=5):
+        labels = tuple(k for i, k in enumerate(path) if k and (not i or path[i - 1] != k))
+        sums[labels] = np.logaddexp(sums.get(labels, -np.inf), sum(logs[t, k] for t, k in enumerate(path)))
+    found = decode.beam_search(logs, width=10_000)
+    assert [p for p, _ in found] == [p for p, _ in sorted(sums.items(), key=lambda x: (-x[1], x[0]))] and all(abs(v - sums[p]) < 1e-9 for p, v in found)
+    assert decode.beam_search(logs, width=10_000, bonus=lambda prefix, k: -50.0)[0][0] == ()
+    assert decode.beam_search(np.zeros((0, 3))) == [((), 0.0)]
+    scores = rng.normal(size=(2, 5, 3))
+    frames = spark.createDataFrame([(r, t, scores[r, t].tolist()) for r in range(2) for t in range(5)], "rec int, t int, scores array<double>").repartition(3)
+    got = {r["rec"]: (tuple(r["labels"]), r["score"]) for r in decode.decoded_labels(frames, "rec", width=10_000).collect()}
+    for r in range(2):
+        p, v = decode.beam_search(decode.log_softmax(scores[r]), width=10_000)[0]
+        assert got[r][0] == p and got[r][1] == pytest.approx(v)
+
+
 def test_ordered_ids(spark):
     df = spark.createDataFrame([(w,) for w in "zebra apple mango kiwi".split()], "w string")
     assert rows(sequence.ordered_ids(df, F.col("w")), "id") == [("apple", 1), ("kiwi", 2), ("mango", 3), ("zebra", 4)]

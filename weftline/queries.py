@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline import edit_sql
 from weftline.functions import text as tx
-from weftline.operators import edit, intervals, matching, resegment, sequence, stats, viterbi
+from weftline.operators import decode, edit, intervals, matching, resegment, sequence, stats, viterbi
 from weftline.sources import readers, sinks
 from weftline.sources.scratch import scratch
 
@@ -281,6 +281,12 @@ def greedy_labels(spark, d):
     return found.select("rec", F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").alias("labels"))
 
 
+def beam_labels(spark, d):
+    """The likeliest labels of each recording's frames."""
+    found = decode.decoded_labels(_frames(spark, d), "rec", width=8)
+    return found.select("rec", F.array_join("labels", " ").alias("labels"))
+
+
 def viterbi_words(spark, d):
     f = _frames(spark, d)
     labels = f.select("rec").distinct().select("rec", F.array(*(F.lit(x) for x in (4, 1, 2, 4, 3, 5, 4))).alias("labels"), F.array(F.lit("ab"), F.lit("ce")).alias("words"))
@@ -473,7 +479,7 @@ def labelled_documents(spark, d):
     return _t(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0).cast("long")).alias("quality"))
 
 
-QUERIES = {f.__name__: f for f in (norm_text, norm_offsets, blanked, vocab_ids, encode_oov, ngram_doc_match_top10, ngram_best_document, ngram_all_scores, segment_vote, gap_segments, gap_chunks, fixed_chunks, interval_union, voiced_time_map, greedy_nonoverlap, greedy_apart, max_len_split, point_in_interval_all, point_in_interval_first, point_in_interval_half_open, point_in_interval_start_or_end, unmatched, gaps_between, coverage, overlap_check, bow_candidates, bow_candidates_many, best_window, window_errors, cer_pairs, rms_db, energy_filter, context_chunks, label_runs, greedy_labels, viterbi_words, resegment_lines, segment_stats, silence_segments, total_length, merged_islands, energy_islands, padded_batches, char_trim, merged_frames, decoded_words, text_helpers, byte_ranges, norm_json_files, recognition_files, logits_files, vocabulary_files, word_list_files, voiced_files, transcript_files, csv_files, duration_stats, word_counts, trigram_counts, names_and_formats, char_word_index, labelled_documents)}
+QUERIES = {f.__name__: f for f in (norm_text, norm_offsets, blanked, vocab_ids, encode_oov, ngram_doc_match_top10, ngram_best_document, ngram_all_scores, segment_vote, gap_segments, gap_chunks, fixed_chunks, interval_union, voiced_time_map, greedy_nonoverlap, greedy_apart, max_len_split, point_in_interval_all, point_in_interval_first, point_in_interval_half_open, point_in_interval_start_or_end, unmatched, gaps_between, coverage, overlap_check, bow_candidates, bow_candidates_many, best_window, window_errors, cer_pairs, rms_db, energy_filter, context_chunks, label_runs, greedy_labels, beam_labels, viterbi_words, resegment_lines, segment_stats, silence_segments, total_length, merged_islands, energy_islands, padded_batches, char_trim, merged_frames, decoded_words, text_helpers, byte_ranges, norm_json_files, recognition_files, logits_files, vocabulary_files, word_list_files, voiced_files, transcript_files, csv_files, duration_stats, word_counts, trigram_counts, names_and_formats, char_word_index, labelled_documents)}
 
 _VOCAB = f"voc AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(w) AS word FROM ({_words_sql('documents', 'doc_id')})))"
 _INDEX = f"ix AS (SELECT DISTINCT {GRAMS} AS gram, doc_id FROM ({_words_sql('documents', 'doc_id')}))"
