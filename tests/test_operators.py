@@ -319,6 +319,28 @@ def test_order_and_scores(spark):
     assert matching.ngram_index(docs, "doc", "w", asked=matching.asked_grams(reco, "w")).count() == 4
 
 
+def test_hot_ngrams(spark, monkeypatch):
+    """Scores and votes are those of a plain count, whatever counts as hot."""
+    from collections import Counter
+
+    rng = random.Random(31)
+    passages = [[f"p{k}w{i}" for i in range(6)] for k in range(4)]
+    docs_ = {d: sum((p for p in rng.sample(passages, rng.randrange(0, 4))), [f"d{d}a", f"d{d}b", f"x{d % 5}", "y", "z"]) for d in range(60)}
+    segs = [(s % 3, s, sum(rng.sample(passages, rng.randrange(0, 3)), []) + [f"d{s}a", f"d{s}b", f"x{s % 5}", "y", "z"][rng.randrange(3) :]) for s in range(25)]
+    docs = spark.createDataFrame(list(docs_.items()), "doc long, w array<string>")
+    said = spark.createDataFrame(segs, "rec long, seg long, w array<string>")
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    hits = {s: Counter({d: sum(g in set(grams(w)) for g in grams(mine)) for d, w in docs_.items()}) for _, s, mine in segs}
+    want = {(s, d, h, r) for s, c in hits.items() for r, (d, h) in enumerate(sorted(((d, h) for d, h in c.items() if h), key=lambda x: (-x[1], x[0]))[:10], 1)}
+    votes = Counter((r, next(d for s2, d, _, k in sorted(want, key=lambda x: x[3]) if s2 == s and k == 1)) for r, s, _ in segs if any(hits[s].values()))
+    for limit in (1000, 10, 0):
+        monkeypatch.setattr(matching, "HOT_DOCUMENTS", limit)
+        index = matching.ngram_index(docs, "doc", "w")
+        got = matching.document_scores(said, "seg", "w", index).select("rec", "doc", "hits", "rank").collect()
+        assert {tuple(r) for r in got} == want, limit
+        assert {(r["rec"], r["doc"]): r["votes"] for r in matching.segment_votes(said, "rec", "seg", "w", index).collect()} == votes
+
+
 def test_beam_search(spark):
     """A beam that holds all prefixes gives the sums over all frame paths; a bonus changes the order."""
     import itertools

@@ -1,0 +1,21 @@
+"""Tables that several steps read, written once."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, so that what follows does not run it again. A local session that names none uses its own temp folder; a cluster has to name one."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            place = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
+        spark.sparkContext.setCheckpointDir(place)
+    return df.checkpoint()
