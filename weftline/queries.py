@@ -461,7 +461,7 @@ def word_counts(spark, d):
 
 
 def trigram_counts(spark, d):
-    return _tokens(_t(spark, d, "documents")).select(F.explode(tx.ngrams(F.col("w"), 3, True)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return _tokens(_t(spark, d, "documents")).select(F.explode(tx.ngrams(F.col("w"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def names_and_formats(spark, d):
