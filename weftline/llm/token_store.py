@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ PAGE_ROWS = 256
 CACHE_WORDS = 450_000
 
 _WORKER: dict = {}
+#: A piece, of several joined by U+0000, that may not be fit: all that are not are found, and a few more.
+_UNFIT = re.compile(r"(?:^|\0)\n?(?:\s|\0|$)|\s(?:\0|$)")
 
 
 def _tokenizer(path: str):
@@ -44,10 +47,34 @@ def _tokenizer(path: str):
 
         t = Tokenizer.from_file(path)
         added = sorted(x.content for x in t.get_added_tokens_decoder().values())
-        _WORKER[path] = t, {}, {}, re.compile("|".join(map(re.escape, added)) or "(?!)")
+        vocab = t.get_vocab(with_added_tokens=False)
+        # in a byte-level vocabulary each character of a token stands for a byte
+        lengths = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        lengths[list(vocab.values())] = list(map(len, vocab))
+        _WORKER[path] = t, {}, {}, re.compile("|".join(map(re.escape, added)) or "(?!)"), lengths
     return _WORKER[path]
 
 
+def _encode_words(tokenizer, lengths: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words that each begin with a space or a line feed and hold no other white space at their ends.
+
+    Such words are pre-tokens apart, so many are encoded as one text and told apart by the bytes of their ids; a text for which these don't add up is encoded word by word.
+    """
+    out = []
+    for at in range(0, len(words), 4096):
+        some = words[at : at + 4096]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(w.encode()) for w in some])
+        upto = np.cumsum(lengths[ids]) if len(ids) and ids.max() < len(lengths) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(upto, ends)
+        if len(upto) and cuts[-1] == len(upto) - 1 and (upto[cuts] == ends).all():
+            raw, cuts = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        else:
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    return out
+
+
 def _fit(piece: str) -> bool:
     """Whether a piece, after the line feed it may begin with, neither is empty nor has white space at its ends."""
     body = piece[1:] if piece[:1] == "\n" else piece
@@ -61,10 +88,10 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
     pre-token, so a text can be cut there and each distinct piece encoded once. Texts with other white space beside a
     cut, or with an added token (which the library finds before it cuts), are encoded whole.
     """
-    tokenizer, cache, old, added = _tokenizer(tokenizer_path)
+    tokenizer, cache, old, added, lengths = _tokenizer(tokenizer_path)
     if len(cache) > CACHE_WORDS:
         cache, old = {}, cache
-        _WORKER[tokenizer_path] = tokenizer, cache, old, added
+        _WORKER[tokenizer_path] = tokenizer, cache, old, added, lengths
     split, values, gaps, unknown = [], [], [], set()
     for x in texts:
         if "  " in x or x[:1] == " " or x[-1:] in (" ", "\n") or added.search(x):
@@ -81,7 +108,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
         values.append(v)
         gaps.append(gap)
     # only pieces without white space at their ends are ever in the cache
-    unfit = {w for w in unknown if not _fit(w)}
+    unfit = {w for w in unknown if not _fit(w)} if _UNFIT.search("\0".join(unknown)) else set()
     for k, (p, gap) in enumerate(zip(split, gaps, strict=True)):
         if p is not None and (p[0] != p[0].rstrip() or p[0][:1] == "\n" or (not p[0] and len(p) > 1) or (unfit and any(p[i] in unfit for i in gap))):
             split[k] = values[k] = None
@@ -96,11 +123,11 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
     todo = list((unknown - marked) | stems)
     firsts = list(dict.fromkeys([p[0] for p in split if p and p[0]] + [".", ","]))
     whole = [x for x, p in zip(texts, split, strict=True) if p is None]
-    done = [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w if w[0] == "\n" else " " + w for w in todo] + firsts + whole, add_special_tokens=False)]
-    cache.update(zip(todo, done, strict=False))
-    first = dict(zip(firsts, done[len(todo) :], strict=False)) | {"": b""}
+    cache.update(zip(todo, _encode_words(tokenizer, lengths, [w if w[0] == "\n" else " " + w for w in todo]), strict=True))
+    done = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(firsts + whole, add_special_tokens=False)]
+    first = dict(zip(firsts, done, strict=False)) | {"": b""}
     cache.update((w, cache[w[:-1]] + first[w[-1]]) for w in marked)
-    rest, end, out = iter(done[len(todo) + len(firsts) :]), int(end_id).to_bytes(4, "little"), []
+    rest, end, out = iter(done[len(firsts) :]), int(end_id).to_bytes(4, "little"), []
     for p, v, gap in zip(split, values, gaps, strict=True):
         if p is None:
             out.append(next(rest) + end)
