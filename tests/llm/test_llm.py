@@ -714,11 +714,11 @@ def test_training_reads_every_document_at_any_size(spark):
 
 def test_learned_types_grow_with_the_corpus(spark):
     """All types counted often enough have weights of their own, not the first 512 only."""
-    counts = spark.range(2000).select(F.xxhash64("id").alias("hash"), F.lit(200).cast("long").alias("c"))
+    counts = spark.range(2000).select(F.xxhash64("id").alias("hash"), F.lit(2000).cast("long").alias("c"))
     vocab = gru_lm.vocabulary(counts)
-    assert len(vocab.frequent) == 2000 and len(set(vocab.encode(vocab.frequent, np.full(2000, 200))[0])) == 2000
+    assert len(vocab.frequent) == 2000 and len(set(vocab.encode(vocab.frequent, np.full(2000, 2000))[0])) == 2000
     w = gru_lm.initial_weights(vocab)
-    fed, cls, share = vocab.encode(vocab.frequent, np.full(2000, 200))
+    fed, cls, share = vocab.encode(vocab.frequent, np.full(2000, 2000))
     state = np.ones((2000, gru_lm.HIDDEN), np.float32)
     logs = gru_lm.log_likelihood(w, state, fed, cls)[0] + share
     assert np.exp(logs).sum() == pytest.approx(1, abs=0.02)
