@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +44,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     folder = f"{shared_dir(spark)}/weftline/{_RUN}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_delete, spark, folder)
+        atexit.register(_delete_at_end, spark, folder)
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except (Py4JError, OSError):  # the session's JVM is gone
+        pass
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:  # stopped
         return

@@ -251,8 +251,8 @@ def profiles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     ranges = partitions(docs.sparkSession)
     chunks = docs.select("doc_id", "text").mapInArrow(lambda batches: _chunks(batches, size, ranges), _chunk_schema(key))
-    counted = chunks.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda batches: _counted(batches, id_type), _chunk_schema(key))
-    return counted.repartition(ranges, "chunk").sortWithinPartitions("chunk").mapInArrow(lambda batches: _keyed(batches, num, den), f"doc_id {key}, n long, digest binary, keys array<long>")
+    counted = chunks.repartitionById(ranges, F.col("range")).sortWithinPartitions("range").mapInArrow(lambda batches: _counted(batches, id_type), _chunk_schema(key))
+    return counted.repartitionById(ranges, F.pmod("chunk", F.lit(ranges)).cast("int")).sortWithinPartitions("chunk").mapInArrow(lambda batches: _keyed(batches, num, den), f"doc_id {key}, n long, digest binary, keys array<long>")
 
 
 class SignatureTree:
