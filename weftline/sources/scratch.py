@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; a local session that names none uses its own temp folder, a cluster has to name one."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names, deleted when the process ends; a local session that names none uses its own temp folder, a cluster has to name one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
-    return f"{place.rstrip('/')}/weftline-files/{label}-{uuid.uuid4().hex}"
+    path = f"{place.rstrip('/')}/weftline-files/{label}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped
+        return
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except (Py4JError, OSError):  # the session's JVM is gone
+        pass
