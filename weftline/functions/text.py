@@ -42,13 +42,13 @@ def prefix_sums(numbers: Column, block: int = 128) -> Column:
         step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["sum"])).alias("out"), (s["sum"] + x).alias("sum"))
         return F.aggregate(a, F.struct(F.array().cast("array<bigint>").alias("out"), first.alias("sum")), step)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(numbers) / F.lit(block)).cast("int") - 1, F.lit(0))), lambda k: F.slice(numbers, k * block + 1, F.lit(block)))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / F.lit(block)).cast("int") - 1, F.lit(0))), lambda k: F.slice(a, k * block + 1, F.lit(block)))
 
     def joined(b):
         totals = sums(F.transform(b, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y)), F.lit(0).cast("bigint"))["out"]
         return F.flatten(F.zip_with(b, totals, lambda x, t: sums(x, t)["out"]))
 
-    return let(blocks, joined)
+    return let(let(numbers, cut), joined)
 
 
 def word_offsets(text: Column) -> Column:
