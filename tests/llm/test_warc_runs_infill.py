@@ -1,0 +1,276 @@
+"""WARC archives, word runs and infilling against plain versions, exact round trips and edge cases."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import common, infill, registry, warc, word_runs
+
+DATA = os.environ.get("WEFTLINE_TEST_DATA", "/root/testdata/sf0.001")
+WS = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in WS.split(text or "") if w]
+
+
+def sha(text):
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def plain_runs(w, least=12):
+    """All maximal repetitions by trying every period."""
+    out = set()
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            a = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i + q - a >= max(2 * q, least) and not any(all(w[k] == w[k + d] for k in range(a, i + q - d)) for d in range(1, q)):
+                out.add((a, i + q - a, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_collapsed(w, runs):
+    gone = {k for a, n, q in runs for k in range(a + q, a + n)}
+    return [x for k, x in enumerate(w) if k not in gone]
+
+
+def random_texts(seed, n):
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        w = [rng.choice("abcdef"[: rng.choice([1, 2, 3, 6])]) for _ in range(rng.randrange(0, 90))]
+        if w and rng.random() < 0.6:
+            a, p = rng.randrange(len(w)), 1 + rng.randrange(9)
+            w = [w[i] if i < a + p else w[a + (i - a) % p] for i in range(len(w))]
+        out.append(rng.choice([" ", "\n", " \t"]).join(w))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 12])
+@pytest.mark.parametrize("group", [1, 200, 100_000])
+def test_found_runs(monkeypatch, least, group):
+    monkeypatch.setattr(word_runs, "GROUP_WORDS", group)
+    texts = random_texts(least + group, 250)
+    for text, (runs, kept) in zip(texts, word_runs.found_runs([t.encode() for t in texts], least), strict=True):
+        w = words(text)
+        want = plain_runs(w, least)
+        assert [(a, b - a, q) for a, b, q in runs.tolist()] == want
+        if want:
+            assert [x.decode() for x in kept] == plain_collapsed(w, want)
+        else:
+            assert kept is None
+
+
+def test_runs_of_a_very_long_text():
+    w = np.array([2, 3, 4] * 100_000)
+    assert word_runs.runs(np.append(w, 0), 1).tolist() == [[0, 300_000, 3]]
+    a, b = [0], [0, 1]
+    while len(b) < 20_000:  # a Fibonacci word is full of runs
+        a, b = b, b + a
+    fib = np.array(b) + 1
+    found = word_runs.runs(np.append(fib, 0), 1)
+    assert 0 < len(found) < len(fib)
+    for first, end, period in found[:: len(found) // 50 + 1].tolist():
+        part = fib[first:end]
+        assert (part[period:] == part[:-period]).all() and end - first >= max(12, 2 * period)
+        assert (first == 0 or fib[first - 1] != fib[first - 1 + period]) and (end == len(fib) or fib[end] != fib[end - period])
+
+
+def test_suffix_extensions():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50, 400):
+        s = rng.integers(0, 3, n)
+        x = word_runs.Suffixes(s)
+        assert sorted(range(n), key=lambda i: s[i:].tolist()) == np.argsort(x.rank).tolist()
+        i, j = rng.integers(0, n + 1, 200), rng.integers(0, n + 1, 200)
+        i, j = i[i != j], j[i != j]
+        plain = lambda a, b: next((k for k in range(n - max(a, b)) if s[a + k] != s[b + k]), n - max(a, b))
+        assert x.common(i, j).tolist() == [plain(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def test_word_runs_cases(spark):
+    rows = [(1, None), (1, ""), (None, "a " * 30), (2, " \n "), (2, "x y " * 8 + "z"), (2, "x y " * 8 + "z"), (3, "no repeats\nhere")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("word", F.lit("x")).repartition(2)
+    got = word_runs.word_runs(docs).collect()
+    want = [(i, t, 1, plain_runs(words(t)), " ".join(plain_collapsed(words(t), plain_runs(words(t)))) if plain_runs(words(t)) else t) for i, t in rows]
+    assert sorted(str((r["doc_id"], r["text"], r["start"], [tuple(x) for x in r["word_runs"]], r["word_runs_collapsed"])) for r in got) == sorted(map(str, want))
+    assert word_runs.word_runs(docs.limit(0)).count() == 0
+    assert word_runs.word_runs(docs, least=40).filter(F.size("word_runs") > 0).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_op12(spark):
+    texts = dict(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in registry.QUERIES["op12_word_runs"](spark, DATA).collect()}
+    assert got.keys() == texts.keys()
+    tailed = 0
+    for i, text in texts.items():
+        w = words(text)
+        h, n = zlib.crc32(str(i).encode()), len(w)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = w[:a] + [w[a + (k - a) % p] for k in range(a, n)]
+            tailed += 1
+        runs = plain_runs(w)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        r = got[i]
+        assert (r["n_runs"], r["runs_sha256"], r["collapsed_sha256"]) == (len(runs), sha("".join(f"{a},{n},{q}\n" for a, n, q in runs)), sha(" ".join(plain_collapsed(w, runs))))
+        assert (r["start"], r["length"], r["period"], r["exponent_milli"]) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+    assert tailed > 5 and any(r["n_runs"] for r in got.values())
+
+
+UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
+
+
+def test_checkpoints():
+    rng = random.Random(8)
+    for trial in range(600):
+        t = "".join(rng.choice("abZ .é\n漢😀<PSM>\0") for _ in range(rng.randrange(0, 70)))
+        units, raw = UNIT.findall(t), t.encode()
+        index = infill.Checkpoints(raw, rng.choice([1, 2, 7, 64]), rng.choice([1, 2, 5, 1 << 20]))
+        assert (index.units, index.points) == (len(units), len(t))
+        for k in range(len(units) + 1):
+            before = "".join(units[:k])
+            assert index.cut(k) == (len(before.encode()), len(before))
+        numbers = infill.draws(trial, trial)
+        n, form, prefix, middle, out = infill.transform(raw, numbers)
+        assert infill.restore(out, form) == raw and n == len(units)
+        if form != "plain":
+            a, b = sorted(x % (n + 1) for x in numbers[:2])
+            pre, mid, suf = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+            assert (prefix, middle) == (len(pre), len(mid))
+            assert out.decode() == (f"<S>{suf}<P>{pre}<M>{mid}" if form == "spm" else f"<P>{pre}<S>{suf}<M>{mid}")
+
+
+def test_infill_cases(spark):
+    rows = [(1, None), (1, ""), (None, "some text here"), (2, "with <M> inside"), (3, "word " * 4000), (4, "é漢😀 " * 30), (4, "é漢😀 " * 30), (5, "<" * 50), (6, "ends in <P"), (7, "x" * 3_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("form", F.lit(1)).repartition(2)
+    made = infill.restored(infill.infill(docs, plain_percent=0))
+    got = made.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["infill_restored"] == r["text"] and r["form"] == 1
+        plain = not r["text"] or "<M>" in r["text"]
+        assert (r["infill_form"] == "plain") == plain == (r["infill_prefix_chars"] is None)
+    assert {r["infill_form"] for r in infill.infill(docs, plain_percent=100).collect()} == {"plain"}
+    assert {r["infill_form"] for r in infill.infill(docs.filter("doc_id > 2"), plain_percent=0, spm_percent=100).collect()} == {"spm"}
+    assert infill.infill(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        infill.restore(b"text", "psm")
+
+
+def frames(raw):
+    """Sizes of the frames of an archive, the skippable one first, found by a plain decompressor."""
+    import zstandard
+
+    assert struct.unpack_from("<I", raw)[0] == 0x184D2A5D
+    size = struct.unpack_from("<I", raw, 4)[0]
+    held = raw[8 : 8 + size]
+    held = zstandard.ZstdDecompressor().decompress(held) if held[:4] == b"\x28\xb5\x2f\xfd" else held
+    rest, out = raw[8 + size :], []
+    while rest:
+        one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held)).decompressobj()
+        out.append(one.decompress(rest))
+        rest = one.unused_data
+    return held, out
+
+
+def test_archive_bytes():
+    rng = random.Random(2)
+    payloads = [f"<html><title>{k}</title>{' '.join(rng.choice(['alpha', 'beta', 'gamma']) for _ in range(rng.randrange(300)))}</html>".encode() for k in range(300)]
+    texts = [warc.page_record(k, k, f"http://x.example/{k} a\n", p, None) for k, p in enumerate(payloads)]
+    raw = warc.compress(texts, "a.warc.zst")
+    held, own = frames(raw)
+    assert struct.unpack_from("<I", held)[0] == warc.DICTIONARY
+    assert own[1:] == texts and own[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and list(warc.records(raw)) == own
+    import zstandard
+
+    assert len(raw) < sum(len(zstandard.ZstdCompressor(level=warc.LEVEL).compress(x)) for x in texts)
+    # any record by itself, as an index would name it
+    few = [warc.page_record(None, 0, None, b"", None), warc.page_record("a:b/ !", 1, None, b"p\r\n\r\nq", ("c", 2))]
+    assert frames(warc.compress(few, "b"))[1][1:] == few
+    fields, block = warc.parsed(few[1])
+    got = warc.page_row(fields, block)
+    assert (got["page_id"], got["refers_to"], got["payload_bytes"], got["record_type"]) == ("a:b/ !", "c", 6, "revisit")
+    assert got["payload_digest"] == base64.b32encode(hashlib.sha1(b"p\r\n\r\nq").digest()).decode()
+    broken = texts[5].replace(b"title", b"TITLE")
+    with pytest.raises(ValueError):
+        warc.parsed(broken)
+    for size in (0, 1, 5, 70_000, 300_000):  # raw, repeated and compressed blocks
+        rec = warc.page_record(1, 1, None, random.Random(size).randbytes(size) + b"a" * size, None)
+        assert list(warc.records(warc.compress([rec], "c")))[1] == rec
+
+
+def archive(pages, tmp_path, **how):
+    path = str(tmp_path / f"warc-{random.random()}")
+    return warc.write_archives(pages, path, **how), path
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_archives_round_trip(spark, tmp_path, least):
+    rng = random.Random(4)
+    bodies = ["", "a", "four", "equal text", "é漢" * 40, "long " * 3000]
+    rows = [(rng.randrange(60), f"u{k}", rng.choice(bodies)) for k in range(150)] + [(None, None, None), (None, None, "only without an id"), (None, "u", "only without an id"), (7, "same", "twice"), (7, "same", "twice")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(3)).withColumn("row", F.lit(3)).repartition(5)
+    manifest, path = archive(pages, tmp_path, least=least, archive_bytes=20_000)
+    assert manifest.count() > 5
+    (tmp_path / os.path.basename(path) / "pages-left-by-a-lost-task.warc.zst").write_bytes(b"half")
+    got = warc.read_archives(manifest, path, with_payload=True)
+    assert len({r["record_id"] for r in got.collect()}) == len(rows)
+    full = [(r["page_id"], r["url"], r["payload"].decode()) for r in warc.resolved(got).collect()]
+    assert sorted(map(str, full)) == sorted(str((i, u, t or "")) for i, u, t in rows)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["payload_digest"], []).append(r)
+    for i, _, t in rows:
+        raw = (t or "").encode()
+        group = by[warc.digest(raw)]
+        owners = [r for r in group if r["record_type"] == "response"]
+        ids = [r["page_id"] for r in group if r["page_id"] is not None]
+        if len(raw) >= least:
+            assert len(owners) == 1 and owners[0]["page_id"] == min(ids, default=None)
+            assert all(r["refers_to"] == owners[0]["page_id"] and r["refers_record"] == owners[0]["record_id"] for r in group if r["record_type"] == "revisit")
+        else:
+            assert len(owners) == len(group) and all(r["refers_to"] is None for r in group)
+        assert all(r["payload_bytes"] == len(raw) for r in group)
+
+
+def test_archives_of_nothing_and_of_text_ids(spark, tmp_path):
+    pages = spark.createDataFrame([("b\r\nx: y", "u", "t"), ("a é", "u", "t"), ("", "u", "s"), (None, "u", "s")], "page_id string, url string, html string")
+    manifest, path = archive(pages.limit(0), tmp_path)
+    assert manifest.count() == 0 and warc.read_archives(manifest, path).count() == 0
+    manifest, path = archive(pages, tmp_path)
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(manifest, path, "string").collect()}
+    assert got == {("b\r\nx: y", "revisit", "a é"), ("a é", "response", None), ("", "response", None), (None, "revisit", "")}
+
+
+def test_counted_join(spark, tmp_path):
+    df = spark.createDataFrame([(k % 37 if k % 3 else 0, k) for k in range(900)] + [(None, -1)], "a long, b long").repartition(4)
+    found = common.materialize(df.groupBy("a").agg(F.count("*").alias("n"), F.max("b").alias("m")).filter("a < 30 and n > 1"), "t")
+    want = sorted(map(str, common.counted_join(df, found, "a").select("a", "b", "m").collect()))
+    # three keys to broadcast: the hot ones are, the others shuffle
+    assert sorted(map(str, common.counted_join(df, found, "a", limit=3).select("a", "b", "m").collect())) == want
+    assert len(want) == 901
+
+
+def test_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * k for k in (5, 1, 1, 30, 2, 2)] + [None, ""]})
+    parts = list(common.slices(batch, 0, rows=3, size=6))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 3, 1] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()

@@ -7,6 +7,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +98,26 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, weight=None, mos
     """``df`` with a broadcast hint if it has at most ``limit`` rows, and ``most`` bytes by the column ``weight`` (of rows that aren't narrow), else unchanged, so that the join shuffles. Give it materialized tables."""
     found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if weight is None else weight), F.lit(0)).alias("b")).first()
     return F.broadcast(df) if found["n"] <= limit and found["b"] <= most else df
+
+
+def slices(batch: pa.RecordBatch, text_at: int, rows: int = 2048, size: int = 16 << 20):
+    """``batch`` in parts of at most ``rows`` rows whose texts have at most ``size`` bytes together, or one row: what a task holds beside a batch doesn't grow with the lengths of its texts."""
+    upto, at = np.cumsum(pc.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(upto):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), at + rows, len(upto))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def counted_join(df: DataFrame, found: DataFrame, on: str, n: str = "n", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with the columns of ``found`` (materialized; one row for each key, with the number of rows of ``df`` that have it), null without one.
+
+    Up to ``limit`` keys are broadcast. Of more, those that more than a ``limit``-th of all counted rows have, fewer than ``limit`` by their definition, are broadcast; none of the others is hot, and they join by a shuffle.
+    """
+    size = found.agg(F.count("*").alias("keys"), F.coalesce(F.sum(n), F.lit(0)).alias("rows")).first()
+    if size["keys"] <= limit:
+        return df.join(F.broadcast(found.drop(n)), on, "left")
+    hot, rest = (F.col(n) > size["rows"] / limit), found.filter(F.col(n) <= size["rows"] / limit).drop(n)
+    hot = F.broadcast(found.filter(hot).drop(n))
+    return df.join(hot, on).unionByName(df.join(hot.select(on), on, "left_anti").join(rest, on, "left"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, chat_format, exact_dedup, gru_lm, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store
+from weftline.llm import bpe, chat_format, exact_dedup, gru_lm, infill, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store, warc, word_runs
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_token_parquet": token_store.query,
     "op10_gru_lm": gru_lm.query,
+    "op11_warc_archive": warc.query,
+    "op12_word_runs": word_runs.query,
+    "op13_infill": infill.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op7_chat_format": chat_format.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_warc_archive": warc.SQL,
+    "op13_infill": infill.SQL,
 }
