@@ -23,24 +23,24 @@ def plain(values):
 
 
 def names():
-    from weftline import queries
+    from weftline import registry
 
-    return sorted(queries.QUERIES)
+    return sorted(registry.QUERIES)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", names())
 def test_query(spark, duck, name):
-    from weftline import queries
+    from weftline import registry
 
-    got = queries.QUERIES[name](spark, DATA)
+    got = registry.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
     rows = sorted(plain(r) for r in got.select(*columns).collect())
-    if name in queries.ORACLE_SQL:
-        want = duck.sql(queries.ORACLE_SQL[name])
+    if name in registry.ORACLE_SQL:
+        want = duck.sql(registry.ORACLE_SQL[name])
         assert sorted(want.columns) == columns
         picked = ", ".join(f'"{c}"' for c in columns)
-        assert rows == sorted(plain(r) for r in duck.sql(f"SELECT {picked} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+        assert rows == sorted(plain(r) for r in duck.sql(f"SELECT {picked} FROM ({registry.ORACLE_SQL[name]})").fetchall())
     else:
         assert rows
 

@@ -165,6 +165,14 @@ def arpa_unigrams(spark: SparkSession, path) -> DataFrame:
     return rows.filter(F.col("word").isNotNull() & ~F.startswith("word", F.lit("<")))
 
 
+def arpa_model(spark: SparkSession, path) -> DataFrame:
+    """(n, gram, logp, backoff) of ARPA files of any size: a line with a tab is a gram, as long as it has words, so files can be read in parts."""
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).filter(F.col("value").rlike("^[ ]*-?[0-9.]+([eE][-+]?[0-9]+)?\t"))
+    gram = F.trim(parts[1])
+    return lines.select(F.size(F.split(gram, " +")).alias("n"), F.regexp_replace(gram, " +", " ").alias("gram"), F.trim(parts[0]).cast("double").alias("logp"), F.get(parts, F.lit(2)).cast("double").alias("backoff"))
+
+
 def word_list(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> ''")
 
