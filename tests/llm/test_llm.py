@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat_format, common, exact_dedup, gru_lm, jaccard_join, line_chunks, mixing, nb_svm, quality_rules, token_store
+from weftline.llm import bpe, chat_format, common, exact_dedup, gru_lm, jaccard_join, mixing, nb_svm, quality_rules, token_store
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, source string"
@@ -204,92 +204,6 @@ def test_mix_takes_preferred_documents_more_often(spark):
     assert sum(got.values()) == 200 and 140 <= got[1] <= 180
 
 
-def plain_chunks(data):
-    return {i: line_chunks.chunks(t) for i, t in data}
-
-
-def test_line_chunks(spark, empty):
-    rng = random.Random(4)
-    passage = "\n".join(f"passage line {i} {rng.random()}" for i in range(12))
-    own = lambda k: "\n".join(f"own {k} {i} {rng.random()}" for i in range(k % 7 + 2))
-    data = [(k, own(k) + "\n" + passage + "\n" + own(k + 1)) for k in range(6)] + [(k, own(k)) for k in range(6, 30)] + [(50, None), (51, ""), (52, "\n\n\n\n"), (53, "\n\n\n\n"), (54, "a"), (55, "a"), (3, None)]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("number", F.lit(2)).repartition(3)
-    out = line_chunks.clean(df)
-    got = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
-    first, want = {}, []
-    for i, t in data:
-        lines, spans = line_chunks.chunks(t)
-        assert b"\n".join(x for a, b in spans for x in lines[a:b]) == (t or "").encode()
-        for n, (a, b) in enumerate(spans):
-            c = b"\n".join(lines[a:b])
-            if b - a >= 2 and c.strip():
-                first.setdefault(c, []).append((i, n))
-    for i, t in data:
-        lines, spans = line_chunks.chunks(t)
-        keep = []
-        for n, (a, b) in enumerate(spans):
-            places = first.get(b"\n".join(lines[a:b]), [(i, n)])
-            if b - a < 2 or min(places) == (i, n):
-                keep += lines[a:b]
-        want.append((i, b"\n".join(keep).decode()))
-    assert got == sorted(want)
-    kept = {i: t for i, t in got}
-    # the passage goes from all but one document; documents without it stay as they are
-    assert all(len(kept[k]) < len(dict(data)[k]) for k in (1, 2, 4, 5))
-    assert all(kept[k] == dict(data)[k] for k in range(6, 30))
-    assert line_chunks.clean(empty).count() == 0
-
-
-def test_lines_of_repeated_ids(spark):
-    """Rows of one id, or of none, that hold different texts lose their own repeats only."""
-    rng = random.Random(3)
-    passage = [f"shared {i}" for i in range(20)]
-    unique = [f"unique {i} {rng.random()}" for i in range(40)]
-    data = [(1, "\n".join(passage)), (7, "\n".join(["a", *passage, "b"])), (7, "\n".join(unique)), (None, "\n".join(["n", *passage])), (None, "\n".join(x + "!" for x in unique)), (9, "\n".join(passage)), (9, "\n".join(passage))]
-    long = "\n".join(f"{k} {rng.random()}" for k in range(150_000))
-    data += [(20, long), (21, long + "\nend")]
-    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"mark": F.lit(1), "numbers": F.lit(2)}).repartition(3)
-    for cut in (line_chunks.windows, line_chunks.chunks):
-        out = Counter((r["doc_id"], r["text"]) for r in line_chunks.clean(df, cut=cut).collect())
-        assert out[7, "\n".join(unique)] == 1 and out[None, "\n".join(x + "!" for x in unique)] == 1 and out[20, long] == 1
-        if cut is line_chunks.windows:
-            # null ids come first, so theirs is the copy that stays
-            assert out == Counter([(1, ""), (7, "a\nb"), (7, "\n".join(unique)), (None, "\n".join(["n", *passage])), (None, "\n".join(x + "!" for x in unique)), (9, ""), (9, ""), (20, long), (21, "end")])
-
-
-def test_chunk_boundaries_resist_shifts():
-    """Lines put in front change the chunks near them only."""
-    rng = random.Random(6)
-    lines = [f"line {i} {rng.random()}" for i in range(400)]
-    plain = {b"\n".join(x[a:b]) for x, spans in [line_chunks.chunks("\n".join(lines))] for a, b in spans}
-    for shift in (1, 2, 3, 7):
-        x, spans = line_chunks.chunks("\n".join(["new"] * shift + lines))
-        moved = [b"\n".join(x[a:b]) for a, b in spans]
-        assert sum(c in plain for c in moved) >= len(plain) - 3
-        assert all(line_chunks.LEAST <= b - a <= line_chunks.MOST for a, b in spans[:-1]) and spans[0][0] == 0 and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
-
-
-def test_line_runs_are_all_found(spark, tmp_path):
-    """Recall on planted passages of 2 to 8 lines is 1: of every later copy no line stays, and no other line goes."""
-    rng = random.Random(5)
-    own = lambda n: [f"own {rng.random()}" for _ in range(n)]
-    data, removed, k = [], {}, 0
-    for n in range(2, 9):
-        for _ in range(5):
-            passage = own(n)
-            before, after = own(rng.randrange(1, 6)), own(rng.randrange(0, 6))
-            data += [(k, "\n".join(own(3) + passage + own(2))), (k + 1, "\n".join(before + passage + after))]
-            removed[k + 1] = (n, "\n".join(before + after))
-            k += 2
-    data += [(500, "a b\na b\na b\na b\nz"), (501, "c\nd\nc\nd\nc\nd"), (502, "e\ne\ne"), (503, "\n\n\n\n"), (504, "\n\n\n\n"), (505, None), (506, "single"), (507, "single")]
-    removed |= {500: (2, "a b\na b\nz"), 501: (4, "c\nd")}
-    spark.createDataFrame(data, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    got = table(line_chunks.query(spark, str(tmp_path)))
-    for i, t in data:
-        n, text = removed.get(i, (0, t or ""))
-        assert (got[i]["n_removed_lines"], got[i]["cleaned_sha256"]) == (n, hashlib.sha256(text.encode()).hexdigest()), i
-
-
 def tiktoken_encoder():
     return bpe.Codec.of(*bpe.default_vocabulary()).encoder
 
