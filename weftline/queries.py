@@ -102,10 +102,12 @@ def ngram_best_document(spark, d):
 
 
 def ngram_all_scores(spark, d):
-    items = _tokens(_t(spark, d, "benchmark"), "item_id")
-    found = matching.all_scores(items, "item_id", "w", _index(spark, d, items), _t(spark, d, "documents"), "doc_id")
-    hit = F.size(F.filter("scores", lambda x: x > 0)).cast("long")
-    return found.select(F.col("rec").alias("item_id"), F.size("scores").cast("long").alias("documents"), hit.alias("found"), F.col("best").alias("doc_id"), F.round("best_score", 9).alias("score"))
+    items, docs = _tokens(_t(spark, d, "benchmark"), "item_id"), _t(spark, d, "documents")
+    found = matching.found_scores(items, "item_id", "w", _index(spark, d, items))
+    best = found.groupBy(F.col("rec").alias("item_id")).agg(F.count("*").alias("found"), F.min_by("doc", F.struct(-F.col("score"), F.col("doc"))).alias("doc_id"), F.max("score").alias("score"))
+    total = docs.agg(F.count_distinct("doc_id").alias("documents"))
+    rows = items.select("item_id").join(best, "item_id", "left").crossJoin(F.broadcast(total))  # one row
+    return rows.select("item_id", "documents", F.coalesce("found", F.lit(0).cast("long")).alias("found"), "doc_id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
 def segment_vote(spark, d):
