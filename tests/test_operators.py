@@ -1,6 +1,7 @@
 """Operators on small rows worked out by hand or by plain versions of the rules."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -430,3 +431,97 @@ def test_hot_ngrams_are_met_with_blocks(spark):
     read = met[0].filter("kid IS NOT NULL").count() * 32
     assert read < 0.35 * 51 * 2000, read
     assert len(out) < 0.1 * 51 * 2000
+
+
+def test_edit_scripts_side_by_side_and_in_bands(monkeypatch):
+    """The same script among equal ones as a full table's, whatever is held at a time."""
+    rng = random.Random(41)
+
+    def plain(a, b):
+        cost = [[j if not i else i if not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        i, j, out = len(a), len(b), []
+        while i or j:
+            if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                out.append(edit.EQUAL if a[i] == b[j] else edit.REPLACE)
+            elif i and cost[i][j] == cost[i - 1][j] + 1:
+                i -= 1
+                out.append(edit.DELETE)
+            else:
+                j -= 1
+                out.append(edit.INSERT)
+        return out[::-1]
+
+    pairs = [([], []), ([], ["a"]), (["a"], [])]
+    for _ in range(250):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(0, 40))]
+        b = [x for x in a for x in ([x] if rng.random() < 0.8 else [rng.choice("abcd"), x][: rng.randrange(0, 3)])] if rng.random() < 0.7 else [rng.choice("abcd") for _ in range(rng.randrange(0, 40))]
+        pairs.append((a, b))
+    want = [plain(a, b) for a, b in pairs]
+    for small, band, held, kept in ((1 << 14, 64, 1 << 22, 128), (1 << 14, 64, 3000, 7), (0, 64, 1 << 22, 128), (0, 1, 1 << 22, 128), (0, 2, 50, 3), (0, 1, 10, 1)):
+        for name, value in (("SMALL_CELLS", small), ("BAND", band), ("HELD_CELLS", held), ("KEPT_ROWS", kept)):
+            monkeypatch.setattr(edit, name, value)
+        assert [x.tolist() for x in edit.scripts(pairs)] == want
+    monkeypatch.undo()
+    a = [f"w{i % 3000}" for i in range(20_000)]
+    b = [*a[:50], "new", *a[50:9000], *a[9003:15_000], "x", *a[15_001:]]
+    began = time.perf_counter()
+    assert edit.errors(a, b) == (3, 1, 1, 20_000, 19_996, 0.0)
+    assert time.perf_counter() - began < 5
+
+
+def test_windows_by_bits():
+    from weftline.operators import windows
+
+    rng = random.Random(42)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j - 1] + (x != y), above[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    for _ in range(150):
+        a, b = ("".join(rng.choice("abé😀 ") for _ in range(rng.randrange(0, 22))) for _ in range(2))
+        assert windows.distance(a, b) == plain(a, b)
+        assert windows.end_distances(a, b).tolist() == [min(plain(a, b[i:j]) for i in range(j + 1)) for j in range(len(b) + 1)]
+    vocab = [f"w{i}" for i in range(30)]
+    for _ in range(150):
+        words, n = [rng.choice(vocab) for _ in range(rng.randrange(1, 60))], rng.randrange(1, 12)
+        said = " ".join(rng.choice(vocab) for _ in range(n))
+        last = max(1, len(words) - n + 1)
+        begs = sorted(rng.sample(range(last), min(rng.randrange(1, 9), last)))
+        assert windows.nearest(said, words, n, begs) == min((plain(said, " ".join(words[b : b + n])), b) for b in begs)
+    # few of very many windows are compared
+    words = [f"word{rng.randrange(3000)}" for _ in range(8000)]
+    said, looked = [*words[5000:5050], "other", *words[5051:5100]], []
+    found = windows.nearest(" ".join(said), words, 100, list(range(7900)), looked)
+    assert found[1] == 5000 and len(looked) < 100
+
+
+def test_near_counts_are_those_of_all_windows(spark, monkeypatch):
+    """Ranges and groups of chunks don't change the candidates."""
+    from weftline.operators import windows
+
+    rng = random.Random(43)
+    vocab = [f"w{i}" for i in range(25)]
+    texts_ = {r: [rng.choice(vocab) for _ in range(n)] for r, n in (("a", 150), ("b", 7), ("c", 61), ("d", 1))}
+    chunks_ = [(r, c, [rng.choice([*vocab, "never"]) for _ in range(rng.randrange(0, 13))]) for r in [*texts_, "none"] for c in range(5)]
+    corpus = spark.createDataFrame([(r, i, w) for r, t in texts_.items() for i, w in enumerate(t)], "rec string, pos int, word string").repartition(4)
+    chunks = spark.createDataFrame(chunks_, "rec string, chunk int, words array<string>")
+    want = set()
+    for r, c, words in chunks_:
+        t, n = texts_.get(r, []), len(words)
+        counts = {b: sum(w in words for w in t[b : b + n]) for b in range(max(len(t) - n + 1, 1))} if t and n else {}
+        best = max(counts.values(), default=0)
+        want |= {(r, c, n, b, k) for b, k in counts.items() if best and k >= best * 0.9}
+    for size, at_once in ((4096, 64), (10, 2), (1, 1)):
+        monkeypatch.setattr(windows, "RANGE_WORDS", size)
+        monkeypatch.setattr(windows, "CHUNKS_AT_ONCE", at_once)
+        assert {tuple(r) for r in matching.candidates(chunks, corpus, many=1 << 40).collect()} == want
+    assert matching.candidates(chunks.limit(0), corpus).count() == 0

@@ -148,6 +148,41 @@ def window_errors(hits: str) -> str:
     SELECT *, CASE WHEN wer < 0.01 THEN 'perfect' WHEN wer < 0.1 THEN 'good' WHEN wer < 0.5 THEN 'mediocre' WHEN wer < 1 THEN 'bad' ELSE 'terrible' END AS bucket FROM e"""
 
 
+def char_trim(hits: str, least: int = 3) -> str:
+    """The words between the first and the last run of ``least`` equal characters of each best window and its item.
+
+    As in ``edits``; a cell is its cost, how many elements before it were kept in a row, and where the first long run begins and the last one ends on both sides.
+    """
+    far = "{c: 16000, r: 0, fa: 0, fb: 0, la: 0, lb: 0}"
+    edge = "{c: (d + 1)::INT, r: 0, fa: 0, fb: 0, la: 0, lb: 0}"
+    step = lambda x: f"{{c: {x}.c + 1, r: 0, fa: {x}.fa, fb: {x}.fb, la: {x}.la, lb: {x}.lb}}"
+    grown = f"prev[i].r + 1 >= {least}"
+    begun = lambda c, at: f"{c}: CASE WHEN prev[i].r + 1 = {least} AND prev[i].fa = 0 THEN ({at} - {least - 1})::INT ELSE prev[i].{c} END"
+    keep = f"{{c: prev[i].c, r: prev[i].r + 1, {begun('fa', 'i')}, {begun('fb', 'd + 1 - i')}, la: CASE WHEN {grown} THEN i::INT ELSE prev[i].la END, lb: CASE WHEN {grown} THEN (d + 1 - i)::INT ELSE prev[i].lb END}}"
+    return f"""WITH RECURSIVE {best_windows(hits)},
+    wp AS (SELECT item_id AS id, array_to_string(d[beg + 1 : beg + n], ' ') AS ta, array_to_string(c, ' ') AS tb, len(d[beg + 1 : beg + n]) AS na, len(c) AS nb FROM bw JOIN pr USING (item_id)),
+    cp AS (SELECT *, string_split(ta, '') AS a, string_split(tb, '') AS b, length(ta) AS n, length(tb) AS m FROM wp),
+    cd AS (
+      SELECT id, 0::BIGINT AS d, [{far.replace('16000', '0')}] AS cur, [{far}][1:0] AS prev FROM cp
+      UNION ALL
+      SELECT x.id, d + 1, list_transform(range(0, d + 2), lambda i: CASE
+          WHEN i > n OR d + 1 - i > m THEN {far}
+          WHEN i = 0 OR i = d + 1 THEN {edge}
+          WHEN a[i] = b[d + 1 - i] THEN {keep}
+          WHEN prev[i].c <= least(cur[i].c, cur[i + 1].c) THEN {step('prev[i]')}
+          WHEN cur[i].c <= cur[i + 1].c THEN {step('cur[i]')}
+          ELSE {step('cur[i + 1]')} END), cur
+      FROM cd x JOIN cp y ON x.id = y.id WHERE d < n + m),
+    ce AS (SELECT id, cur[n + 1] AS e, ta, tb, na, nb FROM cd JOIN cp USING (id) WHERE d = n + m)
+    SELECT id AS item_id, CASE WHEN e.fa > 0 THEN {_word('ta', 'e.fa', 'na')} END AS a_beg, CASE WHEN e.fa > 0 THEN {_word('ta', 'e.la', 'na')} + 1 END AS a_end,
+      CASE WHEN e.fa > 0 THEN {_word('tb', 'e.fb', 'nb')} END AS b_beg, CASE WHEN e.fa > 0 THEN {_word('tb', 'e.lb', 'nb')} + 1 END AS b_end FROM ce"""
+
+
+def _word(text: str, at: str, words: str) -> str:
+    """Number of the word that holds or follows character ``at``, counted from 1."""
+    return f"least(length({text}[1:{at}]) - length(replace({text}[1:{at}], ' ', '')), {words} - 1)::INT"
+
+
 #: Fifty vectors make a recording, their components the scores of the labels 4 1 2 4 3 5 4. A state's cell is its score and the frames at which the states up to it were entered.
 VITERBI = """WITH RECURSIVE f AS (SELECT vec_id // 50 AS rec, vec_id % 50 AS t, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
     sz AS (SELECT rec, count(*) AS n FROM f GROUP BY rec),

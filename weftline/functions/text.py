@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 BRACKETS = r"\[[^\]]*\]"
 SLASHES = r"/[^/]*/"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-WHITE = r"[\s\x1c-\x1f]"
+WHITE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 VIDEO_ID = "[0-9a-zA-Z_-]{11}"
 
 
@@ -27,12 +30,18 @@ def blank(text: Column, pattern: str) -> Column:
 
 def stripped(text: Column) -> Column:
     """Text without white space at its ends, of any kind: Unicode's and the separators U+001C to U+001F."""
-    return F.regexp_replace(text, rf"(?U)^{WHITE}+|(?<!{WHITE}){WHITE}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
+
+
+def _bare(text: Column) -> Column:
+    """Lower-case text, stripped, with brackets and slashes blank; texts without any are not taken apart."""
+    blanked = lambda pattern: lambda x: F.when(F.contains(x, F.lit(pattern[1] if pattern[0] == "\\" else pattern[0])), blank(x, pattern)).otherwise(x)
+    return F.lower(let(let(stripped(text), blanked(BRACKETS)), blanked(SLASHES)))
 
 
 def spaced(text: Column) -> Column:
     """Lower-case text, stripped, in which everything but words is blank."""
-    return F.regexp_replace(F.lower(blank(blank(stripped(text), BRACKETS), SLASHES)), NOT_WORD, " ")
+    return F.regexp_replace(_bare(text), NOT_WORD, " ")
 
 
 def prefix_sums(numbers: Column, block: int = 128) -> Column:
@@ -51,15 +60,28 @@ def prefix_sums(numbers: Column, block: int = 128) -> Column:
     return let(let(numbers, cut), joined)
 
 
+def _placed(texts: pa.Array) -> pa.Array:
+    """Of texts whose words stand between spaces, the words with their places. The words of all texts of a batch are handled as one array."""
+    parts = pc.split_pattern(texts, " ")
+    words, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    offsets -= offsets[0]
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    before = np.concatenate([[0], np.cumsum(length + 1)])
+    beg = before[:-1] - np.repeat(before[offsets[:-1]], np.diff(offsets))
+    there = length > 0
+    kept = np.concatenate([[0], np.cumsum(there)])[offsets].astype(np.int32)
+    rows = pa.StructArray.from_arrays([words.filter(pa.array(there)), pa.array(beg[there]), pa.array((beg + length)[there])], names=["word", "beg", "end"])
+    return pa.ListArray.from_arrays(pa.array(kept), rows, mask=texts.is_null())
+
+
 def word_offsets(text: Column) -> Column:
-    """array<struct<word, beg, end>>: the words of ``spaced`` with their places in the stripped text."""
+    """array<struct<word, beg, end>>: the words of ``spaced`` with their places in the stripped text; null for null."""
 
-    def placed(w):
-        starts = prefix_sums(F.transform(w, lambda x: F.length(x).cast("bigint") + 1))
-        all_ = F.zip_with(w, starts, lambda x, b: F.struct(x.alias("word"), b.alias("beg"), (b + F.length(x)).alias("end")))
-        return F.filter(all_, lambda x: x["word"] != "")
+    @F.arrow_udf("array<struct<word:string,beg:bigint,end:bigint>>")
+    def placed(x: pa.Array) -> pa.Array:
+        return _placed(x)
 
-    return let(F.split(spaced(text), " "), placed)
+    return placed(spaced(text))
 
 
 def words(text: Column) -> Column:
@@ -69,7 +91,7 @@ def words(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Words of ``spaced`` joined by single spaces."""
-    return F.array_join(F.array_remove(F.split(spaced(text), " +"), ""), " ")
+    return F.trim(F.regexp_replace(_bare(text), NOT_WORD + "+", " "))
 
 
 def bare_words(text: Column) -> Column:
@@ -79,8 +101,9 @@ def bare_words(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int = 3, compat: bool = False) -> Column:
     """n-grams joined by spaces. ``compat`` leaves the last one out, as older scores of document matchers did."""
-    count = F.size(tokens) - n + (0 if compat else 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    count = F.greatest(F.size(tokens) - n + (0 if compat else 1), F.lit(0))
+    grams = lambda x, i: F.concat_ws(" ", x, *(F.get(tokens, i + k) for k in range(1, n)))
+    return F.when(tokens.isNotNull(), F.transform(F.slice(tokens, F.lit(1), count), grams)).otherwise(F.array().cast("array<string>"))
 
 
 def word_at(text: Column, at: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import edit
-from weftline.operators.intervals import first_interval, outside_intervals, points_in_intervals
+from weftline.operators.intervals import first_interval, points_in_intervals
 from weftline.operators.sequence import final_order, gap_groups, split_long
+from weftline.sources.scratch import settled
 
 #: Seconds in a bucket of the interval joins.
 BUCKET = 30.0
@@ -38,14 +39,14 @@ def by_silence(ali: DataFrame, reco: DataFrame, gap: float = 2.0, longest: float
     grouped = split_long(grouped, ["rec", "group_no"], "start", "end", longest, order) if longest and longest > 0 else grouped.withColumn("part", F.lit(0))
     rows = grouped.groupBy("rec", "group_no", "part").agg(F.sort_array(F.collect_list(F.struct("start", "pos", "end", "word"))).alias("w"))
     segs = rows.select("rec", "group_no", "part", F.transform("w", lambda x: x["word"]).alias("norm_w"), _timed(F.col("w")).alias("words"))
-    segs = segs.withColumn("seg_start", F.col("words")[0]["time_s"]).withColumn("seg_end", F.element_at("words", -1)["time_e"])
+    segs = settled(segs.withColumn("seg_start", F.col("words")[0]["time_s"]).withColumn("seg_end", F.element_at("words", -1)["time_e"]))
     spans = segs.select("rec", "group_no", "part", "seg_start", "seg_end")
     points = [F.col("start"), F.col("end")]
-    held = first_interval(reco, spans, "rec", points, "seg_start", "seg_end", BUCKET, ["rec", "pos"], ["seg_start", "group_no", "part"])
+    held = settled(first_interval(reco, spans, "rec", points, "seg_start", "seg_end", BUCKET, ["rec", "pos"], ["seg_start", "group_no", "part"]))
     said = _said(held, ["rec", "group_no", "part"])
-    full = edit.with_errors(segs.join(said, ["rec", "group_no", "part"], "left").withColumn("reco", F.coalesce("reco", F.array().cast("array<string>"))), "norm_w", "reco")
+    full = edit.with_errors(edit.spread(segs.join(said, ["rec", "group_no", "part"], "left").withColumn("reco", F.coalesce("reco", F.array().cast("array<string>")))), "norm_w", "reco")
     done = full.select("rec", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("text"), F.array_join("norm_w", " ").alias("norm"), F.array_join("reco", " ").alias("reco"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), "reco_words", F.lit(None).cast("string").alias("match_error"), "errors", F.lit(False).alias("unaligned"))
-    rest = outside_intervals(reco, spans, "rec", points, "seg_start", "seg_end", BUCKET, ["rec", "pos"])
+    rest = reco.join(held.select("rec", "pos"), ["rec", "pos"], "left_anti")
     all_ = done.unionByName(unaligned_segments(rest, gap).withColumn("unaligned", F.lit(True)), allowMissingColumns=True)
     return final_order(all_, "rec", "start", ["unaligned", "end"])
 
@@ -63,18 +64,20 @@ def by_lines(ali: DataFrame, reco: DataFrame, lines: DataFrame, gap: float = 2.0
     placed = ali.join(places, ["rec", "norm_pos"]).groupBy("rec", "line").agg(F.sort_array(F.collect_list(F.struct("start", "norm_pos", "end", "word", "char_s", "char_e"))).alias("w"))
     words = F.transform("w", lambda x: F.struct(F.round(x["start"], 3).alias("time_s"), F.round(x["end"], 3).alias("time_e"), x["char_s"].alias("char_s"), x["char_e"].alias("char_e")))
     timed = placed.select("rec", "line", F.transform("w", lambda x: x["word"]).alias("norm_w"), words.alias("words_t")).withColumn("seg_start", F.col("words_t")[0]["time_s"]).withColumn("seg_end", F.element_at("words_t", -1)["time_e"])
+    timed = settled(timed)
     spans = timed.select("rec", "line", "seg_start", "seg_end")
     middle = (F.col("start") + F.col("end")) / 2
-    inside = points_in_intervals(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET) if all_matches else first_interval(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET, ["rec", "pos"], ["line"])
-    scored = edit.with_errors(timed.join(_said(inside, ["rec", "line"]), ["rec", "line"], "left"), "norm_w", "reco")
+    inside = settled(points_in_intervals(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET) if all_matches else first_interval(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET, ["rec", "pos"], ["line"]))
+    scored = edit.with_errors(edit.spread(timed.join(_said(inside, ["rec", "line"]), ["rec", "line"], "left")), "norm_w", "reco")
     heard = F.col("reco").isNotNull()
     bad = heard & (F.col("errors.cer") >= worst_cer)
+    scored = settled(scored)
     full = lines.select("rec", "line", "id", "text").join(scored.withColumn("bad", bad), ["rec", "line"], "left")
     keep = lambda c: F.when(heard & ~F.col("bad"), c)
     norm = F.when(F.col("norm_w").isNotNull() & ~F.coalesce("bad", F.lit(False)), F.array_join("norm_w", " "))
     done = full.select("rec", "line", "id", "text", norm.alias("norm"), keep(F.array_join("reco", " ")).alias("reco"), F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.col("words_t").alias("words"), keep(F.col("reco_words")).alias("reco_words"), keep(F.col("errors")).alias("errors"))
     done = done.withColumn("match_error", F.when(F.col("norm").isNull(), "only in reference"))
-    rest = outside_intervals(reco, spans, "rec", middle, "seg_start", "seg_end", BUCKET, ["rec", "pos"])
+    rest = reco.join(inside.select("rec", "pos"), ["rec", "pos"], "left_anti")
     freed = inside.join(scored.filter(bad).select("rec", "line"), ["rec", "line"], "left_semi").select(*reco.columns)
     all_ = done.unionByName(unaligned_segments(rest.unionByName(freed), gap), allowMissingColumns=True)
     return final_order(all_, "rec", "start", [F.col("line").asc_nulls_last(), "end"])

@@ -200,7 +200,10 @@ def context_chunks(df: DataFrame, array: str, length: int, left: int, right: int
 
 def ordered_ids(df: DataFrame, by: Column, name: str = "id", first: int = 1) -> DataFrame:
     """Numbers rows in the order of ``by`` over all partitions: ranges are counted, then numbered inside. No task sees all rows."""
-    spread = df.repartitionByRange(by).withColumn("__p", F.spark_partition_id())
+    from weftline.sources.scratch import settled
+
+    # written once: numbers of ranges must not change between the two reads
+    spread = settled(df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()))
     counts = spread.groupBy("__p").agg(F.count("*").alias("n"))
     before = counts.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(by))

@@ -13,7 +13,7 @@ from weftline import edit_sql
 from weftline.functions import text as tx
 from weftline.operators import edit, intervals, matching, resegment, sequence, stats, viterbi
 from weftline.sources import readers, sinks
-from weftline.sources.scratch import scratch
+from weftline.sources.scratch import scratch, settled
 
 SECOND = 1_000_000
 #: Thresholds that suit the events table, whose words are hours apart.
@@ -216,9 +216,9 @@ def overlap_check(spark, d):
 def _pairs(spark, d):
     """Each benchmark item with its best document: chunks, corpus words, corpus texts."""
     items = _tokens(_t(spark, d, "benchmark"), "item_id")
-    best = matching.document_scores(items, "item_id", "w", _index(spark, d, items), top=1).select(F.col("rec").alias("item_id"), F.col("doc").alias("doc_id"))
-    chunks = best.join(items, "item_id").select(F.col("item_id").alias("rec"), F.lit(0).alias("chunk"), F.col("w").alias("words"))
-    texts = best.join(_tokens(_t(spark, d, "documents"), "doc_id"), "doc_id").select(F.col("item_id").alias("rec"), F.col("w").alias("words"))
+    best = settled(matching.document_scores(items, "item_id", "w", _index(spark, d, items), top=1).select(F.col("rec").alias("item_id"), F.col("doc").alias("doc_id")))
+    chunks = settled(best.join(items, "item_id").select(F.col("item_id").alias("rec"), F.lit(0).alias("chunk"), F.col("w").alias("words")))
+    texts = settled(best.join(_tokens(_t(spark, d, "documents"), "doc_id"), "doc_id").select(F.col("item_id").alias("rec"), F.col("w").alias("words")))
     return chunks, texts.select("rec", F.posexplode("words").alias("pos", "word")), texts
 
 
@@ -294,13 +294,13 @@ def _ref_lines(spark, d):
     lines = _t(spark, d, "conversations").select(F.col("conv_id").alias("rec"), F.col("turn").alias("line"), F.format_string("c%d_%d", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = lines.withColumn("words", F.array_remove(F.split(tx.normalized(F.col("text")), " "), ""))
     # the places of the words in the normalised text
-    ends = lambda w: F.zip_with(w, tx.prefix_sums(F.transform(w, lambda x: F.length(x).cast("bigint") + 1)), lambda x, b: F.struct(b.cast("int").alias("s"), (b + F.length(x)).cast("int").alias("e")))
-    lines = lines.withColumn("normoff", tx.let(F.col("words"), ends))
+    lines = lines.withColumn("normoff", F.transform(tx.word_offsets(F.array_join("words", " ")), lambda o: F.struct(o["beg"].cast("int").alias("s"), o["end"].cast("int").alias("e"))))
     from pyspark.sql import Window
 
     order = Window.partitionBy("rec").orderBy("line", "i")
+    lines = settled(lines)
     said = lines.select("rec", "line", F.posexplode("words").alias("i", "word")).withColumn("pos", F.row_number().over(order) - 1)
-    said = said.select("rec", "pos", "word", (F.col("pos") * 0.5).alias("start"), (F.col("pos") * 0.5 + 0.25).alias("end"))
+    said = settled(said.select("rec", "pos", "word", (F.col("pos") * 0.5).alias("start"), (F.col("pos") * 0.5 + 0.25).alias("end")))
     reco = said.filter("pos % 10 <> 3").withColumn("word", F.when(F.col("pos") % 7 == 0, F.concat("word", F.lit("x"))).otherwise(F.col("word")))
     return lines, said.filter("pos % 31 <> 5").select("rec", F.col("pos").alias("norm_pos"), "word", "start", "end"), reco
 
@@ -546,6 +546,7 @@ ORACLE_SQL |= {
     "bow_candidates_many": f"WITH {edit_sql.best_windows(_DOC_HITS)} SELECT item_id, beg, hits::BIGINT AS hits FROM cand WHERE found <= 3 OR hits >= best * 0.99",
     "best_window": f"WITH {edit_sql.best_windows(_DOC_HITS)} SELECT item_id, beg, least(beg + n, size) AS \"end\", distance, round(distance / length(said), 9) AS relative FROM bw",
     "window_errors": edit_sql.window_errors(_DOC_HITS),
+    "char_trim": edit_sql.char_trim(_DOC_HITS),
     "viterbi_words": edit_sql.VITERBI,
     "resegment_lines": edit_sql.resegment_lines(_WORDS_OF_TURNS),
     "segment_stats": edit_sql.segment_stats(_WORDS_OF_TURNS),
