@@ -1,0 +1,60 @@
+"""Large blocks of the n-gram join are cut by size: sets that may link meet, others mostly don't."""
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from weftline.llm import jaccard_join
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (90, 100), (100, 100)])
+def test_sizes_that_can_link_meet(spark, monkeypatch, num, den):
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_LEAST", 6)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_SHINGLES", 60)
+    rng = random.Random(num)
+    rows = [(b, r, rng.choice([rng.randrange(1, 30), rng.randrange(1, 3000)]) if b else 7, r % 5) for b, r in ((k % 3, k) for k in range(400))] + [(9, 1, 50, 1), (9, 2, 3000, 2)]
+    df = spark.createDataFrame(rows, "block long, rep long, n long, label long")
+    parts = defaultdict(set)
+    for r in jaccard_join._size_pairs(df, num, den).collect():
+        parts[r["block"], r["rep"]].add(r["part"])
+    for x in rows:
+        assert parts[x[0], x[1]]
+        for y in rows:
+            if x[0] == y[0] and num * max(x[2], y[2]) <= den * min(x[2], y[2]):
+                assert parts[x[0], x[1]] & parts[y[0], y[1]], (x, y)
+    # block 1 holds sets of many sizes: a set travels less often than once for each of some 130 / 6 fragments
+    sent = [len(v) for (b, _), v in parts.items() if b == 1]
+    assert sum(sent) / len(sent) < 14
+
+
+def test_components_over_many_sizes(spark, monkeypatch):
+    """A family of texts of all lengths that share common passages, cut into small fragments: the same components as by all pairs."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(400)]
+    texts = []
+    for k in range(90):
+        n = rng.randrange(40, 400)
+        words = common[:n]
+        for _ in range(rng.randrange(0, n // 12)):
+            words[rng.randrange(n)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[i:] for i in range(3)))) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least, shingles in ((64, 1 << 18), (4, 100), (2, 10)):
+        monkeypatch.setattr(jaccard_join, "FRAGMENT_LEAST", least)
+        monkeypatch.setattr(jaccard_join, "FRAGMENT_SHINGLES", shingles)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar(docs, 3, 80, 100).collect()}
+        assert got == {i: root(i) for i in range(len(texts))}, least

@@ -20,7 +20,8 @@ at least num/den. Equal sets form one class first. For the rest:
   all its blocks, so a text is read once, not once for each of its keys. A family too large for one tree goes
   block by block: each class meets its largest block (cut into fragments); then one member of each
   component meets those of the others in each block; then all blocks that still hold several
-  components are compared in full, fragment pair by fragment pair. Nothing is
+  components are compared in full, fragment pair by fragment pair, where fragments are ranges of size
+  and only those near enough to link meet. Nothing is
   sampled: in the end each linked pair has been compared or was connected before.
 
 Cases: null or empty texts have no shingles and link with nothing; with fewer
@@ -48,6 +49,8 @@ FRAGMENT_SHINGLES, FRAGMENT_LEAST = 1 << 18, 64
 #: Shingles that travel together in the census.
 CHUNK_SHINGLES = 1 << 19
 FANOUT = 8
+#: Size ranges within the ratio of sizes that sets can link at.
+SIZE_STEPS = 4
 #: Bits of a bitmap for each shingle of the largest set of a block.
 BITS = 32
 
@@ -489,16 +492,36 @@ def _by_blocks(met: DataFrame, docs: DataFrame, size: int, num: int, den: int) -
         links = _chained(links, found)
         left = open_blocks(labelled)
     if not left.isEmpty():
-        rows = labelled.join(sized_broadcast(left), "block").withColumn("f", _fragments(F.col("most"), F.col("m")))
-        mine = F.pmod(F.xxhash64("rep"), F.col("f"))
-        # fragment g meets each fragment h: pair number min * f + max
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("f") - 1), lambda h: F.least(mine, h) * F.col("f") + F.greatest(mine, h))
-        rows = rows.select("block", F.explode(pairs).alias("part"), "rep", "label")
+        rows = materialize(_size_pairs(labelled.join(sized_broadcast(left.select("block")), "block").select("block", "rep", "n", "label"), num, den), "jaccard-pairs")
         found = _round(rows, docs, size, num, den, "jaccard-rest")
+        discard(rows)
         links = _chained(links, found)
     return links
 
 
+def _size_range(n, num: int, den: int):
+    """Number of a set's size range: sets can only link if theirs differ by ``SIZE_STEPS`` at most. With num = den only equal sizes can."""
+    return F.floor(F.log(n.cast("double")) * (SIZE_STEPS / (np.log(den / num) * (1 + 1e-9)))).cast("long") if num < den else n.cast("long") * (SIZE_STEPS + 1)
+
+
+def _size_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, part, rep, label): blocks (block, rep, n, label) cut into fragments by ranges of size, and large ranges by hash; each fragment meets those whose sizes are near enough to link, so a set travels once for each of these and not for every fragment of its block."""
+    ranged = materialize(rows.withColumn("range", _size_range(F.col("n"), num, den)), "jaccard-ranges")
+    counts = materialize(ranged.groupBy("block", "range").agg(F.count("*").alias("m"), F.max("n").alias("most")).select("block", "range", _fragments(F.col("most"), F.col("m")).alias("f")), "jaccard-fragments")
+    mine = sized_broadcast(counts)
+    placed = ranged.join(mine, ["block", "range"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("f"))).drop("f")
+    other = counts.select("block", F.col("range").alias("near"), F.col("f").alias("g"))
+    near = F.explode(F.sequence(F.col("range") - SIZE_STEPS, F.col("range") + SIZE_STEPS))
+    met = placed.withColumn("near", near).join(sized_broadcast(other), ["block", "near"]).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    here, there = F.struct(F.col("range").alias("r"), F.col("i").alias("k")), F.struct(F.col("near").alias("r"), F.col("j").alias("k"))
+    # two numbers name a pair of fragments; pairs that share one by chance are compared together, which loses nothing
+    part = F.xxhash64(F.least(here, there), F.greatest(here, there))
+    lone = counts.join(counts.select("block", F.col("range").alias("near"), F.col("f").alias("g")), "block").filter(F.abs(F.col("range") - F.col("near")) <= SIZE_STEPS)
+    lone = lone.groupBy("block", "range").agg((F.sum("g") == 1).alias("lone"))
+    # a fragment is compared in itself with each one it meets, and by itself where it meets none
+    return met.join(sized_broadcast(materialize(lone, "jaccard-lone")), ["block", "range"]).filter((here != there) | F.col("lone")).select("block", part.alias("part"), "rep", "label")
+
+
 def _chained(links: DataFrame, more: DataFrame) -> DataFrame:
     """(a, b): every class that is not the smallest of its component, and that smallest one."""
     if more.isEmpty():
