@@ -525,3 +525,29 @@ def test_near_counts_are_those_of_all_windows(spark, monkeypatch):
         monkeypatch.setattr(windows, "CHUNKS_AT_ONCE", at_once)
         assert {tuple(r) for r in matching.candidates(chunks, corpus, many=1 << 40).collect()} == want
     assert matching.candidates(chunks.limit(0), corpus).count() == 0
+
+
+def test_dyadic_cells(spark):
+    """Cells cover every bucket of an interval once and no other; a year at half a minute has fewer than a hundred."""
+    spans = [(a, b) for a in range(-9, 10) for b in range(a, 11)] + [(0, 365 * 24 * 120), (12_345, 12_345 + 365 * 24 * 120), (-3, (1 << 42) + 5)]
+    df = spark.createDataFrame(spans, "a long, b long").withColumn("c", intervals.dyadic_cells(F.col("a"), F.col("b")))
+    for r in df.collect():
+        assert len(r["c"]) < 100 and sum(1 << x["level"] for x in r["c"]) == r["b"] - r["a"] + 1
+        if r["b"] - r["a"] < 100:
+            assert sorted(k for x in r["c"] for k in range(x["cell"] << x["level"], (x["cell"] + 1) << x["level"])) == list(range(r["a"], r["b"] + 1))
+
+
+def test_points_in_intervals_of_any_length(spark):
+    """Short and very long intervals, points before zero, several points of a row, nulls and clashing names, open and closed ends: as by all pairs."""
+    rng = random.Random(51)
+    spans = [(k % 3, k, s, s + rng.choice([0, 1, 7, 60, 5000, 10**7])) for k, s in ((k, rng.randrange(-300, 3000)) for k in range(60))] + [(0, 98, None, 5), (0, 99, 5, None), (1, 97, 50, 40)]
+    points = [(k % 3, k, rng.randrange(-400, 9000), rng.randrange(-400, 9000)) for k in range(150)] + [(0, 990, None, 3), (0, 991, None, None)]
+    i = spark.createDataFrame(spans, "rec int, span int, b long, f long")
+    p = spark.createDataFrame(points, "rec int, pos int, x long, y long").withColumn("level", F.lit(1)).withColumn("cell", F.lit(1))
+    for closed in (True, False):
+        for columns in ("x", "y"), ("x",):
+            got = intervals.points_in_intervals(p, i, "rec", [F.col(c) for c in columns], "b", "f", 30, closed).select("pos", "span").collect()
+            inside = lambda t, b, f, closed=closed: t is not None and b is not None and f is not None and b <= t and (t <= f if closed else t < f)
+            want = {(q, s) for r, q, x, y in points for k, s, b, f in spans if r == k and any(inside(t, b, f) for t in (x, y)[: len(columns)])}
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert intervals.points_in_intervals(p, i.limit(0), "rec", F.col("x"), "b", "f", 30).count() == 0

@@ -1,22 +1,53 @@
-"""Joins of points and intervals: an equality on the group and on a time bucket, then the exact condition."""
+"""Joins of points and intervals: an equality on the group and on a dyadic cell of time, then the exact condition.
+
+Time is cut into buckets, buckets into cells of 1, 2, 4, 8 ... of them. An interval is the few cells that make it up, at most two of each size, however long it is; a
+point is in one cell of each size. So a point and an interval that holds it meet in exactly one cell.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sizes of cells go up to two to this power; intervals of more buckets have several of the largest.
+LARGEST = 40
+
+
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """array<struct<level, cell>>: the cells that make up the buckets from ``first`` to ``last``, both included; cell c of level l is the buckets from c * 2^l on."""
+    out = []
+    for level in range(LARGEST + 1):
+        # whole cells of this level inside the buckets; those that do not pair up to larger ones are part of the answer
+        lo, hi = -F.shiftright(-first, level), F.shiftright(last + 1, level)
+        cell = lambda c, level=level: F.struct(F.lit(level).alias("level"), c.cast("long").alias("cell"))
+        if level == LARGEST:
+            all_ = F.when(lo < hi, F.transform(F.sequence(lo, F.greatest(hi - 1, lo)), lambda c: F.struct(F.lit(LARGEST).alias("level"), c.cast("long").alias("cell"))))
+            return F.concat(F.filter(F.array(*out), lambda x: x.isNotNull()), F.coalesce(all_, F.array().cast("array<struct<level:int,cell:bigint>>")))
+        odd = lo.bitwiseAND(F.lit(1)) == 1
+        out.append(F.when((lo < hi) & odd, cell(lo)))
+        out.append(F.when((hi.bitwiseAND(F.lit(1)) == 1) & (hi > lo + odd.cast("long")), cell(hi - 1)))
+
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: Column | list[Column], start: str, end: str, bucket: float, closed: bool = True) -> DataFrame:
-    """All pairs of a point and an interval of the same group that holds it (any of several points, if ``at`` is a list)."""
+    """All pairs of a point and an interval of the same group that holds it (any of several points, if ``at`` is a list). ``bucket``: the shortest time that is told apart before the exact condition.
+
+    Intervals without a start or an end, and points without a time, are in no pair.
+    """
     ats = at if isinstance(at, list) else [at]
     number = lambda x: F.floor(x / F.lit(bucket)).cast("long")
-    i = intervals.withColumn("__b", F.explode(F.sequence(number(F.col(start)), number(F.greatest(F.col(start), F.col(end)))))).withColumnRenamed(key, "__k")
-    p = points.withColumn("__at", F.array(*ats)).withColumn("__pb", F.explode(F.array_distinct(F.transform("__at", number))))
+    first, last = number(F.col(start)), number(F.greatest(F.col(start), F.col(end)))
+    i = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__c", F.explode(dyadic_cells(first, last))).withColumnRenamed(key, "__k")
+    i = i.withColumn("__l", F.col("__c.level")).withColumn("__b", F.col("__c.cell")).drop("__c")
+    # points only look at the sizes that occur: a few numbers
+    levels = sorted(r[0] for r in i.select("__l").distinct().collect())
+    p = points.withColumn("__at", F.filter(F.array(*ats), lambda x: x.isNotNull())).withColumn("__pb", F.explode(F.array_distinct(F.transform("__at", number))))
+    cells = [F.struct(F.lit(n).alias("l"), F.shiftright("__pb", n).alias("b")) for n in levels] or [F.struct(F.lit(0).alias("l"), F.col("__pb").alias("b"))]
+    p = p.withColumn("__c", F.explode(F.array(*cells)))
     inside = lambda x: (x >= F.col(start)) & ((x <= F.col(end)) if closed else (x < F.col(end)))
-    joined = p.join(i, (F.col(key) == F.col("__k")) & (F.col("__pb") == F.col("__b")))
+    joined = p.join(i, (F.col(key) == F.col("__k")) & (F.col("__c.l") == F.col("__l")) & (F.col("__c.b") == F.col("__b")))
     # with several points a pair can meet in several buckets: it counts in the bucket of its first point inside
     hit = F.filter("__at", inside)
-    return joined.withColumn("__hit", hit).filter((F.size("__hit") > 0) & (number(F.col("__hit")[0]) == F.col("__pb"))).drop("__at", "__pb", "__b", "__k", "__hit")
+    return joined.withColumn("__hit", hit).filter((F.size("__hit") > 0) & (number(F.col("__hit")[0]) == F.col("__pb"))).drop("__at", "__pb", "__c", "__l", "__b", "__k", "__hit")
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, key: str, at, start: str, end: str, bucket: float, point_id: list[str], order: list, closed: bool = True) -> DataFrame:
