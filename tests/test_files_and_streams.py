@@ -113,3 +113,49 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["start"], r["end"], r["n"]) for r in spark.table("exact").collect()} >= {(100.0, 107.0, 2), (130.0, 133.0, 2)}
+
+
+def test_plain_transcripts_and_norm_text(spark, tmp_path):
+    """Plain transcripts as words; normalised text as one line for each utterance, in order."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.txt").write_text("  Ala\u00a0ma kota,\n\n i psa \n", encoding="utf-8")
+    (tmp_path / "t" / "two.txt").write_text("", encoding="utf-8")
+    got = {r["rec"]: r["words"] for r in readers.transcript_text(spark, str(tmp_path / "t")).collect()}
+    assert got == {"one": ["Ala", "ma", "kota,", "i", "psa"]}
+    lines = spark.createDataFrame([("b", 1, "third"), ("a", 10, "second é"), ("a", 2, "first"), ("b", 3, "")], "rec string, line int, norm string").repartition(3)
+    sinks.write_norm_text(lines, str(tmp_path / "norm"))
+    files = sorted(p for p in (tmp_path / "norm").glob("part-*"))
+    assert "".join(p.read_text(encoding="utf-8") for p in files) == "first\nsecond é\nthird\n\n"
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_norm_text(lines, str(tmp_path / "norm"))
+
+
+def test_segments_without_reference_only_or_time(spark):
+    """Only those of the reference alone go, not those without an error; and those that take no time."""
+    from weftline.operators import sequence, stats
+
+    segs = spark.createDataFrame([(1, None, 0.0, 1.0), (2, "only in reference", None, None), (3, "only in reco", 2.0, 2.0), (4, None, 3.0, 2.5)], "id int, match_error string, start double, end double")
+    assert sorted(r["id"] for r in stats.without_reference_only(segs).collect()) == [1, 3, 4]
+    assert [r["id"] for r in sequence.timed_only(segs).collect()] == [1]
+
+
+def test_outside_model(spark):
+    """A model is loaded in each worker and maps batches of rows."""
+
+    def model(batches):
+        loaded = {"a": "A"}
+        for b in batches:
+            yield b.assign(text=b["x"].map(lambda v: loaded.get(v, "?")))[["x", "text"]]
+
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    assert sorted(tuple(r) for r in readers.with_model(df, model, "x string, text string").collect()) == [("a", "A"), ("b", "?")]
+
+
+def test_rows_without_times(spark):
+    from weftline.operators import sequence
+
+    df = spark.createDataFrame([(1, 0, None, 5.0), (1, 1, 1.0, 2.0), (1, 2, 1.5, None), (1, 3, 2.0, 3.0), (1, 4, 30.0, 31.0)], "rec int, pos int, s double, e double")
+    assert sorted(r["pos"] for r in sequence.greedy_keep(df, "rec", "s", "e", ["s", "pos"]).collect()) == [1, 3, 4]
+    assert sorted((r["beg"], r["end"]) for r in sequence.gap_chunks(df, "rec", "pos", "s", "e", 15.0, 1, 10).collect()) == [(1, 4), (4, 5)]
+    parts = {r["pos"]: r["part"] for r in sequence.split_long(df, ["rec"], "s", "e", 10.0, ["s", "pos"]).collect()}
+    assert parts.keys() == {0, 1, 2, 3, 4} and parts[1] == parts[3] == 0

@@ -62,8 +62,9 @@ def gap_chunks(df: DataFrame, key: str, pos: str, start: str, end: str, gap: flo
     """(key, beg, end): chunks of words, cut at gaps and at ``most`` words, those under ``least`` left out.
 
     After a cut the next gap is measured from the start, not the end, of the chunk's first word; a cut so depends on the one before it.
+    Words without a start or an end are in no chunk.
     """
-    columns = df.select(key, pos, start, end)
+    columns = df.select(key, pos, start, end).filter(F.col(start).isNotNull() & F.col(end).isNotNull())
 
     def step(state, row):
         number, n, last = state
@@ -76,7 +77,8 @@ def gap_chunks(df: DataFrame, key: str, pos: str, start: str, end: str, gap: flo
 
 
 def greedy_keep(df: DataFrame, key: str, start: str, end: str, order: list | None = None, touching: bool = True) -> DataFrame:
-    """Rows kept in the order of their start if they do not begin before the end of the row kept last; ``touching=False`` also drops those that begin at it."""
+    """Rows kept in the order of their start if they do not begin before the end of the row kept last; ``touching=False`` also drops those that begin at it. Rows without a start or an end take no time and are not kept."""
+    df = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
     s, e = df.columns.index(start), df.columns.index(end)
 
     def step(last, row):
@@ -87,7 +89,7 @@ def greedy_keep(df: DataFrame, key: str, start: str, end: str, order: list | Non
 
 
 def split_long(df: DataFrame, keys: list[str], start: str, end: str, longest: float, order: list) -> DataFrame:
-    """Adds ``part``: groups of ``keys`` longer than ``longest`` are cut into parts of about equal duration."""
+    """Adds ``part``: groups of ``keys`` longer than ``longest`` are cut into parts of about equal duration. Rows without a start or an end stay in the part of the row before them, and begin none."""
     w = Window.partitionBy(*keys)
     first = F.min(F.struct(*order, F.col(start).alias("__v"))).over(w)["__v"]
     last = F.max(F.struct(*order, F.col(end).alias("__v"))).over(w)["__v"]
@@ -97,6 +99,10 @@ def split_long(df: DataFrame, keys: list[str], start: str, end: str, longest: fl
 
     def step(state, row):
         number, begin, begun = state
+        if row[s] is None or row[e] is None:
+            return state, (number,)
+        if begin is None:
+            begin = row[s]
         if row[p] is not None and row[e] - begin > row[p] and begun:
             return (number + 1, row[s], True), (number + 1,)
         return (number, begin, True), (number,)

@@ -26,7 +26,7 @@ def _files(spark: SparkSession, path, suffix: str | None = None) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path) -> DataFrame:
-    """(rec, body): a row for each file; rec is the file's name without its suffix, or the value of a folder ``rec=...``."""
+    """(rec, body): a row for each file; rec is the file's name without its suffix, or the value of a folder ``rec=...``. Files without a byte have no row."""
     folder = F.url_decode(F.regexp_extract("path", r"/rec=([^/]*)/[^/]*$", 1))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if isinstance(path, str) and _has_folders(spark, path) else _files(spark, path)
     return files.filter(~F.regexp_extract("path", "([^/]+)$", 1).startswith("_")).select(F.when(folder != "", folder).otherwise(file_stem("path")).alias("rec"), F.decode("content", "UTF-8").alias("body"))
