@@ -551,3 +551,18 @@ def test_points_in_intervals_of_any_length(spark):
             want = {(q, s) for r, q, x, y in points for k, s, b, f in spans if r == k and any(inside(t, b, f) for t in (x, y)[: len(columns)])}
             assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert intervals.points_in_intervals(p, i.limit(0), "rec", F.col("x"), "b", "f", 30).count() == 0
+
+
+def test_scans_of_a_key_in_ranges(spark):
+    """Unions of intervals and restored times are the same where a key is cut into ranges."""
+    rng = random.Random(61)
+    spans = [(rng.choice([0, 0, 0, 1, None]), s, s + rng.choice([1, 5, 40, 900])) for s in (rng.randrange(5000) for _ in range(700))] + [(2, 5, 9)]
+    df = spark.createDataFrame(spans, "rec int, s long, e long").repartition(5)
+    for margin in (0, 3):
+        plain = {tuple(r) for r in sequence.interval_union(df, "rec", "s", "e", margin).collect()}
+        assert {tuple(r) for r in sequence.interval_union(df, "rec", "s", "e", margin, key_rows=10).collect()} == plain and len(plain) > 5
+    islands = sequence.interval_union(df.filter("e - s < 40"), "rec", "s", "e")
+    times = spark.createDataFrame([(k, t, "x") for k in (0, 1, 3) for t in range(0, 2500, 3)], "rec int, at long, start string")
+    want = {tuple(r) for r in sequence.restore_time(times, islands, "rec", "at").collect()}
+    assert {tuple(r) for r in sequence.restore_time(times, islands, "rec", "at", key_rows=10).collect()} == want and len(want) > 100
+    assert sequence.interval_union(df.limit(0), "rec", "s", "e", key_rows=0).count() == 0

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftline.sources.scratch import settled
+
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list, start: Callable, step: Callable, out: str) -> DataFrame:
     """``df`` with the columns ``out`` (DDL) that ``step(state, row) -> (state, values)`` gives row by row, in each group of ``keys`` from ``start(row)`` on."""
@@ -110,30 +112,74 @@ def split_long(df: DataFrame, keys: list[str], start: str, end: str, longest: fl
     return sorted_fold(timed, keys, order, lambda row: (0, row[s], False), step, "part int").drop("__part")
 
 
-def interval_union(df: DataFrame, key: str, start: str, end: str, margin: float = 0.0) -> DataFrame:
-    """(key, island, start, end, before): maximal intervals covered, widened by ``margin`` and cut off at 0, and the time covered before each."""
-    wide = df.select(key, F.greatest(F.col(start) - margin, F.lit(0)).alias("s"), (F.col(end) + margin).alias("e"))
-    w = Window.partitionBy(key).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = wide.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    islands = marked.groupBy(key, "island").agg(F.min("s").alias("start"), F.max("e").alias("end"))
-    before = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy(key).orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
-    return islands.withColumn("before", F.coalesce(before, F.lit(0)))
+#: A key with more rows is cut into ranges; those of smaller ones are one window.
+KEY_ROWS = 2_000_000
 
 
-def restore_time(times: DataFrame, islands: DataFrame, key: str, at: str) -> DataFrame:
+class Scan:
+    """Running values over the rows of each key in order, of any number of rows a key.
+
+    Where no key has more than ``key_rows`` rows these are window functions. Else rows are dealt into ranges of (key, order): values run inside each range,
+    the totals of a key's ranges, one row for each, run over ranges, and the two are put together, so that no window holds a whole key.
+    """
+
+    def __init__(self, df: DataFrame, key: str, order: list[str], key_rows: int | None = None):
+        self.key, self.order = key, order
+        largest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        self.ranged = largest > (KEY_ROWS if key_rows is None else key_rows)
+        self.rows = settled(df.repartitionByRange(key, *order).withColumn("__p", F.spark_partition_id())) if self.ranged else df
+
+    def add(self, name: str, kind: str, value: Column, inclusive: bool = False) -> None:
+        """Adds the column ``name``: the max, sum or last non-null (``kind``) of ``value`` over the rows before each, and it; null before the first."""
+        end = Window.currentRow if inclusive else -1
+        agg = {"max": F.max, "sum": F.sum, "last": lambda x: F.last(x, ignorenulls=True)}[kind]
+        if not self.ranged:
+            self.rows = self.rows.withColumn(name, agg(value).over(Window.partitionBy(self.key).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, end)))
+            return
+        rows = self.rows.withColumn("__v", value)
+        own = agg(F.col("__v")).over(Window.partitionBy("__p", self.key).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, end))
+        total = F.max_by("__v", F.struct(*self.order)) if kind == "last" else agg("__v")
+        totals = (rows.filter(F.col("__v").isNotNull()) if kind == "last" else rows).groupBy("__p", self.key).agg(total.alias("__t"))
+        # one row for each range that a key reaches into
+        ranges = rows.select("__p", self.key).distinct().join(totals, ["__p", self.key], "left")
+        before = agg("__t").over(Window.partitionBy(self.key).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ranges.select(F.col("__p").alias("__q"), F.col(self.key).alias("__k"), before.alias("__c"))
+        met = rows.withColumn("__own", own).join(carried, (F.col("__p") == F.col("__q")) & F.col(self.key).eqNullSafe(F.col("__k")))
+        both = {"max": F.greatest("__own", "__c"), "sum": F.when(F.col("__own").isNull(), F.col("__c")).otherwise(F.col("__own") + F.coalesce("__c", F.lit(0))), "last": F.coalesce("__own", "__c")}[kind]
+        self.rows = settled(met.withColumn(name, both).drop("__v", "__own", "__q", "__k", "__c"))
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("__p") if self.ranged else self.rows
+
+
+def interval_union(df: DataFrame, key: str, start: str, end: str, margin: float = 0.0, key_rows: int | None = None) -> DataFrame:
+    """(key, island, start, end, before): maximal intervals covered, widened by ``margin`` and cut off at 0, and the time covered before each. A key may have any number of rows (``Scan``)."""
+    wide = df.select(key, F.greatest(F.col(start) - margin, F.lit(0)).alias("s"), (F.col(end) + margin).alias("e"))
+    scan = Scan(wide, key, ["s", "e"], key_rows)
+    scan.add("reach", "max", F.col("e"))
+    scan.add("island", "sum", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0), inclusive=True)
+    islands = scan.done().groupBy(key, "island").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    if not scan.ranged:
+        before = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy(key).orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
+        return islands.withColumn("before", F.coalesce(before, F.lit(0)))
+    covered = Scan(settled(islands), key, ["island"], key_rows)
+    covered.add("before", "sum", F.col("end") - F.col("start"))
+    return covered.done().withColumn("before", F.coalesce("before", F.lit(0)))
+
+
+def restore_time(times: DataFrame, islands: DataFrame, key: str, at: str, key_rows: int | None = None) -> DataFrame:
     """Adds ``restored``: where the covered time ``at`` lies in the original time; times beyond all islands are left out.
 
-    Islands and times are merged in one sorted pass for each key: a time takes the last island that begins, in covered time, before it (time 0 the first island).
+    Islands and times are merged in one sorted pass for each key: a time takes the last island that begins, in covered time, before it (time 0 the first island). A key may have any number of rows (``Scan``).
     """
     own = F.struct(*(F.col(f"`{c}`") for c in times.columns)).alias("__row")
-    t = times.select(F.col(key).alias("__k"), F.col(at).alias("__v"), F.lit(1).alias("__kind"), own, F.lit(None).cast(islands.schema["start"].dataType).alias("__s"), F.lit(None).cast(islands.schema["before"].dataType).alias("__b"), F.lit(None).cast(islands.schema["end"].dataType).alias("__e"))
+    t = times.select(F.col(key).alias("__k0"), F.col(at).alias("__v0"), F.lit(1).alias("__kind"), own, F.lit(None).cast(islands.schema["start"].dataType).alias("__s"), F.lit(None).cast(islands.schema["before"].dataType).alias("__b"), F.lit(None).cast(islands.schema["end"].dataType).alias("__e"))
     # an island that begins at a covered time holds what comes after it; the first also holds time 0
-    i = islands.filter(F.col("end") > F.col("start")).select(F.col(key).alias("__k"), F.col("before").alias("__v"), F.when(F.col("before") == 0, 0).otherwise(2).alias("__kind"), F.lit(None).cast(t.schema["__row"].dataType).alias("__row"), F.col("start").alias("__s"), F.col("before").alias("__b"), F.col("end").alias("__e"))
-    w = Window.partitionBy("__k").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last(F.when(F.col("__kind") != 1, F.struct("__s", "__b", "__e")), ignorenulls=True).over(w)
-    found = t.unionByName(i).withColumn("__i", last).filter((F.col("__kind") == 1) & (F.col("__v") - F.col("__i.__b") <= F.col("__i.__e") - F.col("__i.__s")))
-    return found.select("__row.*", (F.col("__i.__s") + F.col("__v") - F.col("__i.__b")).alias("restored"))
+    i = islands.filter(F.col("end") > F.col("start")).select(F.col(key).alias("__k0"), F.col("before").alias("__v0"), F.when(F.col("before") == 0, 0).otherwise(2).alias("__kind"), F.lit(None).cast(t.schema["__row"].dataType).alias("__row"), F.col("start").alias("__s"), F.col("before").alias("__b"), F.col("end").alias("__e"))
+    scan = Scan(t.unionByName(i), "__k0", ["__v0", "__kind"], key_rows)
+    scan.add("__i", "last", F.when(F.col("__kind") != 1, F.struct("__s", "__b", "__e")), inclusive=True)
+    found = scan.done().filter((F.col("__kind") == 1) & (F.col("__v0") - F.col("__i.__b") <= F.col("__i.__e") - F.col("__i.__s")))
+    return found.select("__row.*", (F.col("__i.__s") + F.col("__v0") - F.col("__i.__b")).alias("restored"))
 
 
 def merged_islands(df: DataFrame, key: str, start: str, end: str, gap: float, least: float) -> DataFrame:
@@ -206,8 +252,6 @@ def context_chunks(df: DataFrame, array: str, length: int, left: int, right: int
 
 def ordered_ids(df: DataFrame, by: Column, name: str = "id", first: int = 1) -> DataFrame:
     """Numbers rows in the order of ``by`` over all partitions: ranges are counted, then numbered inside. No task sees all rows."""
-    from weftline.sources.scratch import settled
-
     # written once: numbers of ranges must not change between the two reads
     spread = settled(df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()))
     counts = spread.groupBy("__p").agg(F.count("*").alias("n"))
