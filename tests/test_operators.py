@@ -566,3 +566,25 @@ def test_scans_of_a_key_in_ranges(spark):
     want = {tuple(r) for r in sequence.restore_time(times, islands, "rec", "at").collect()}
     assert {tuple(r) for r in sequence.restore_time(times, islands, "rec", "at", key_rows=10).collect()} == want and len(want) > 100
     assert sequence.interval_union(df.limit(0), "rec", "s", "e", key_rows=0).count() == 0
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_greedy_choice_of_a_key_in_ranges(spark, touching):
+    """The same rows are kept where a key is cut into ranges; steps stand for a range."""
+    rng = random.Random(71 + touching)
+    spans = [(rng.choice([0, 0, 0, 1, None]), k, s, s + rng.choice([0, 1, 5, 40, 900])) for k, s in enumerate(rng.randrange(6000) for _ in range(900))] + [(2, 990, 5, 9), (0, 991, None, 4), (0, 992, 4, None)]
+    df = spark.createDataFrame(spans, "rec int, pos int, s long, e long").repartition(5)
+    plain = sorted(map(str, sequence.greedy_keep(df, "rec", "s", "e", ["s", "pos"], touching).collect()))
+    ranged = sequence.greedy_keep(df, "rec", "s", "e", ["s", "pos"], touching, key_rows=10)
+    assert sorted(map(str, ranged.collect())) == plain and 30 < len(plain) < 700 and ranged.columns == df.columns
+    mine = sorted((s, e) for r, _, s, e in spans if r == 0 and s is not None and e is not None)
+    steps = sequence._range_steps([s for s, _ in mine], [e for _, e in mine], touching)
+    assert len(steps) < len(mine) / 3
+    for last in range(-5, 7000, 7):
+        want = last
+        for s, e in mine:
+            if s > want or (touching and s == want):
+                want = e
+        found = next((y for x, y in steps if x > last or (touching and x == last)), last)
+        assert found == want, last
+    assert sequence.greedy_keep(df.limit(0), "rec", "s", "e", key_rows=0).count() == 0

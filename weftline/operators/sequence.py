@@ -6,6 +6,7 @@ sorted partitions: a task streams through its rows with one state, so the length
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,16 +79,75 @@ def gap_chunks(df: DataFrame, key: str, pos: str, start: str, end: str, gap: flo
     return cut.groupBy(key, "chunk").agg(F.min(pos).alias("beg"), (F.max(pos) + 1).alias("end"), F.count("*").alias("n")).filter(F.col("n") >= least).select(key, "beg", "end")
 
 
-def greedy_keep(df: DataFrame, key: str, start: str, end: str, order: list | None = None, touching: bool = True) -> DataFrame:
-    """Rows kept in the order of their start if they do not begin before the end of the row kept last; ``touching=False`` also drops those that begin at it. Rows without a start or an end take no time and are not kept."""
+def greedy_keep(df: DataFrame, key: str, start: str, end: str, order: list | None = None, touching: bool = True, key_rows: int | None = None) -> DataFrame:
+    """Rows kept in the order of their start if they do not begin before the end of the row kept last; ``touching=False`` also drops those that begin at it. Rows without a start or an end take no time and are not kept.
+
+    A key with more than ``key_rows`` rows (``KEY_ROWS``) is cut into ranges (``_greedy_ranges``); ``order`` then begins with the start.
+    """
     df = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    order = order or [start]
+    largest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 if order[0] == start else 0
+    if largest > (KEY_ROWS if key_rows is None else key_rows):
+        return _greedy_ranges(df, key, start, end, order, touching)
     s, e = df.columns.index(start), df.columns.index(end)
 
     def step(last, row):
         keep = last is None or row[s] > last or (touching and row[s] == last)
         return (row[e] if keep else last), (keep,)
 
-    return sorted_fold(df, [key], order or [start], lambda row: None, step, "__keep boolean").filter("__keep").drop("__keep")
+    return sorted_fold(df, [key], order, lambda row: None, step, "__keep boolean").filter("__keep").drop("__keep")
+
+
+def _range_steps(starts: list, ends: list, touching: bool) -> list[tuple]:
+    """What a range of rows in order makes of the end kept before it: (begin, end) in order of begin, where an end that the row with that begin could follow becomes the end kept last. Later ends pass by the range.
+
+    From the last row on: a row's choice leads to the first row that can follow it, and so to that one's result. Neighbours that lead to the same result are one step.
+    """
+    where = bisect_left if touching else bisect_right
+    last = list(ends)
+    steps: list[tuple] = []
+    for i in range(len(starts) - 1, -1, -1):
+        following = max(where(starts, ends[i]), i + 1)
+        last[i] = ends[i] if following >= len(starts) else last[following]
+        if not steps or steps[-1][1] != last[i]:
+            steps.append((starts[i], last[i]))
+    return steps[::-1]
+
+
+def _greedy_ranges(df: DataFrame, key: str, start: str, end: str, order: list, touching: bool) -> DataFrame:
+    """``greedy_keep`` of keys of any size. Rows are dealt into ranges of (key, order). Each range becomes the steps of ``_range_steps``, one row; one fold over a key's ranges tells the end kept before each, by a search among its steps, and then each range is
+    folded by itself from there. So no task goes through the rows of more than its own range."""
+    rows = settled(df.repartitionByRange(key, *order).withColumn("__p", F.spark_partition_id()))
+    ordered = F.sort_array(F.collect_list(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col(start).alias("s"), F.col(end).alias("e"))))
+    kind = df.schema[start].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<s:{kind},e:{df.schema[end].dataType.simpleString()}>>")
+    def steps(starts, ends):
+        import pandas as pd
+
+        return pd.Series([[{"s": a, "e": b} for a, b in _range_steps(list(x), list(y), touching)] for x, y in zip(starts, ends, strict=True)])
+
+    held = rows.groupBy(key, "__p").agg(ordered.alias("r")).select(key, "__p", F.transform("r", lambda x: x["s"]).alias("s"), F.transform("r", lambda x: x["e"]).alias("e"))
+    ranges = held.select(key, "__p", steps("s", "e").alias("steps"))
+    at = ranges.columns.index("steps")
+
+    def pass_on(last, row):
+        found = row[at]
+        if last is None:
+            return found[0]["e"], (None,)
+        where = (bisect_left if touching else bisect_right)([x["s"] for x in found], last)
+        return (found[where]["e"] if where < len(found) else last), (last,)
+
+    before = settled(sorted_fold(ranges, [key], ["__p"], lambda row: None, pass_on, f"__last {df.schema[end].dataType.simpleString()}").select(F.col(key).alias("__k"), F.col("__p").alias("__q"), "__last"))
+    met = rows.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__q"))).drop("__k", "__q")
+    s, e, b = (met.columns.index(c) for c in (start, end, "__last"))
+
+    def step(last, row):
+        keep = last is None or row[s] > last or (touching and row[s] == last)
+        return (row[e] if keep else last), (keep,)
+
+    kept = sorted_fold(met, [key, "__p"], order, lambda row: row[b], step, "__keep boolean")
+    return kept.filter("__keep").select(*df.columns)
 
 
 def split_long(df: DataFrame, keys: list[str], start: str, end: str, longest: float, order: list) -> DataFrame:
