@@ -588,3 +588,19 @@ def test_greedy_choice_of_a_key_in_ranges(spark, touching):
         found = next((y for x, y in steps if x > last or (touching and x == last)), last)
         assert found == want, last
     assert sequence.greedy_keep(df.limit(0), "rec", "s", "e", key_rows=0).count() == 0
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_paths_in_blocks(monkeypatch, compat):
+    """The same path, with ties, whatever part of the table is held."""
+    rng = np.random.default_rng(81)
+    for _ in range(60):
+        frames, states = int(rng.integers(1, 60)), int(rng.integers(1, 14))
+        scores, labels = rng.integers(-3, 3, (frames, 5)).astype(float), rng.integers(0, 5, states)
+        whole = viterbi.best_path(scores, labels, 0, compat)
+        for held in (1, 7, 40, 200):
+            monkeypatch.setattr(viterbi, "HELD_CELLS", held)
+            assert viterbi.best_path(scores, labels, 0, compat).tolist() == whole.tolist()
+        monkeypatch.undo()
+        if frames >= states:
+            assert whole[0] == 0 and whole[-1] == states - 1 and set(np.diff(whole).tolist()) <= {0, 1}
