@@ -636,3 +636,13 @@ def test_learned_types_grow_with_the_corpus(spark):
     state = np.ones((2000, gru_lm.HIDDEN), np.float32)
     logs = gru_lm.log_likelihood(w, state, fed, cls)[0] + share
     assert np.exp(logs).sum() == pytest.approx(1, abs=0.02)
+
+
+def test_nb_svm_labels_above_zero_are_one(spark):
+    rng = random.Random(12)
+    df = spark.createDataFrame([(i, " ".join(rng.choice(("good", "fine", "well") if i % 2 else ("bad", "spam", "junk")) for _ in range(12))) for i in range(40)], "doc_id long, text string")
+    found = []
+    for high in (1, 2):
+        labels = spark.createDataFrame([(i, high if i % 2 else 0) for i in range(40)], "doc_id long, quality int")
+        found.append({r["doc_id"]: r["score"] for r in nb_svm.score(df, nb_svm.fit(df, labels)).collect()})
+    assert found[0] == found[1] and min(v for i, v in found[0].items() if i % 2) > 0.5 > max(v for i, v in found[0].items() if not i % 2)

@@ -11,6 +11,8 @@ The log-count ratios and the scores cover all documents. The hinge-loss fit take
 ``SAMPLE`` labelled documents of each class, those with the smallest hash of
 doc_id, so that it fits the driver at any corpus size.
 
+Labels above 0 count as 1.
+
 Cases: null and empty texts have no n-gram and get the score of the constant
 feature alone; a document with several labels takes the largest; null labels
 and null ids are not learnt from; with labels of one class only the score is
@@ -64,7 +66,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"))
     return docs.join(sized_broadcast(materialize(known, "nbsvm-labels")), "doc_id").select("doc_id", "text", "quality")
 
 
