@@ -14,6 +14,8 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.joins import counted_join  # noqa: F401  (joins to keys of which some are hot)
+
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -108,16 +110,3 @@ def slices(batch: pa.RecordBatch, text_at: int, rows: int = 2048, size: int = 16
         end = min(max(end, at + 1), at + rows, len(upto))
         yield batch.slice(at, end - at)
         at = end
-
-
-def counted_join(df: DataFrame, found: DataFrame, on: str, n: str = "n", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with the columns of ``found`` (materialized; one row for each key, with the number of rows of ``df`` that have it), null without one.
-
-    Up to ``limit`` keys are broadcast. Of more, those that more than a ``limit``-th of all counted rows have, fewer than ``limit`` by their definition, are broadcast; none of the others is hot, and they join by a shuffle.
-    """
-    size = found.agg(F.count("*").alias("keys"), F.coalesce(F.sum(n), F.lit(0)).alias("rows")).first()
-    if size["keys"] <= limit:
-        return df.join(F.broadcast(found.drop(n)), on, "left")
-    hot, rest = (F.col(n) > size["rows"] / limit), found.filter(F.col(n) <= size["rows"] / limit).drop(n)
-    hot = F.broadcast(found.filter(hot).drop(n))
-    return df.join(hot, on).unionByName(df.join(hot.select(on), on, "left_anti").join(rest, on, "left"))

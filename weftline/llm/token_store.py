@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import new_path, partitions, table
+from weftline.llm.common import new_path, partitions, slices, table
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
@@ -143,8 +143,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
 def _encoded(batches, tokenizer_path: str, end_id: int):
     pos = 0
     for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
+        for batch in slices(whole, whole.schema.get_field_index("text"), 512):
             raw = encode_texts([x or "" for x in batch.column("text").to_pylist()], tokenizer_path, end_id)
             n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
             offsets = np.zeros(len(raw) + 1, np.int32)
