@@ -372,7 +372,7 @@ def text_helpers(spark, d):
     """Bare words, frame numbers, marked spans, label numbers and the first reading of an item."""
     ids = F.create_map(*(F.lit(x) for k, c in enumerate("abcdefghijklmnopqrstuvwxyz") for x in (c, k + 5)))
     t, i = F.col("text"), F.col("item_id")
-    labels = tx.labels_of(F.regexp_replace(F.lower(F.left(t, F.lit(20))), "[^a-z ]", ""), ids, 4)
+    labels = tx.labels_of(F.regexp_replace(F.lower(t), "[^a-z ]", ""), ids, 4)
     return _t(spark, d, "benchmark").select("item_id", F.array_join(tx.bare_words(t), " ").alias("bare"), tx.frame_of(i * 0.37, 50.0).cast("long").alias("frame"), tx.highlighted(t, (i % 5).cast("int"), (i % 5 + 3).cast("int")).alias("marked"), F.array_join(labels, " ").alias("labels"), tx.first_beam(F.split(t, " ")).alias("best"), tx.midpoint(i, i * 2).alias("middle"))
 
 
@@ -409,7 +409,7 @@ def recognition_files(spark, d):
 def logits_files(spark, d):
     path = scratch(spark, "logits")
     sinks.write_logits(_t(spark, d, "embeddings").select(F.expr("cast(vec_id div 50 as string)").alias("rec_id"), (F.col("vec_id") % 50).cast("int").alias("t"), F.col("embedding").alias("logits")), path)
-    return readers.logits(spark, path).select("rec_id", F.col("t").cast("long").alias("t"), F.size("logits").cast("long").alias("n"), F.element_at("logits", 7).cast("double").alias("seventh"))
+    return readers.logits(spark, path).select("rec_id", F.col("t").cast("long").alias("t"), F.size("logits").cast("long").alias("n"), F.aggregate("logits", F.lit(0.0), lambda a, x: a * 0.5 + x.cast("double")).alias("mixed"))
 
 
 def vocabulary_files(spark, d):
@@ -567,7 +567,7 @@ ORACLE_SQL |= {
     "decoded_words": f"WITH {_VOCAB}, {_ITEMS}, u AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM it) SELECT item_id, pos, CASE WHEN pos % 9 = 4 OR voc.word IS NULL THEN '<unk>' ELSE u.word END AS word FROM u LEFT JOIN voc USING (word)",
     "text_helpers": r"""SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\p{L}\p{N}_]', '', 'g')), ' ') AS bare,
       trunc(item_id * 0.37::DOUBLE * 50)::BIGINT AS frame, left(text, item_id % 5) || '<b>' || substr(text, item_id % 5 + 1, 3) || '</b>' || substr(text, item_id % 5 + 4) AS marked,
-      array_to_string([4] || list_transform(list_filter(string_split(regexp_replace(lower(left(text, 20)), '[^a-z ]', '', 'g'), ''), lambda c: c <> ''), lambda c: CASE WHEN c = ' ' THEN 4 ELSE unicode(c) - 92 END) || [4], ' ') AS labels,
+      array_to_string([4] || list_transform(list_filter(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ''), lambda c: c <> ''), lambda c: CASE WHEN c = ' ' THEN 4 ELSE unicode(c) - 92 END) || [4], ' ') AS labels,
       string_split(text, ' ')[1] AS best, (item_id + item_id * 2) / 2 AS middle FROM benchmark""",
     "byte_ranges": """WITH p AS (SELECT page_id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages),
       r AS (SELECT *, CASE page_id % 4 WHEN 0 THEN page_id WHEN 1 THEN 10 WHEN 2 THEN greatest(n - 50, 0) ELSE 0 END AS begin, CASE page_id % 4 WHEN 1 THEN least(page_id + 21, n) ELSE n END AS f FROM p),
@@ -575,7 +575,7 @@ ORACLE_SQL |= {
       SELECT page_id, begin, CASE WHEN status = 416 THEN begin ELSE f END AS "end", status, sha256(CASE WHEN status = 416 THEN ''::BLOB ELSE unhex(substr(hex(b), (begin * 2 + 1)::BIGINT, ((f - begin) * 2)::BIGINT)) END) AS sha FROM q""",
     "norm_json_files": f"WITH t AS ({_words_sql('conversations', 'conv_id, turn')}), u AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t) SELECT conv_id::VARCHAR AS rec, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS pos, turn AS line, word FROM u",
     "recognition_files": f"WITH t AS ({_words_sql('conversations', 'conv_id, turn')}), u AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t) SELECT conv_id::VARCHAR AS rec, printf('seg_%04d', turn) AS seg, row_number() OVER (PARTITION BY conv_id ORDER BY turn * 1000.0 + i * 0.5, turn, i) - 1 AS pos, word, turn * 1000.0::DOUBLE + i * 0.5::DOUBLE AS start, turn * 1000.0::DOUBLE + i * 0.5::DOUBLE + 0.25 AS \"end\" FROM u",
-    "logits_files": "SELECT (vec_id // 50)::VARCHAR AS rec_id, vec_id % 50 AS t, len(embedding) AS n, embedding[7]::DOUBLE AS seventh FROM embeddings",
+    "logits_files": "SELECT (vec_id // 50)::VARCHAR AS rec_id, vec_id % 50 AS t, len(embedding) AS n, list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, x: a * 0.5 + x) AS mixed FROM embeddings",
     "vocabulary_files": f"WITH {_VOCAB} SELECT id, word FROM voc",
     "word_list_files": f"SELECT DISTINCT unnest(w) AS word FROM ({_words_sql('benchmark', 'item_id')})",
     "voiced_files": "SELECT printf('u%d_seg_%04d', user_id, event_id) AS id, printf('u%d', user_id) AS reco_id, event_id AS length, (-event_id % 60)::DOUBLE AS rms, event_id::DOUBLE AS start, event_id + 0.5::DOUBLE AS \"end\" FROM events WHERE -event_id % 60 >= -45",
