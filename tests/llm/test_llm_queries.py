@@ -14,7 +14,7 @@ from weftline.llm import registry
 
 P = pytest.importorskip("public_tokenizers")
 DATA = os.environ.get("WEFTLINE_TEST_DATA", "/root/testdata/sf0.001")
-TABLES = "documents labels conversations".split()
+TABLES = "documents labels conversations pages".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
