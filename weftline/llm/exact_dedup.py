@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, partitions, sized_broadcast, table
+from weftline.llm.common import counted_join, materialize, partitions, sized_broadcast, table
 
 #: Bytes of distinct strings that a task holds before it passes them on.
 WINDOW_BYTES = 32 << 20
@@ -229,9 +229,11 @@ def annotate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", on
     own = lambda x: F.col(OWN + x)
     text, doc_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     found = owners(docs.select(doc_id.alias("doc_id"), text.alias("text")))
-    found = found.withColumnsRenamed({"sha": f"{OWN}_key", "points": f"{OWN}_points", "doc": f"{OWN}_doc", "ties": f"{OWN}_ties", "count": f"{OWN}_count"})
+    found = found.withColumnsRenamed({"sha": f"{OWN}_sha", "points": f"{OWN}_points", "doc": f"{OWN}_doc", "ties": f"{OWN}_ties", "count": f"{OWN}_count"})
+    found = found.withColumn(f"{OWN}_key", own("_sha")).withColumn(f"{OWN}_n", own("_count"))
     named = docs.withColumn(f"{OWN}_sha", _sha(text))
-    joined = named.join(sized_broadcast(found), own("_sha") == own("_key"), "left")
+    # a text of very many rows is joined by broadcast, others may shuffle
+    joined = counted_join(named, found, f"{OWN}_sha", f"{OWN}_n")
     lone = own("_key").isNull()
     best = lone | ((F.length(F.coalesce(text, F.lit(""))) == own("_points")) & doc_id.eqNullSafe(own("_doc")))
     joined = joined.withColumn(f"{OWN}_kept", best).withColumn(f"{OWN}_keep_id", F.when(lone, doc_id).otherwise(own("_doc"))).withColumn(f"{OWN}_group_size", F.coalesce(own("_count"), F.lit(1)).cast("long"))
