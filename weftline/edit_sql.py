@@ -129,6 +129,12 @@ def best_windows(hits: str) -> str:
     """CTEs from those of the n-gram hits: ``pr`` (item_id, c, d), ``cand`` (item_id, beg, n, size, hits) and ``bw`` (item_id, beg, n, size, distance, said)."""
     return f"""{hits},
     pr AS (SELECT rk.item_id, it.w AS c, dw.w AS d FROM rk JOIN it USING (item_id) JOIN dw USING (doc_id) WHERE rank = 1),
+    {nearest()}"""
+
+
+def nearest() -> str:
+    """CTEs from ``pr`` (item_id, c: words of a chunk, d: words of its corpus) to ``bw``."""
+    return f"""
     h AS (SELECT item_id, len(c) AS n, len(d) AS size, unnest(list_transform(d, lambda x: CAST(list_contains(c, x) AS INT))) AS hit, generate_subscripts(d, 1) - 1 AS p FROM pr),
     cs AS (SELECT *, sum(hit) OVER (PARTITION BY item_id ORDER BY p) AS s FROM h),
     win AS (SELECT a.item_id, a.p AS beg, a.n, a.size, b.s - a.s + a.hit AS hits FROM cs a JOIN cs b ON a.item_id = b.item_id AND b.p = least(a.p + a.n, a.size) - 1 WHERE a.p < greatest(a.size - a.n + 1, 1)),
@@ -148,8 +154,8 @@ def window_errors(hits: str) -> str:
     SELECT *, CASE WHEN wer < 0.01 THEN 'perfect' WHEN wer < 0.1 THEN 'good' WHEN wer < 0.5 THEN 'mediocre' WHEN wer < 1 THEN 'bad' ELSE 'terrible' END AS bucket FROM e"""
 
 
-def char_trim(hits: str, least: int = 3) -> str:
-    """The words between the first and the last run of ``least`` equal characters of each best window and its item.
+def trims(pairs: str, least: int) -> str:
+    """CTEs for the first and the last run of ``least`` kept elements of ``pairs`` (id, a, b: lists): ``ce`` (id, e: fa, fb, la, lb), elements from 1 on, 0 for none.
 
     As in ``edits``; a cell is its cost, how many elements before it were kept in a row, and where the first long run begins and the last one ends on both sides.
     """
@@ -159,9 +165,8 @@ def char_trim(hits: str, least: int = 3) -> str:
     grown = f"prev[i].r + 1 >= {least}"
     begun = lambda c, at: f"{c}: CASE WHEN prev[i].r + 1 = {least} AND prev[i].fa = 0 THEN ({at} - {least - 1})::INT ELSE prev[i].{c} END"
     keep = f"{{c: prev[i].c, r: prev[i].r + 1, {begun('fa', 'i')}, {begun('fb', 'd + 1 - i')}, la: CASE WHEN {grown} THEN i::INT ELSE prev[i].la END, lb: CASE WHEN {grown} THEN (d + 1 - i)::INT ELSE prev[i].lb END}}"
-    return f"""WITH RECURSIVE {best_windows(hits)},
-    wp AS (SELECT item_id AS id, array_to_string(d[beg + 1 : beg + n], ' ') AS ta, array_to_string(c, ' ') AS tb, len(d[beg + 1 : beg + n]) AS na, len(c) AS nb FROM bw JOIN pr USING (item_id)),
-    cp AS (SELECT *, string_split(ta, '') AS a, string_split(tb, '') AS b, length(ta) AS n, length(tb) AS m FROM wp),
+    return f"""
+    cp AS (SELECT id, a, b, len(a) AS n, len(b) AS m FROM {pairs}),
     cd AS (
       SELECT id, 0::BIGINT AS d, [{far.replace('16000', '0')}] AS cur, [{far}][1:0] AS prev FROM cp
       UNION ALL
@@ -173,9 +178,35 @@ def char_trim(hits: str, least: int = 3) -> str:
           WHEN cur[i].c <= cur[i + 1].c THEN {step('cur[i]')}
           ELSE {step('cur[i + 1]')} END), cur
       FROM cd x JOIN cp y ON x.id = y.id WHERE d < n + m),
-    ce AS (SELECT id, cur[n + 1] AS e, ta, tb, na, nb FROM cd JOIN cp USING (id) WHERE d = n + m)
+    ce AS (SELECT id, cur[n + 1] AS e FROM cd JOIN cp USING (id) WHERE d = n + m)"""
+
+
+def char_trim(hits: str, least: int = 3) -> str:
+    """The words between the first and the last run of ``least`` equal characters of each best window and its item."""
+    return f"""WITH RECURSIVE {best_windows(hits)},
+    wp AS (SELECT item_id AS id, array_to_string(d[beg + 1 : beg + n], ' ') AS ta, array_to_string(c, ' ') AS tb, len(d[beg + 1 : beg + n]) AS na, len(c) AS nb FROM bw JOIN pr USING (item_id)),
+    lp AS (SELECT id, string_split(ta, '') AS a, string_split(tb, '') AS b FROM wp),
+    {trims('lp', least)}
     SELECT id AS item_id, CASE WHEN e.fa > 0 THEN {_word('ta', 'e.fa', 'na')} END AS a_beg, CASE WHEN e.fa > 0 THEN {_word('ta', 'e.la', 'na')} + 1 END AS a_end,
-      CASE WHEN e.fa > 0 THEN {_word('tb', 'e.fb', 'nb')} END AS b_beg, CASE WHEN e.fa > 0 THEN {_word('tb', 'e.lb', 'nb')} + 1 END AS b_end FROM ce"""
+      CASE WHEN e.fa > 0 THEN {_word('tb', 'e.fb', 'nb')} END AS b_beg, CASE WHEN e.fa > 0 THEN {_word('tb', 'e.lb', 'nb')} + 1 END AS b_end FROM ce JOIN wp USING (id)"""
+
+
+def single_matches(turns: str, length: int, stride: int, worst: float) -> str:
+    """The best windows of chunks of ``length`` words every ``stride`` words, nearer than ``worst``, cut to their first and last equal words. ``turns``: (conv_id, turn, w)."""
+    return f"""WITH RECURSIVE tw AS (SELECT conv_id AS rec, turn, list_filter(w, lambda x: regexp_matches(x, '^[a-z]+$')) AS w FROM ({turns})),
+    un AS (SELECT rec, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tw),
+    nm AS (SELECT rec, word, row_number() OVER (PARTITION BY rec ORDER BY turn, i) - 1 AS pos FROM un),
+    re AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS n, CASE WHEN (pos + rec) % 120 >= 108 THEN 'noise' WHEN pos % 7 = 0 THEN word || 'x' ELSE word END AS word, pos * 1.5::DOUBLE + (pos // 50) * 20.0 AS start FROM nm WHERE pos % 10 <> 3),
+    li AS (SELECT rec, list(word ORDER BY n) AS said, list(start ORDER BY n) AS times FROM re GROUP BY rec),
+    co AS (SELECT rec, list(word ORDER BY pos) AS read FROM nm GROUP BY rec),
+    ch AS (SELECT rec, said, times, read, unnest(range(0, (len(said) + {stride - 1}) // {stride})) AS k FROM li JOIN co USING (rec)),
+    pr AS (SELECT rec || '_' || k AS item_id, said[k * {stride} + 1 : k * {stride} + {length}] AS c, read AS d, rec, k, said, times FROM ch),
+    {nearest()},
+    ok AS (SELECT item_id AS id, c AS a, d[beg + 1 : beg + bw.n] AS b, beg, rec, k, pr.said AS said, times, d FROM bw JOIN pr USING (item_id) WHERE distance / length(bw.said) <= {worst}),
+    {trims('ok', 1)},
+    fi AS (SELECT rec, k * {stride} + e.fa - 1 AS reco_beg, k * {stride} + e.la AS reco_end, beg + e.fb - 1 AS norm_beg, beg + e.lb AS norm_end, said, times, d FROM ce JOIN ok USING (id) WHERE e.fa > 0),
+    tx2 AS (SELECT rec, reco_beg, reco_end, norm_beg, norm_end, array_to_string(d[norm_beg + 1 : norm_end], ' ') AS ref_text, array_to_string(said[reco_beg + 1 : reco_end], ' ') AS reco_text, times[reco_beg + 1] AS start, times[reco_end] + 1.25 AS "end" FROM fi)
+    SELECT *, round({distance('ref_text', 'reco_text')} / length(ref_text), 9) AS cer FROM tx2"""
 
 
 def _word(text: str, at: str, words: str) -> str:
