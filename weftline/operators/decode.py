@@ -101,7 +101,7 @@ def beam_search(logs: np.ndarray, pad: int = 0, width: int = 16, bonus: Callable
 
 
 def readings(logs: np.ndarray, pad: int = 0, width: int = 16, scorer: WordScorer | LabelScorer | None = None, prune: float | None = None, token: float | None = None) -> list[tuple[tuple, float, float, tuple]]:
-    """(labels, score, frames' part of it, frames at which labels entered) of the ``width`` best readings of frames of log probabilities, best first.
+    """(labels, score, frames' part of it, frames at which the prefixes that end in each label came into the beam) of the ``width`` best readings of frames of log probabilities, best first.
 
     Frames collapse as in a greedy reading: runs of a label are one, pads fall away. The frames' part of a reading is the log of the sum over all frame paths
     that collapse to it, as far as the beam holds their prefixes. Labels under ``token`` in a frame, but for its best, are left out; prefixes that are worse than the best by more
@@ -109,7 +109,10 @@ def readings(logs: np.ndarray, pad: int = 0, width: int = 16, scorer: WordScorer
     readings with the same words are one. All prefixes of a frame grow at once, as arrays; only those that can stay are looked at one by one.
     """
     low, mark = -np.inf, -1 if scorer is None else scorer.delimiter
-    parents, labels, entered = [-1], [mark], [-1]
+    parents, labels = [-1], [mark]
+    # how a prefix of the beam came into it: the step of the one it grew from, and the frame
+    came = [(-1, -1)]
+    trace = np.zeros(1, np.int64)
     states = [scorer.start() if scorer else None]
     children: dict[tuple[int, int], int] = {}
     ids, blank, last_p = np.zeros(1, np.int64), np.zeros(1), np.full(1, low)
@@ -155,7 +158,6 @@ def readings(logs: np.ndarray, pad: int = 0, width: int = 16, scorer: WordScorer
                 child = children[i, label] = len(parents)
                 parents.append(i)
                 labels.append(label)
-                entered.append(t)
                 states.append(scorer.grow(states[i], label) if scorer else None)
             found_ids[x] = child
             if scorer:
@@ -165,20 +167,26 @@ def readings(logs: np.ndarray, pad: int = 0, width: int = 16, scorer: WordScorer
         rank = np.concatenate([rank, grown[b, k] + extra[0] + extra[1]])
         order = np.lexsort((ids, -rank))[:width]
         order = order[rank[order] > (low if prune is None else np.nextafter(rank[order[0]] + prune, low))]
+        old = len(trace)
+        new = order[order >= old] - old
+        came += [(x, t) for x in trace[b[new]].tolist()]
+        steps = np.full(len(b), -1)
+        steps[new] = np.arange(len(came) - len(new), len(came))
+        trace = np.concatenate([trace, steps])[order]
         ids, blank, last_p, last, done, ahead = (v[order] for v in (ids, blank, last_p, last, done, ahead))
     found: dict[tuple, list] = {}
-    for i, total in zip(ids.tolist(), np.logaddexp(blank, last_p).tolist(), strict=True):
-        path, end = [], i
+    for i, step, total in zip(ids.tolist(), trace.tolist(), np.logaddexp(blank, last_p).tolist(), strict=True):
+        path, frames, end = [], [], i
         while i > 0:
-            path.append((labels[i], entered[i]))
-            i = parents[i]
-        path.reverse()
-        if mark >= 0 and path and path[-1][0] == mark:
-            path.pop()
-            end = parents[end]
-        key = tuple(k for k, _ in path)
-        old = found.get(key)
-        found[key] = [float(np.logaddexp(old[0], total)) if old else total, end, tuple(f for _, f in path)]
+            path.append(labels[i])
+            frames.append(came[step][1])
+            i, step = parents[i], came[step][0]
+        path, frames = path[::-1], frames[::-1]
+        if mark >= 0 and path and path[-1] == mark:
+            path, frames, end = path[:-1], frames[:-1], parents[end]
+        # of two prefixes with the same words the better one, which comes first, tells the frames
+        best = found.setdefault(tuple(path), [-np.inf, end, tuple(frames)])
+        best[0] = float(np.logaddexp(best[0], total))
     out = [(k, v + (scorer.finish(states[i]) if scorer else 0.0), v, f) for k, (v, i, f) in found.items()]
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
