@@ -108,7 +108,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int) -> list[byt
         values.append(v)
         gaps.append(gap)
     # only pieces without white space at their ends are ever in the cache
-    unfit = {w for w in unknown if not _fit(w)} if _UNFIT.search("\0".join(unknown)) else set()
+    unfit = {w for w in unknown if (not w or w.strip() != w) and not _fit(w)} if _UNFIT.search("\0".join(unknown)) else set()
     for k, (p, gap) in enumerate(zip(split, gaps, strict=True)):
         if p is not None and (p[0] != p[0].rstrip() or p[0][:1] == "\n" or (not p[0] and len(p) > 1) or (unfit and any(p[i] in unfit for i in gap))):
             split[k] = values[k] = None
@@ -177,26 +177,28 @@ def read_tokens(spark: SparkSession, path: str, lo: int | None = None, hi: int |
     return store if hi is None else store.filter(F.col("doc_id") <= hi)
 
 
-def starts(store: DataFrame) -> DataFrame:
-    """(shard, pos, doc_id, n_tokens, start): ids before each document. Reads the metadata columns only; sums within a shard, then over shards."""
+def starts(store: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(shard, pos, doc_id, n_tokens, start): ids before each document, or ``rows`` (which have these columns) with ``start``. Reads the metadata columns only; sums within a shard, then over shards."""
     meta = store.select("shard", "pos", "doc_id", "n_tokens")
+    rows = meta if rows is None else rows
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = meta.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return meta.join(shards, "shard").select("shard", "pos", "doc_id", "n_tokens", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
+    return rows.join(shards, "shard").select(*rows.columns, (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
 
 
 def checksums(store: DataFrame) -> DataFrame:
-    """(shard, pos, ids_crc32) of the ids as stored."""
+    """(shard, pos, doc_id, n_tokens, ids_crc32) of the ids as stored."""
+    key = store.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             lists = batch.column("ids")
             raw, offsets = np.asarray(lists.values).astype("<u4", copy=False), np.asarray(lists.offsets)
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("pos"), pa.array(crc, pa.int64())], names=["shard", "pos", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "pos", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], names=["shard", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
-    return store.select("shard", "pos", "ids").mapInArrow(run, "shard int, pos long, ids_crc32 long")
+    return store.select("shard", "pos", "doc_id", "n_tokens", "ids").mapInArrow(run, f"shard int, pos long, doc_id {key}, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,4 +207,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     store = read_tokens(spark, path)
-    return starts(store).join(checksums(store), ["shard", "pos"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return starts(store, checksums(store)).select("doc_id", "start", "n_tokens", "ids_crc32")
