@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 LARGEST = 40
 
 
-def dyadic_cells(first: Column, last: Column) -> Column:
-    """array<struct<level, cell>>: the cells that make up the buckets from ``first`` to ``last``, both included; cell c of level l is the buckets from c * 2^l on."""
+def dyadic_cells(first: Column, last: Column, largest: int = LARGEST) -> Column:
+    """array<struct<level, cell>>: the cells that make up the buckets from ``first`` to ``last``, both included; cell c of level l is the buckets from c * 2^l on, and ``largest`` the highest level."""
     out = []
-    for level in range(LARGEST + 1):
+    for level in range(largest + 1):
         # whole cells of this level inside the buckets; those that do not pair up to larger ones are part of the answer
         lo, hi = -F.shiftright(-first, level), F.shiftright(last + 1, level)
         cell = lambda c, level=level: F.struct(F.lit(level).alias("level"), c.cast("long").alias("cell"))
-        if level == LARGEST:
-            all_ = F.when(lo < hi, F.transform(F.sequence(lo, F.greatest(hi - 1, lo)), lambda c: F.struct(F.lit(LARGEST).alias("level"), c.cast("long").alias("cell"))))
-            return F.concat(F.filter(F.array(*out), lambda x: x.isNotNull()), F.coalesce(all_, F.array().cast("array<struct<level:int,cell:bigint>>")))
+        if level == largest:
+            all_ = F.when(lo < hi, F.transform(F.sequence(lo, F.greatest(hi - 1, lo)), lambda c: F.struct(F.lit(largest).alias("level"), c.cast("long").alias("cell"))))
+            whole = F.filter(F.array(*out), lambda x: x.isNotNull()) if out else F.array().cast("array<struct<level:int,cell:bigint>>")
+            return F.concat(whole, F.coalesce(all_, F.array().cast("array<struct<level:int,cell:bigint>>")))
         odd = lo.bitwiseAND(F.lit(1)) == 1
         out.append(F.when((lo < hi) & odd, cell(lo)))
         out.append(F.when((hi.bitwiseAND(F.lit(1)) == 1) & (hi > lo + odd.cast("long")), cell(hi - 1)))
@@ -36,13 +37,14 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: C
     ats = at if isinstance(at, list) else [at]
     number = lambda x: F.floor(x / F.lit(bucket)).cast("long")
     first, last = number(F.col(start)), number(F.greatest(F.col(start), F.col(end)))
-    i = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__c", F.explode(dyadic_cells(first, last))).withColumnRenamed(key, "__k")
+    timed = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    # points only look at sizes that the longest interval can have
+    longest = timed.agg(F.max(last - first + 1)).first()[0] or 1
+    largest = min(int(longest).bit_length() - 1, LARGEST)
+    i = timed.withColumn("__c", F.explode(dyadic_cells(first, last, largest))).withColumnRenamed(key, "__k")
     i = i.withColumn("__l", F.col("__c.level")).withColumn("__b", F.col("__c.cell")).drop("__c")
-    # points only look at the sizes that occur: a few numbers
-    levels = sorted(r[0] for r in i.select("__l").distinct().collect())
     p = points.withColumn("__at", F.filter(F.array(*ats), lambda x: x.isNotNull())).withColumn("__pb", F.explode(F.array_distinct(F.transform("__at", number))))
-    cells = [F.struct(F.lit(n).alias("l"), F.shiftright("__pb", n).alias("b")) for n in levels] or [F.struct(F.lit(0).alias("l"), F.col("__pb").alias("b"))]
-    p = p.withColumn("__c", F.explode(F.array(*cells)))
+    p = p.withColumn("__c", F.explode(F.array(*(F.struct(F.lit(n).alias("l"), F.shiftright("__pb", n).alias("b")) for n in range(largest + 1)))))
     inside = lambda x: (x >= F.col(start)) & ((x <= F.col(end)) if closed else (x < F.col(end)))
     joined = p.join(i, (F.col(key) == F.col("__k")) & (F.col("__c.l") == F.col("__l")) & (F.col("__c.b") == F.col("__b")))
     # with several points a pair can meet in several buckets: it counts in the bucket of its first point inside
