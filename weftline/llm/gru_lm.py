@@ -13,12 +13,12 @@ The recurrent weights are trained by truncated backpropagation: every task train
 on its documents in windows of ``WINDOW`` tokens, the state carried from window to
 window, and the weights are averaged over tasks, by tokens, after each of ``ROUNDS``
 rounds. A window updates the rows of the words and classes that it holds, no others, and tasks give their weights as blocks that are added up in two steps. Every round passes over the whole texts of all training documents, whatever the
-size of the corpus. As every task learns from its own documents, the weights, and so ``score``, depend a little on how the input is dealt
-into tasks; they do not change when a run over the same files is repeated. Scoring carries the state through the whole document, whatever its length.
+size of the corpus. Documents are dealt into tasks by their ids, so the weights, and so ``score``, do not depend on how the input is cut into files. Scoring carries the state through the whole document, whatever its length.
 
 Words are counted under 64-bit hashes. The counts of the commonest
 ``SHARED_TYPES`` types are broadcast; rarer types, which by definition are in few
-documents each, are joined by hash, so nothing broadcast grows with the corpus.
+documents each, are joined by hash, so nothing broadcast grows with the corpus. Training and scoring
+see the same counts either way.
 
 Cases: null and empty texts are the end token alone; null ids are held out of
 training; rows that repeat are counted and scored each; an empty table gives an
@@ -56,6 +56,8 @@ RATE = 0.02
 SHARED_TYPES = 4_000_000
 #: Tokens that a task holds at once.
 POOL_TOKENS = 3_000_000
+#: Tokens that a task learns from, about.
+TASK_TOKENS = 3_000_000
 END = b"\n</end>"
 
 
@@ -412,18 +414,37 @@ class Shared:
 
 
 def _pools(batches, columns: list[str]):
-    """Rows with about ``POOL_TOKENS`` tokens at most, as lists of the columns; texts as hashes and lengths."""
+    """Rows with about ``POOL_TOKENS`` tokens, as lists of the columns; texts as hashes and lengths. A pool ends with the row that passes the bound, however the rows come in batches."""
     held, n = [], 0
+    joined = lambda: (np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.Table.from_batches([x[2] for x in held]))
     for whole in batches:
         for part in slices(whole, whole.schema.get_field_index("text"), 512):
             h, lengths = hashes(part.column("text").to_pylist())
-            held.append((h, lengths, part.select(columns)))
-            n += len(h)
-            if n > POOL_TOKENS:
-                yield np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.Table.from_batches([x[2] for x in held])
+            rest = part.select(columns)
+            while n + len(h) > POOL_TOKENS:
+                ends = np.cumsum(lengths)
+                k = int(np.searchsorted(ends, POOL_TOKENS - n, "right")) + 1
+                held.append((h[: ends[k - 1]], lengths[:k], rest.slice(0, k)))
+                yield joined()
+                h, lengths, rest = h[ends[k - 1] :], lengths[k:], rest.slice(k)
                 held, n = [], 0
+            if len(lengths):
+                held.append((h, lengths, rest))
+                n += len(h)
     if held:
-        yield np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.Table.from_batches([x[2] for x in held])
+        yield joined()
+
+
+def _all_counts(shared: Shared, h: np.ndarray, rest: pa.Table) -> np.ndarray:
+    """Counts of the types of a pool: shared ones, and those that its rows bring along as ``rare``."""
+    c = shared.counts(h)
+    lists = rest.column("rare").combine_chunks() if "rare" in rest.column_names else []
+    if len(lists) and lists.null_count < len(lists):
+        found = lists.flatten()
+        h2, first = np.unique(found.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+        at = np.minimum(np.searchsorted(h2, h), len(h2) - 1)
+        c = np.where((c == 0) & (h2[at] == h), found.field("c").to_numpy(zero_copy_only=False)[first][at], c)
+    return c
 
 
 BLOCK = "i int, part int, sum binary, n double"
@@ -446,8 +467,8 @@ def _added(key: tuple[pa.Scalar, ...], batches: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> dict:
-    """Weights averaged over the tasks' own passes over ``docs`` (doc_id, text), round by round."""
-    spark = docs.sparkSession
+    """Weights averaged over the tasks' own passes over ``docs`` (text and, if some types are not shared, rare), round by round."""
+    spark, columns = docs.sparkSession, [c for c in ("text", "rare") if c in docs.columns]
     for k in range(rounds):
         sent, rate = spark.sparkContext.broadcast(shared), RATE / (1 + k)
 
@@ -455,8 +476,8 @@ def train(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> dict:
             s = sent.value
             w, total = {k: x.copy() for k, x in s.weights.items()}, 0
             adam = Adam(w, rate)
-            for h, lengths, _ in _pools(batches, []):
-                fed, cls, _share = s.vocab.encode(h, s.counts(h))
+            for h, lengths, rest in _pools(batches, columns[1:]):
+                fed, cls, _share = s.vocab.encode(h, _all_counts(s, h, rest))
                 train_pool(w, s.vocab, adam, fed, cls, lengths)
                 total += len(h)
             if total:
@@ -465,7 +486,7 @@ def train(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> dict:
                 for i, at in enumerate(range(0, len(flat), BLOCK_WEIGHTS)):
                     yield _block(i, part, flat[at : at + BLOCK_WEIGHTS].astype(np.float64) * total, total)
 
-        blocks = docs.select("text").mapInArrow(run, BLOCK)
+        blocks = docs.select(*columns).mapInArrow(run, BLOCK)
         # sums of a part of the tasks first, then of the parts
         for keys in (["i", "part"], ["i"]):
             blocks = blocks.groupBy(*keys).applyInArrow(_added, BLOCK)
@@ -519,25 +540,23 @@ def score(docs: DataFrame, rounds: int = ROUNDS, shared_types: int = SHARED_TYPE
     order = np.argsort(h)
     shared = Shared(h[order], c[order], vocab, initial_weights(vocab))
     del known, h, c
-    shared = Shared(shared.hash, shared.count, vocab, train(learnt, shared, rounds))
-    sent = spark.sparkContext.broadcast(shared)
     rows = docs.withColumn("rare", F.lit(None).cast("array<struct<hash:long,c:long>>"))
     if least > 1:
+        sent = spark.sparkContext.broadcast(shared)
         rare = materialize(rare_counts(docs, counts, sent, least), "lm-rare").withColumnRenamed("doc_id", "rare_id")
+        sent.unpersist()
         rows = docs.join(sized_broadcast(rare, weight=F.size("rare") * 16), F.col("doc_id").eqNullSafe(F.col("rare_id")), "left").drop("rare_id")
+    # dealt by ids and in their order, so that the weights depend on the documents alone, not on their files or on how `rare` was joined to them
+    dealt = rows.filter(~held_out(F.col("doc_id"))).repartition(max(1, -(-vocab.total // TASK_TOKENS)), "doc_id").sortWithinPartitions("doc_id", "text")
+    shared = Shared(shared.hash, shared.count, vocab, train(dealt, shared, rounds))
+    sent = spark.sparkContext.broadcast(shared)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         s = sent.value
         base = float(s.vocab.total + s.vocab.types + 1)
         for h, lengths, rest in _pools(batches, ["doc_id", "rare"]):
-            c = s.counts(h)
-            lists = rest.column("rare").combine_chunks()
-            if len(lists) and lists.null_count < len(lists):
-                found = lists.flatten()
-                h2, first = np.unique(found.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
-                at = np.minimum(np.searchsorted(h2, h), len(h2) - 1)
-                c = np.where((c == 0) & (h2[at] == h), found.field("c").to_numpy(zero_copy_only=False)[first][at], c)
+            c = _all_counts(s, h, rest)
             fed, cls, share = s.vocab.encode(h, c)
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             logs = score_pool(s.weights, s.vocab, fed, cls, share, lengths) / np.log(10)
