@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import slices, table
 
 #: Code points in a chunk, and shared by two neighbours.
 CHUNK_CHARS = 1 << 15
@@ -33,6 +33,8 @@ OVERLAP_CHARS = 1 << 10
 GUARD_CHARS = 8
 #: No text is cut into more chunks than this, so that cutting costs at most this many passes over it.
 MOST_CHUNKS = 256
+#: Bytes of text whose ids a task holds at once, as Python's numbers, which take some ten times as much.
+SLICE_BYTES = 2 << 20
 
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 
@@ -80,11 +82,10 @@ def id_lists(lists: list) -> pa.Array:
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, keys: int) -> Iterator[pa.RecordBatch]:
-    """Batches of ``keys`` columns and a text: the text is replaced by ``ids``. Small slices keep the ids of a batch of long texts out of memory."""
+    """Batches of ``keys`` columns and a text: the text is replaced by ``ids``. Slices of few rows and bytes keep the ids of a batch of long texts out of memory."""
     codec = Codec.of(ranks_path, pattern)
     for whole in batches:
-        for at in range(0, whole.num_rows, 1024):
-            batch = whole.slice(at, 1024)
+        for batch in slices(whole, keys, 1024, SLICE_BYTES):
             ids = [codec.encode(x) if x else [] for x in batch.column(keys).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:keys], id_lists(ids)], names=[*batch.schema.names[:keys], "ids"])
 
@@ -104,7 +105,7 @@ def _chunked(docs: DataFrame, text: str, chunk_chars: int, overlap: int) -> Data
 
 def _pretokenised(batches, ranks_path, pattern, overlap):
     codec = Codec.of(ranks_path, pattern)
-    for batch in batches:
+    for batch in (x for whole in batches for x in slices(whole, whole.schema.get_field_index("chunk"), 1024, SLICE_BYTES)):
         heads, tails = [], []
         for k, cuts, start, chunk in zip(*(batch.column(c).to_pylist() for c in ("k", "cuts", "start", "chunk")), strict=True):
             found = codec.boundaries(chunk, 1, len(chunk) - GUARD_CHARS)
@@ -160,7 +161,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, **sizes) -> DataFram
         codec = Codec.of(ranks_path, pattern)
         for batch in batches:
             counts, ids_hex, raw_hex = [], [], []
-            for ids in batch.column("ids").to_pylist():
+            for ids in (x.as_py() for x in batch.column("ids")):  # a row at a time: a long text's ids are large
                 counts.append(len(ids))
                 ids_hex.append(hashlib.sha256(b" ".join(map(codec.digits.__getitem__, ids))).hexdigest())
                 raw_hex.append(hashlib.sha256(codec.decode(ids)).hexdigest())
