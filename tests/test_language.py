@@ -224,3 +224,17 @@ def test_beam_cases(spark):
     assert got["x"]["text"] == "a" and [tuple(w) for w in got["x"]["words"]] == [("a", 0, 1)] and got.keys() == {"x", None}
     assert decode.decoded_words(frames.limit(0), "rec", ALPHABET, words, model, 2).count() == 0
     assert decode.decoded_labels(frames, "rec").filter("rec = 'x'").first()["labels"] == [1, 2]
+
+
+def test_scores_are_sums_of_gains(spark, monkeypatch):
+    """Sums of what grams gain are the scores by kinds of grams: with a model that lacks shorter grams, with joins by shuffle and with marks."""
+    texts = spark.createDataFrame([(i, [f"w{(i * j * j + j) % 13}" for j in range(i % 9)] + ["</s>"] * (i % 15 == 5) + ["<s>"] * (i % 21 == 7)) for i in range(60)], "id long, w array<string>")
+    model = language_model.estimate(texts.filter("id % 3 = 0"), "w", 3)
+    pruned = model.filter("n <> 2 or gram not like '%w1%'")
+    found = lambda f, m: {r["id"]: (r["words"], r["unknown"], round(r["logp"], 8)) for r in f(m, texts, ["id"], "w", 3).collect()}
+    for m in (model, pruned):
+        expected = found(language_model._scores_by_kind, m)
+        assert len(expected) == 60 and found(language_model.sentence_scores, m) == expected
+    monkeypatch.setattr(language_model, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins.counted_join, "__defaults__", ("n", 2))
+    assert found(language_model.sentence_scores, pruned) == expected

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.joins import counted_join
+from weftline.operators.joins import BROADCAST_ROWS, counted_join
+from weftline.operators.matching import _marked
 from weftline.sources.scratch import let_go, settled
 
 BEGIN, END, UNKNOWN = "<s>", "</s>", "<unk>"
@@ -124,11 +125,8 @@ def estimate(texts: DataFrame, tokens: str, order: int = 3) -> DataFrame:
     return model
 
 
-def sentence_scores(model: DataFrame, texts: DataFrame, key: list[str], tokens: str, order: int = 3) -> DataFrame:
-    """``key`` columns (told apart by them, not null), words, unknown and logp: how many words each text has, how many of them the model doesn't know, and log10 of the text's probability, end mark included.
-
-    Each word is looked up with the words before it; the lookups are counted and made once for each kind, of any number of texts.
-    """
+def _scores_by_kind(model: DataFrame, texts: DataFrame, key: list[str], tokens: str, order: int = 3) -> DataFrame:
+    """``sentence_scores`` of any model: each word is looked up with the words before it; the lookups are counted and made once for each kind."""
     sentence = F.concat(F.array(F.lit(BEGIN)), F.coalesce(F.col(tokens), F.array().cast("array<string>")), F.array(F.lit(END)))
     rows = texts.select(*key, F.posexplode(sentence).alias("i", "w"))
     said = settled(rows.groupBy("w").agg(F.count("*").alias("n")))
@@ -154,3 +152,61 @@ def sentence_scores(model: DataFrame, texts: DataFrame, key: list[str], tokens:
     each = counted_join(asked, told, "gram")
     unknown = F.substring_index("gram", " ", -1) == UNKNOWN
     return each.groupBy(*key).agg((F.count("*") - 1).alias("words"), F.sum(unknown.cast("long")).alias("unknown"), F.sum("logp").alias("logp"))
+
+
+def _looked_up(told: DataFrame, part: Column, table: DataFrame, value: str, name: str) -> DataFrame:
+    """``told`` with ``name``: the ``value`` that ``table`` (gram, value) has for the gram ``part``, null without one."""
+    told = settled(told.withColumn("part", part))
+    own = told.groupBy("part").agg(F.count("*").alias("n"))
+    found = settled(own.join(table.select(F.col("gram").alias("part"), F.col(value).alias(name)), "part"))
+    return counted_join(told, found, "part").drop("part")
+
+
+def _gains(model: DataFrame, k: int, unknown: float) -> DataFrame:
+    """(gram, e, b) of the model's grams of ``k`` words: what log10 of the probability of the last word gains over what the shorter grams give it, and the back-off weight (0 without one)."""
+    own = model.filter(F.col("n") == k).select("gram", "logp", F.coalesce("backoff", F.lit(0.0)).alias("b"))
+    shorter = None
+    for j in range(1, k):
+        table = model.filter(F.col("n") == j)
+        own = _looked_up(own, F.substring_index("gram", " ", -j), table, "logp", "p")
+        shorter = F.coalesce("p", F.lit(unknown) if j == 1 else F.col("r"))
+        own = _looked_up(own.withColumn("r", shorter).drop("p"), F.substring_index(F.substring_index("gram", " ", -(j + 1)), " ", j), table, "backoff", "w")
+        own = own.withColumn("r", F.col("r") + F.coalesce("w", F.lit(0.0))).drop("w")
+    return settled(own.select("gram", (F.col("logp") - (F.col("r") if k > 1 else F.lit(0.0))).alias("e"), "b"))
+
+
+def sentence_scores(model: DataFrame, texts: DataFrame, key: list[str], tokens: str, order: int = 3) -> DataFrame:
+    """``key`` columns (told apart by them, not null), words, unknown and logp: how many words each text has, how many of them the model doesn't know, and log10 of the text's probability, end mark included.
+
+    A text's logarithm is a sum: of its words' alone, of the weights of all contexts, and, for each longer gram that the model has, of what it gains over those (``_gains``, worked out once for each gram of the model). So words are met
+    with the vocabulary, and of longer grams only those that the model may have leave their task.
+    """
+    top = model.filter(F.col("gram") == UNKNOWN).select("n", "logp").first()
+    if top is None or top["n"] != 1 or not model.filter((F.col("n") > 1) & F.array_contains(F.split("gram", " "), UNKNOWN)).isEmpty():
+        return _scores_by_kind(model, texts, key, tokens, order)
+    sentence = F.concat(F.array(F.lit(BEGIN)), F.coalesce(F.col(tokens), F.array().cast("array<string>")), F.array(F.lit(END)))
+    padded = texts.select(*key, sentence.alias("s"))
+    parts = []
+    for k in range(1, order + 1):
+        gains = _gains(model, k, top["logp"])
+        rows = padded.select(*key, F.size("s").alias("size"), F.posexplode(_windows(F.col("s"), k)).alias("i", "gram"))
+        # the begin mark is no word that is predicted, and nothing follows the last word
+        rows = rows.select(*key, "gram", *([(F.col("i") > 0).alias("said")] if k == 1 else []), (F.col("i") + k < F.col("size")).alias("followed"))
+        if gains.count() <= BROADCAST_ROWS:
+            met = rows.join(F.broadcast(gains), "gram", "left" if k == 1 else "inner")
+        else:
+            rows = settled(rows if k == 1 else _marked(rows, gains.select("gram")))
+            found = settled(rows.groupBy("gram").agg(F.count("*").alias("n")).join(gains, "gram"))
+            met = counted_join(rows, found, "gram")
+        weight = F.when(F.col("followed"), F.col("b")) if k < order else F.lit(0.0)
+        if k == 1:
+            unknown = F.col("said") & (F.col("e").isNull() | (F.col("gram") == UNKNOWN))
+            logp = F.when(F.col("said"), F.coalesce("e", F.lit(top["logp"]))).otherwise(0.0) + F.coalesce(weight, F.lit(0.0))
+            parts.append(met.groupBy(*key).agg((F.count("*") - 2).alias("words"), F.sum(unknown.cast("long")).alias("unknown"), F.sum(logp).alias("logp")))
+        else:
+            none = F.lit(0).cast("long")
+            parts.append(met.groupBy(*key).agg(none.alias("words"), none.alias("unknown"), F.sum(F.coalesce("e", F.lit(0.0)) + F.coalesce(weight, F.lit(0.0))).alias("logp")))
+    total = parts[0]
+    for x in parts[1:]:
+        total = total.unionByName(x)
+    return total.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("words", "unknown", "logp")))
