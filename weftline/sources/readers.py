@@ -28,10 +28,21 @@ def _files(spark: SparkSession, path, suffix: str | None = None) -> DataFrame:
 def _documents(spark: SparkSession, path) -> DataFrame:
     """(rec, body): a row for each file; rec is the file's name without its suffix, or the value of a folder ``rec=...``. Files without a byte have no row."""
     folder = F.url_decode(F.regexp_extract("path", r"/rec=([^/]*)/[^/]*$", 1))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if isinstance(path, str) and _has_folders(spark, path) else _files(spark, path)
+    files = _nested_files(spark, path) if isinstance(path, str) and _has_folders(spark, path) else _files(spark, path)
     return files.filter(~F.regexp_extract("path", "([^/]+)$", 1).startswith("_")).select(F.when(folder != "", folder).otherwise(file_stem("path")).alias("rec"), F.decode("content", "UTF-8").alias("body"))
 
 
+def _nested_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of all folders below ``path``. The folders are listed by a few tasks a core; Spark alone would start one for each, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    finally:
+        spark.conf.set(name, before)
+
+
 def _has_folders(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a folder with a folder for each recording, as the writers of this package leave it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path + "/rec=*")
