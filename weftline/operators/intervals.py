@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Sizes of cells go up to two to this power; intervals of more buckets have several of the largest.
 LARGEST = 40
+#: Where no interval is longer than so many buckets, it is a row for each of them and a point is in one cell: points, of which there are more, are not repeated for each size.
+FEW = 8
 
 
 def dyadic_cells(first: Column, last: Column, largest: int = LARGEST) -> Column:
@@ -39,17 +41,21 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: C
     first, last = number(F.col(start)), number(F.greatest(F.col(start), F.col(end)))
     timed = intervals.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
     # points only look at sizes that the longest interval can have
-    longest = timed.agg(F.max(last - first + 1)).first()[0] or 1
-    largest = min(int(longest).bit_length() - 1, LARGEST)
+    longest = int(timed.agg(F.max(last - first + 1)).first()[0] or 1)
+    largest = 0 if longest <= FEW else min(longest.bit_length() - 1, LARGEST)
     i = timed.withColumn("__c", F.explode(dyadic_cells(first, last, largest))).withColumnRenamed(key, "__k")
     i = i.withColumn("__l", F.col("__c.level")).withColumn("__b", F.col("__c.cell")).drop("__c")
-    p = points.withColumn("__at", F.filter(F.array(*ats), lambda x: x.isNotNull())).withColumn("__pb", F.explode(F.array_distinct(F.transform("__at", number))))
-    p = p.withColumn("__c", F.explode(F.array(*(F.struct(F.lit(n).alias("l"), F.shiftright("__pb", n).alias("b")) for n in range(largest + 1)))))
+    # times and cells are shuffled as numbers, not as arrays
+    names = [f"__at{k}" for k in range(len(ats))]
+    times = F.filter(F.array(*names), lambda x: x.isNotNull())
+    p = points.withColumns(dict(zip(names, ats, strict=True))).withColumn("__pb", F.explode(F.array_distinct(F.transform(times, number))))
+    p = p.withColumn("__pl", F.explode(F.array(*(F.lit(n) for n in range(largest + 1))))) if largest else p.withColumn("__pl", F.lit(0))
+    p = p.withColumn("__pc", F.expr("shiftright(__pb, __pl)"))
     inside = lambda x: (x >= F.col(start)) & ((x <= F.col(end)) if closed else (x < F.col(end)))
-    joined = p.join(i, (F.col(key) == F.col("__k")) & (F.col("__c.l") == F.col("__l")) & (F.col("__c.b") == F.col("__b")))
+    joined = p.join(i, (F.col(key) == F.col("__k")) & (F.col("__pl") == F.col("__l")) & (F.col("__pc") == F.col("__b")))
     # with several points a pair can meet in several buckets: it counts in the bucket of its first point inside
-    hit = F.filter("__at", inside)
-    return joined.withColumn("__hit", hit).filter((F.size("__hit") > 0) & (number(F.col("__hit")[0]) == F.col("__pb"))).drop("__at", "__pb", "__c", "__l", "__b", "__k", "__hit")
+    hit = F.filter(times, inside)
+    return joined.withColumn("__hit", hit).filter((F.size("__hit") > 0) & (number(F.col("__hit")[0]) == F.col("__pb"))).drop(*names, "__pb", "__pl", "__pc", "__l", "__b", "__k", "__hit")
 
 
 def first_interval(points: DataFrame, intervals: DataFrame, key: str, at, start: str, end: str, bucket: float, point_id: list[str], order: list, closed: bool = True) -> DataFrame:
