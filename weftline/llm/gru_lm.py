@@ -42,8 +42,10 @@ HIDDEN = 16
 CLASS_WORDS, CLASSES = 64, 8
 #: Classes of a group, and the number of classes up to which there are no groups.
 GROUP, FLAT = 16, 32
-#: Rows of one class that are multiplied at once.
-BLOCK_ROWS = 32
+#: Rows of one class in a block, blocks that are multiplied at once, and rows for which the class is chosen at once: what they take stays in a core's cache.
+BLOCK_ROWS, AT_ONCE, TOP_ROWS = 32, 32, 2048
+#: A number fed in that has more rows in a window has them added up by itself.
+MANY_ROWS = 32
 #: Weights of a block, and sums of blocks in the first of two steps.
 BLOCK_WEIGHTS, PARTS = 65536, 64
 BAR = 2
@@ -182,25 +184,39 @@ def initial_weights(vocab: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def recur(w: dict, fed: np.ndarray, h: np.ndarray, keep: bool):
-    """States of a window: fed is (steps, lanes). With ``keep``, also what backpropagation needs."""
-    steps, H = len(fed), HIDDEN
-    out, tape = np.empty((steps, len(h), H), np.float32), []
-    g = w["x"][fed] + w["b"]
+    """States of a window: fed is (steps, lanes). With ``keep``, also what backpropagation needs.
+
+    The parts z, r and n of what a step works out lie each in one piece, so that it runs along rows that lie side by side.
+    """
+    (steps, lanes), H = fed.shape, HIDDEN
+    kind = np.result_type(h, w["u"])
+    g, flat, table = np.empty((3, steps, lanes, H), w["x"].dtype), fed.ravel() * 3, w["x"].reshape(-1, H)
+    for k in range(3):
+        np.take(table, flat + k, axis=0, out=g[k].reshape(-1, H), mode="clip")
+        part = g[k].reshape(steps, -1)
+        part += np.tile(w["b"][k * H : (k + 1) * H], lanes)
+    # gates are 1 / (1 + exp(-x)): their minus is in the weights
+    u = w["u"].reshape(H, 3, H).transpose(1, 0, 2) * np.array([-1, -1, 1], w["u"].dtype)[:, None, None]
+    out, cand = np.empty((2, steps, lanes, H), kind)
+    hu = np.empty((3, steps if keep else 1, lanes, H), kind)
+    first = h
     for t in range(steps):
-        hu = h @ w["u"]
-        zr = _sigmoid(g[t, :, : 2 * H] + hu[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(g[t, :, 2 * H :] + r * hu[:, 2 * H :])
-        new = n + z * (h - n)
-        if keep:
-            tape.append((h, z, r, n, hu[:, 2 * H :]))
-        out[t] = h = new
-    return out, tape
+        held = hu[:, t if keep else 0]
+        np.matmul(h, u, out=held)
+        zr, n, new = held[:2], cand[t], out[t]
+        zr -= g[:2, t]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[1], held[2], out=n)
+        n += g[2, t]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=new)
+        new *= zr[0]
+        new += n
+        h = new
+    return out, (first, out, cand, hu) if keep else None
 
 
 def _log_softmax(x):
@@ -208,27 +224,17 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of logits (classes, rows): log probabilities of the targets, and the probabilities, in place of ``x``."""
-    x -= x.max(axis=0)
-    logs = x[target, np.arange(x.shape[1])]
-    np.exp(x, out=x)
-    total = x.sum(axis=0)
-    x /= total
-    return logs - np.log(total), x
-
-
 def _order(x: np.ndarray) -> np.ndarray:
     """A stable order of small numbers; of 16 bits they are sorted by counting."""
     return np.argsort(x.astype(np.uint16) if x.size and x.max() < 65536 else x, kind="stable")
 
 
-def _inner(w: dict, kind: str, states: np.ndarray, owner: np.ndarray, target: np.ndarray, grad: dict | None):
-    """Log probability of ``target`` under the softmax of its ``owner`` (a class, or a group of classes: ``kind`` w or g) for each row of ``states``, and with ``grad`` the gradients of the states, else None.
+def _inner(w: dict, kind: str, states: np.ndarray, which: np.ndarray, owner: np.ndarray, target: np.ndarray, out: np.ndarray, grad: dict | None, back: np.ndarray | None) -> None:
+    """Adds to ``out`` the log probability of ``target`` under the softmax of its ``owner`` (a class, or a group of classes: ``kind`` w or g) for the rows ``which`` of ``states``, whose last column is 1, and with ``grad`` to ``back`` the gradients of the states.
 
-    Rows are sorted by owner and multiplied in blocks of ``BLOCK_ROWS`` rows of one owner, all blocks at once.
+    Rows are sorted by owner and multiplied in blocks of ``BLOCK_ROWS`` rows of one owner, ``AT_ONCE`` blocks at once.
     """
-    weights, bias = w[f"{kind}o"], w[f"{kind}b"]
+    H, width = states.shape[1] - 1, w[f"{kind}o"].shape[2]
     order, counts = _order(owner), np.bincount(owner)
     own = np.flatnonzero(counts)
     counts = counts[own]
@@ -236,32 +242,46 @@ def _inner(w: dict, kind: str, states: np.ndarray, owner: np.ndarray, target: np
     first = np.cumsum(blocks) - blocks
     # where each row stands in the blocks
     place = np.repeat(first * BLOCK_ROWS - (np.cumsum(counts) - counts), counts) + np.arange(len(order))
-    of = np.repeat(own, blocks)
-    x = np.zeros((len(of) * BLOCK_ROWS, states.shape[1]), states.dtype)
-    x[place] = states[order]
-    x = x.reshape(len(of), BLOCK_ROWS, -1)
-    # (block, word, row): sums over words then run along rows that lie side by side
-    d = weights[of].transpose(0, 2, 1) @ x.transpose(0, 2, 1)
-    d += bias[of][:, :, None]
-    np.minimum(d, 60, out=d)
+    of, held = np.repeat(np.arange(len(own)), blocks), int(blocks.sum())
+    # biases are the weights of the last column
+    weights = np.concatenate([w[f"{kind}o"][own], w[f"{kind}b"][own][:, None, :]], axis=1)
+    x = np.zeros((held * BLOCK_ROWS, H + 1), states.dtype)
+    rows = which[order]
+    x[place] = states.take(rows, axis=0)
+    x = x.reshape(held, BLOCK_ROWS, H + 1)
     block, row = np.divmod(place, BLOCK_ROWS)
-    hit = target[order]
-    logs = d[block, hit, row]
-    np.exp(d, out=d)
-    total = d.sum(axis=1)
-    out = np.empty(len(order), np.float64)
-    out[order] = logs - np.log(total[block, row])
+    # where the targets stand in (block, word, row)
+    hit, logs = (block * width + target[order]) * BLOCK_ROWS + row, np.empty(len(order), np.float64)
+    if grad is not None:
+        pushed, returned = np.empty((held, width, H + 1), states.dtype), np.empty((held, BLOCK_ROWS, H), states.dtype)
+    cuts = np.searchsorted(block, np.arange(0, held, AT_ONCE))
+    for a, i, j in zip(range(0, held, AT_ONCE), cuts, np.append(cuts[1:], len(order)), strict=True):
+        b, mine, at = min(held, a + AT_ONCE), place[i:j] - a * BLOCK_ROWS, hit[i:j] - a * width * BLOCK_ROWS
+        some = weights[of[a:b]]
+        # (block, word, row): sums over words then run along rows that lie side by side
+        d = some.transpose(0, 2, 1) @ x[a:b].transpose(0, 2, 1)
+        np.minimum(d, 60, out=d)
+        logs[i:j] = d.ravel()[at]
+        np.exp(d, out=d)
+        total = d.sum(axis=1)
+        sums = total.ravel()[mine]
+        logs[i:j] -= np.log(sums)
+        if grad is None:
+            continue
+        scale = np.zeros_like(total)
+        scale.ravel()[mine] = -1 / sums  # rows that only fill a block have no gradient
+        d *= scale[:, None, :]
+        d.ravel()[at] += 1
+        np.matmul(d, x[a:b], out=pushed[a:b])
+        np.matmul(d.transpose(0, 2, 1), some[:, :H].transpose(0, 2, 1), out=returned[a:b])
+    out[rows] += logs
     if grad is None:
-        return out, None
-    scale = np.zeros_like(total)
-    scale[block, row] = -1 / total[block, row]  # rows that only fill a block have no gradient
-    d *= scale[:, None, :]
-    d[block, hit, row] += 1
-    grad[f"{kind}o"][own] += np.add.reduceat((d @ x).transpose(0, 2, 1), first, axis=0)
-    grad[f"{kind}b"][own] += np.add.reduceat(d.sum(axis=2), first, axis=0)
-    back = np.empty_like(states)
-    back[order] = (d.transpose(0, 2, 1) @ weights[of].transpose(0, 2, 1)).reshape(len(of) * BLOCK_ROWS, -1)[place]
-    return out, back
+        return
+    for k, a, n in zip(own.tolist(), first.tolist(), blocks.tolist(), strict=True):
+        one = pushed[a : a + n].sum(axis=0) if n > 1 else pushed[a]
+        grad[f"{kind}o"][k] += one[:, :H].T
+        grad[f"{kind}b"][k] += one[:, H]
+    back[rows] += returned.reshape(-1, H).take(place, axis=0)
 
 
 def log_likelihood(w: dict, states: np.ndarray, word: np.ndarray, cls: np.ndarray, grad: dict | None = None):
@@ -270,48 +290,93 @@ def log_likelihood(w: dict, states: np.ndarray, word: np.ndarray, cls: np.ndarra
     frequent = np.flatnonzero(cls < classes)
     # the groups come first, then the bins
     top = np.where(cls < classes, cls // group, cls - classes + -(-classes // group))
-    flipped = np.ascontiguousarray(states.T)
-    logs, d = _softmax(w["co"].T @ flipped + w["cb"][:, None], top)
-    out = logs.astype(np.float64)
-    back = None
-    if grad is not None:
-        np.negative(d, out=d)
-        d[top, np.arange(len(top))] += 1
-        grad["co"] += flipped @ d.T
-        grad["cb"] += d.sum(axis=1)
-        back = d.T @ w["co"].T
+    weights = np.concatenate([w["co"].T, w["cb"][:, None]], axis=1)
+    ones = np.ones((len(states), states.shape[1] + 1), states.dtype)
+    ones[:, :-1] = states
+    out, back = np.empty(len(top), np.float64), None if grad is None else np.empty_like(states)
+    for a in range(0, len(top), TOP_ROWS):
+        some = top[a : a + TOP_ROWS]
+        x = ones[a : a + TOP_ROWS]
+        at = some * len(some) + np.arange(len(some))
+        # logits (classes, rows), from which come, in place, the gradients
+        d = weights @ x.T
+        d -= d.max(axis=0)
+        logs = d.ravel()[at]
+        np.exp(d, out=d)
+        total = d.sum(axis=0)
+        out[a : a + TOP_ROWS] = logs - np.log(total)
+        if grad is not None:
+            d *= -1 / total
+            d.ravel()[at] += 1
+            pushed = d @ x
+            grad["co"] += pushed[:, :-1].T
+            grad["cb"] += pushed[:, -1]
+            np.matmul(d.T, w["co"].T, out=back[a : a + TOP_ROWS])
     if len(frequent):
-        some = states[frequent]
-        levels = [("w", cls[frequent], word[frequent] % CLASS_WORDS)]
+        own = cls[frequent]
+        _inner(w, "w", ones, frequent, own, word[frequent] % CLASS_WORDS, out, grad, back)
         if group > 1:
-            levels.append(("g", cls[frequent] // group, cls[frequent] % group))
-        for kind, owner, target in levels:
-            more, more_back = _inner(w, kind, some, owner, target, grad)
-            out[frequent] += more
-            if grad is not None:
-                back[frequent] += more_back
+            _inner(w, "g", ones, frequent, own // group, own % group, out, grad, back)
     return out, back
 
 
-def backward(w: dict, grad: dict, fed: np.ndarray, tape: list, d_out: np.ndarray) -> None:
-    H = HIDDEN
-    dh, dg, du = np.zeros_like(d_out[0]), np.empty((*d_out.shape[:2], 3 * H), d_out.dtype), np.empty((*d_out.shape[:2], 3 * H), d_out.dtype)
-    for t in range(len(tape) - 1, -1, -1):
-        h, z, r, n, hun = tape[t]
-        dh = dh + d_out[t]
-        dn = dh * (1 - z)
-        dz = dn * (h - n) * z
-        dn *= 1 - n * n
-        dnr = dn * r
-        dg[t, :, :H], dg[t, :, H : 2 * H], dg[t, :, 2 * H :] = dz, dnr * hun * (1 - r), dn
-        du[t, :, : 2 * H], du[t, :, 2 * H :] = dg[t, :, : 2 * H], dnr
-        dh = dh * z + du[t] @ w["u"].T
-    grad["u"] += np.concatenate([x[0] for x in tape]).T @ du.reshape(-1, 3 * H)
-    flat, ids = dg.reshape(-1, 3 * H), fed.ravel()
-    grad["b"] += flat.sum(axis=0)
-    order = _order(ids)
-    first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    grad["x"][ids[order][first]] += np.add.reduceat(flat[order], first, axis=0)
+def _sums(parts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and of each the sum of its rows in (parts, rows, width)."""
+    order, counts = _order(ids), np.bincount(ids)
+    own = np.flatnonzero(counts)
+    counts = counts[own]
+    by = np.argsort(-counts, kind="stable")
+    own, counts, first = own[by], counts[by], (np.cumsum(counts) - counts)[by]
+    many = int(np.searchsorted(-counts, -MANY_ROWS))
+    sums = np.empty((len(parts), len(own), parts.shape[2]), parts.dtype)
+    for k in range(many):
+        rows = parts.take(order[first[k] : first[k] + counts[k]], axis=1)
+        sums[:, k] = np.ones(rows.shape[1], rows.dtype) @ rows
+    # of the others the first rows, then the second rows of those that have any
+    for k in range(int(counts[many]) if many < len(own) else 0):
+        end = int(np.searchsorted(-counts, -k))
+        rows = parts.take(order[first[many:end] + k], axis=1)
+        if k:
+            sums[:, many:end] += rows
+        else:
+            sums[:, many:end] = rows
+    return own, sums
+
+
+def backward(w: dict, grad: dict, fed: np.ndarray, tape: tuple, d_out: np.ndarray) -> None:
+    (steps, lanes), H = fed.shape, HIDDEN
+    first, out, cand, hu = tape
+    # of n, z and r in this order, then of n before the reset gate: the first three are what h @ u gets, the last three what is fed in
+    d = np.empty((4, steps, lanes, H), d_out.dtype)
+    u = np.ascontiguousarray(w["u"].reshape(H, 3, H).transpose(1, 2, 0)[[2, 0, 1]])
+    dh, a, b, through = np.zeros_like(d_out[0]), np.empty_like(d_out[0]), np.empty_like(d_out[0]), np.empty((3, lanes, H), d_out.dtype)
+    for t in range(steps - 1, -1, -1):
+        h, n, (z, r, hun), (dnr, dz, dr, dn) = out[t - 1] if t else first, cand[t], hu[:, t], d[:, t]
+        dh += d_out[t]
+        # dn = dh (1 - z) before the tanh, dz = dn (h - n) z
+        dh_z = np.multiply(dh, z, out=a)
+        np.subtract(dh, dh_z, out=dn)
+        np.subtract(h, n, out=dz)
+        dz *= z
+        dz *= dn
+        np.multiply(n, n, out=b)
+        b *= dn
+        dn -= b
+        np.multiply(dn, r, out=dnr)
+        np.multiply(dnr, hun, out=dr)
+        np.multiply(dr, r, out=b)
+        dr -= b
+        np.matmul(d[:3, t], u, out=through)
+        np.add(dh_z, through[0], out=dh)
+        dh += through[1]
+        dh += through[2]
+    before = np.concatenate([first[None], out[:-1]]).reshape(-1, H).T
+    for k, part in enumerate((1, 2, 0)):
+        grad["u"][:, k * H : (k + 1) * H] += before @ d[part].reshape(-1, H)
+    own, sums = _sums(d[1:].reshape(3, -1, H), fed.ravel())
+    sums = sums.transpose(1, 0, 2).reshape(-1, 3 * H)
+    grad["b"] += sums.sum(axis=0)
+    grad["x"][own] += sums
 
 
 def windows(lengths: np.ndarray, lanes: int = LANES):
@@ -343,8 +408,8 @@ def score_pool(w: dict, vocab: Vocabulary, fed: np.ndarray, cls: np.ndarray, sha
         h = np.zeros((len(docs), HIDDEN), np.float32) if fresh else h[: len(docs)]
         states, _ = recur(w, before, h, False)
         h = states[-1]
-        got = np.zeros(real.shape)
-        got[real] = log_likelihood(w, states[real], word[real], c[real])[0]
+        got, at = np.zeros(real.shape), np.flatnonzero(real)
+        got.ravel()[at] = log_likelihood(w, states.reshape(-1, HIDDEN)[at], word.ravel()[at], c.ravel()[at])[0]
         out[docs] += got.sum(axis=0)
     return out
 
@@ -384,14 +449,16 @@ def train_pool(w: dict, vocab: Vocabulary, adam: Adam, fed: np.ndarray, cls: np.
         h = np.zeros((len(docs), HIDDEN), np.float32) if fresh else h[: len(docs)]
         states, tape = recur(w, before, h, True)
         h = states[-1]
+        at = np.flatnonzero(real)
+        some = c.ravel()[at]
         d_out = np.zeros_like(states)
-        d_out[real] = log_likelihood(w, states[real], word[real], c[real], grad)[1]
+        d_out.reshape(-1, HIDDEN)[at] = log_likelihood(w, states.reshape(-1, HIDDEN)[at], word.ravel()[at], some, grad)[1]
         backward(w, grad, before, tape, d_out)
-        held = np.flatnonzero(np.bincount(c[real], minlength=vocab.classes)[: vocab.classes])
+        held = np.flatnonzero(np.bincount(some, minlength=vocab.classes)[: vocab.classes])
         rows = {"x": np.flatnonzero(np.bincount(before.ravel())), "wo": held, "wb": held}
         if vocab.group > 1:
             rows |= dict.fromkeys(("go", "gb"), np.unique(held // vocab.group))
-        n = max(1, int(real.sum()))
+        n = max(1, len(at))
         some = {k: g[rows[k]] / n if k in rows else g / n for k, g in grad.items()}
         size = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in some.values())))
         adam.step(w, {k: g / max(1.0, size / 5.0) for k, g in some.items()}, rows)
@@ -399,6 +466,12 @@ def train_pool(w: dict, vocab: Vocabulary, adam: Adam, fed: np.ndarray, cls: np.
             g[rows.get(k, slice(None))] = 0
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes as they first come, and where each one stands there."""
+    found = pa.array(h).dictionary_encode()
+    return found.dictionary.to_numpy(), found.indices.to_numpy()
+
+
 class Shared:
     """What every task needs: sorted hashes and counts of the shared types, the vocabulary, the weights."""
 
@@ -406,11 +479,16 @@ class Shared:
         self.hash, self.count, self.vocab, self.weights = hash_, count, vocab, weights
 
     def counts(self, h: np.ndarray) -> np.ndarray:
+        distinct, back = _distinct(h)
+        return self.counts_of(distinct)[back]
+
+    def counts_of(self, distinct: np.ndarray) -> np.ndarray:
         if not len(self.hash):
-            return np.zeros(len(h), np.int64)
-        distinct, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hash, distinct), len(self.hash) - 1)
-        return np.where(self.hash[at] == distinct, self.count[at], 0)[back]
+            return np.zeros(len(distinct), np.int64)
+        order = np.argsort(distinct)  # in order, so that a search goes on near the last one
+        at = np.empty(len(distinct), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hash, distinct[order]), len(self.hash) - 1)
+        return np.where(self.hash[at] == distinct, self.count[at], 0)
 
 
 def _pools(batches, columns: list[str]):
@@ -435,16 +513,17 @@ def _pools(batches, columns: list[str]):
         yield joined()
 
 
-def _all_counts(shared: Shared, h: np.ndarray, rest: pa.Table) -> np.ndarray:
-    """Counts of the types of a pool: shared ones, and those that its rows bring along as ``rare``."""
-    c = shared.counts(h)
+def _encoded(shared: Shared, h: np.ndarray, rest: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of a pool: the count of its type, and what ``Vocabulary.encode`` gives, worked out once a type. Counts are those of shared types and those that rows bring along as ``rare``."""
+    distinct, back = _distinct(h)
+    c = shared.counts_of(distinct)
     lists = rest.column("rare").combine_chunks() if "rare" in rest.column_names else []
     if len(lists) and lists.null_count < len(lists):
         found = lists.flatten()
         h2, first = np.unique(found.field("hash").to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
-        at = np.minimum(np.searchsorted(h2, h), len(h2) - 1)
-        c = np.where((c == 0) & (h2[at] == h), found.field("c").to_numpy(zero_copy_only=False)[first][at], c)
-    return c
+        at = np.minimum(np.searchsorted(h2, distinct), len(h2) - 1)
+        c = np.where((c == 0) & (h2[at] == distinct), found.field("c").to_numpy(zero_copy_only=False)[first][at], c)
+    return c[back], *(x[back] for x in shared.vocab.encode(distinct, c))
 
 
 BLOCK = "i int, part int, sum binary, n double"
@@ -477,7 +556,7 @@ def train(docs: DataFrame, shared: Shared, rounds: int = ROUNDS) -> dict:
             w, total = {k: x.copy() for k, x in s.weights.items()}, 0
             adam = Adam(w, rate)
             for h, lengths, rest in _pools(batches, columns[1:]):
-                fed, cls, _share = s.vocab.encode(h, _all_counts(s, h, rest))
+                _c, fed, cls, _share = _encoded(s, h, rest)
                 train_pool(w, s.vocab, adam, fed, cls, lengths)
                 total += len(h)
             if total:
@@ -556,8 +635,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, shared_types: int = SHARED_TYPE
         s = sent.value
         base = float(s.vocab.total + s.vocab.types + 1)
         for h, lengths, rest in _pools(batches, ["doc_id", "rare"]):
-            c = _all_counts(s, h, rest)
-            fed, cls, share = s.vocab.encode(h, c)
+            c, fed, cls, share = _encoded(s, h, rest)
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             logs = score_pool(s.weights, s.vocab, fed, cls, share, lengths) / np.log(10)
             columns = [rest.column("doc_id").combine_chunks(), pa.array(lengths), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(lengths), s.vocab.total, np.int64)), pa.array(np.add.reduceat(np.log10((c + 1) / base), starts)), pa.array(logs)]
