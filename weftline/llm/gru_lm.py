@@ -43,7 +43,7 @@ CLASS_WORDS, CLASSES = 64, 8
 #: Classes of a group, and the number of classes up to which there are no groups.
 GROUP, FLAT = 16, 32
 #: Rows of one class in a block, blocks that are multiplied at once, and rows for which the class is chosen at once: what they take stays in a core's cache.
-BLOCK_ROWS, AT_ONCE, TOP_ROWS = 32, 32, 2048
+BLOCK_ROWS, AT_ONCE, TOP_ROWS = 32, 64, 2048
 #: A number fed in that has more rows in a window has them added up by itself.
 MANY_ROWS = 32
 #: Weights of a block, and sums of blocks in the first of two steps.
@@ -51,7 +51,7 @@ BLOCK_WEIGHTS, PARTS = 65536, 64
 BAR = 2
 #: Powers of two of counts; a model has as many bins as its rare types need.
 BINS = 48
-WINDOW, LANES, TRAIN_LANES = 24, 512, 512
+WINDOW, LANES, TRAIN_LANES = 24, 1024, 512
 #: Passes over all training documents.
 ROUNDS = 1
 RATE = 0.02
@@ -254,6 +254,7 @@ def _inner(w: dict, kind: str, states: np.ndarray, which: np.ndarray, owner: np.
     hit, logs = (block * width + target[order]) * BLOCK_ROWS + row, np.empty(len(order), np.float64)
     if grad is not None:
         pushed, returned = np.empty((held, width, H + 1), states.dtype), np.empty((held, BLOCK_ROWS, H), states.dtype)
+    ones = np.ones((1, width), states.dtype)
     cuts = np.searchsorted(block, np.arange(0, held, AT_ONCE))
     for a, i, j in zip(range(0, held, AT_ONCE), cuts, np.append(cuts[1:], len(order)), strict=True):
         b, mine, at = min(held, a + AT_ONCE), place[i:j] - a * BLOCK_ROWS, hit[i:j] - a * width * BLOCK_ROWS
@@ -263,7 +264,7 @@ def _inner(w: dict, kind: str, states: np.ndarray, which: np.ndarray, owner: np.
         np.minimum(d, 60, out=d)
         logs[i:j] = d.ravel()[at]
         np.exp(d, out=d)
-        total = d.sum(axis=1)
+        total = (ones @ d)[:, 0]
         sums = total.ravel()[mine]
         logs[i:j] -= np.log(sums)
         if grad is None:
@@ -459,9 +460,11 @@ def train_pool(w: dict, vocab: Vocabulary, adam: Adam, fed: np.ndarray, cls: np.
         if vocab.group > 1:
             rows |= dict.fromkeys(("go", "gb"), np.unique(held // vocab.group))
         n = max(1, len(at))
-        some = {k: g[rows[k]] / n if k in rows else g / n for k, g in grad.items()}
-        size = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in some.values())))
-        adam.step(w, {k: g / max(1.0, size / 5.0) for k, g in some.items()}, rows)
+        some = {k: g[rows[k]] if k in rows else g.copy() for k, g in grad.items()}
+        size = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in some.values()))) / n
+        for g in some.values():
+            g /= n * max(1.0, size / 5.0)
+        adam.step(w, some, rows)
         for k, g in grad.items():
             g[rows.get(k, slice(None))] = 0
 
